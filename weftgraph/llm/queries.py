@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_codec, quality_rules, secret_scan, token_counts, url_filters
+from . import anchor_dedup, ngram_join, piece_codec, quality_rules, secret_scan, suffix_dedup, token_counts, url_filters
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -25,10 +25,22 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_table(spark, sf_dir, "pages"), outcomes, RULES)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchor_dedup.deduplicated(_table(spark, sf_dir, "documents"), texts=False)
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(_table(spark, sf_dir, "documents"), texts=False)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -47,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_url_filters, op3_secret_scans, op7_sentencepiece, op9_token_counts, op10_quality_rules]
+    named = [op1_url_filters, op2_ngram_join, op3_secret_scans, op5_substring_dedup, op6_suffix_dedup, op7_sentencepiece, op9_token_counts, op10_quality_rules]
     return {f.__name__: f for f in named}
 
 
