@@ -174,12 +174,17 @@ def isin_sorted(values: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
 # ---- lineage and components --------------------------------------------------------------
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the folder that all executors share; its lineage ends there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors share; a temporary one only where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed and kept in the shared folder; its lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchor_dedup, ngram_join, piece_codec, quality_rules, secret_scan, suffix_dedup, token_counts, url_filters
+from . import anchor_dedup, ngram_join, packing, piece_codec, pivot_search, quality_rules, secret_scan, suffix_dedup, token_counts, url_filters
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -33,6 +33,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchor_dedup.deduplicated(_table(spark, sf_dir, "documents"), texts=False)
 
@@ -45,6 +49,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -59,9 +67,49 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = [op1_url_filters, op2_ngram_join, op3_secret_scans, op5_substring_dedup, op6_suffix_dedup, op7_sentencepiece, op9_token_counts, op10_quality_rules]
+    named = [op1_url_filters, op2_ngram_join, op3_secret_scans, op4_best_fit_packing, op5_substring_dedup, op6_suffix_dedup, op7_sentencepiece, op8_exact_top_k, op9_token_counts, op10_quality_rules]
     return {f.__name__: f for f in named}
 
 
+def _rule_case(what: int) -> str:
+    out = "NULL"
+    for action, host, path in sorted(RULES, key=lambda r: len(r[1] + r[2])):
+        out = f"CASE WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{action if what == 0 else host + path}' ELSE {out} END"
+    return out
+
+
+def _level(rate: str, source: str, mean: str, n: str, k: str) -> str:
+    """SQL of one level's shrunken rates: the weight by moments, then the posterior mean."""
+    return f"""(SELECT s.*, (weight * {mean} + {k}) / (weight + {n}) AS {rate}, weight + {n} AS {rate}_size FROM {source} s, (
+        SELECT 1 / greatest(1.0 / 1001, least(0.5, coalesce(CASE WHEN sum({n} * ({n} - 1) * {mean} * (1 - {mean})) > 0
+            THEN (sum(({k} - {n} * {mean}) * ({k} - {n} * {mean})) - sum({n} * {mean} * (1 - {mean}))) / sum({n} * ({n} - 1) * {mean} * (1 - {mean})) ELSE 1.0 END, 0.5))) - 1 AS weight
+        FROM {source} WHERE {n} > 0) w)"""
+
+
+SECOND = "|".join(url_filters.SECOND_LEVEL)
+OP1_SQL = f"""
+WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+seen AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_filters.UPPER}', '{url_filters.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+bad AS (SELECT doc_id AS page_id, count(*) AS labels, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
+    WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1 OR (quality IS NOT NULL AND toxic IS NOT NULL)) GROUP BY doc_id),
+labelled AS (SELECT host, sum(labels) AS n0, sum(bad) AS k0 FROM seen JOIN bad USING (page_id) GROUP BY host),
+named AS (SELECT host, coalesce(n0, 0)::BIGINT AS n, coalesce(k0, 0)::BIGINT AS k,
+    CASE WHEN regexp_matches(host, '(^|[.])({SECOND})[.][a-z][a-z]$') THEN regexp_extract(host, '(?:^|[.])((?:{SECOND})[.][a-z][a-z])$', 1) ELSE string_split(host, '.')[-1] END AS suffix
+    FROM (SELECT DISTINCT host FROM seen) LEFT JOIN labelled USING (host)),
+hosts AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), greatest(1, len(string_split(host, '.')) - len(string_split(suffix, '.'))), len(string_split(host, '.'))), '.') AS domain FROM named),
+domains AS (SELECT domain, min(suffix) AS suffix, sum(n)::BIGINT AS dn, sum(k)::BIGINT AS dk FROM hosts GROUP BY domain),
+suffixes AS (SELECT suffix, sum(dn)::BIGINT AS sn, sum(dk)::BIGINT AS sk FROM domains GROUP BY suffix),
+top AS (SELECT *, (SELECT (coalesce(sum(sk), 0) + 1) / (coalesce(sum(sn), 0) + 2) FROM suffixes) AS top FROM suffixes),
+by_suffix AS (SELECT * FROM {_level("suffix_rate", "top", "top", "sn", "sk")}),
+domain_in AS (SELECT d.*, suffix_rate FROM domains d JOIN by_suffix USING (suffix)),
+by_domain AS (SELECT * FROM {_level("domain_rate", "domain_in", "suffix_rate", "dn", "dk")}),
+host_in AS (SELECT h.*, domain_rate FROM hosts h JOIN by_domain USING (domain)),
+by_host AS (SELECT *, sqrt(bad_rate * (1 - bad_rate) / (bad_rate_size + 1)) AS sd FROM {_level("bad_rate", "host_in", "domain_rate", "n", "k")})
+SELECT page_id, host, path, {_rule_case(1)} AS rule, coalesce({_rule_case(0)}, CASE WHEN round(bad_rate - {url_filters.Z} * sd, 9) > {url_filters.MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict,
+    round(bad_rate, 9) AS bad_rate, round(bad_rate - {url_filters.Z} * sd, 9) AS lower_bound
+FROM seen JOIN by_host USING (host)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filters": OP1_SQL}

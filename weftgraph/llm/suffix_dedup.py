@@ -272,12 +272,44 @@ def _digest_only(table: pa.Table, back: pa.Table) -> pa.Table:
     return _remove(table, back).drop_columns("kept")
 
 
+def _remove_in_place(names: list[str]):
+    """Whole documents, their texts without what is lost; a null text stays null."""
+
+    def run(table: pa.Table, back: pa.Table) -> pa.Table:
+        done = _remove(table, back)
+        old, keys = table.column("text").to_pylist(), table.column("key").to_pylist()
+        order = sorted(range(len(keys)), key=lambda k: (keys[k], (old[k] or "").encode()))
+        table = table.take(pa.array(order, pa.int64()))
+        was = table.column("text")
+        text = [None if w is None else t for w, t in zip(was.to_pylist(), done.column("kept").to_pylist())]
+        cols = {f"c{k}": table.column(f"c{k}") for k in range(len(names))}
+        return pa.table([pa.array(text, pa.string()) if n == "text" else cols[f"c{k}"] for k, n in enumerate(names)], names=[f"c{k}" for k in range(len(names))])
+
+    return run
+
+
+def documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
+    """docs with their own columns, lost bytes removed from `text`; `n_chars` follows if there is one."""
+    names = docs.columns
+    carried = [F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)]
+    kinds = ", ".join(f"c{k} {docs.schema[n].dataType.simpleString()}" for k, n in enumerate(names))
+    out = _shared(docs, carried, blocks, _remove_in_place(names), kinds)
+    back = out.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)])
+    if "n_chars" in names:
+        back = back.withColumn("n_chars", F.when(F.col("text").isNull() | F.col("n_chars").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return back
+
+
 def deduplicated(docs: DataFrame, texts: bool = True, blocks: int | None = None) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with `texts` what is kept."""
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return _shared(docs, [], blocks, _remove if texts else _digest_only, schema + (", kept string" if texts else ""))
+
+
+def _shared(docs: DataFrame, carried: list, blocks: int | None, remove, schema: str) -> DataFrame:
     buckets = partitions(docs.sparkSession)
-    rows = in_blocks(docs, [F.col("text").cast("string").alias("text")], blocks or 4 * buckets).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = in_blocks(docs, [F.col("text").cast("string").alias("text"), *carried], blocks or 4 * buckets).withColumn("doc_id", F.col("doc_id").cast("long"))
     twice = rows.groupBy("block").applyInArrow(_find_keys(buckets), PACKED).groupBy("bucket").applyInArrow(repeated, PACKED)
     sent = rows.groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(_send(buckets), PACKED)
     lost = sent.groupBy("bucket").applyInArrow(_sort_shard, PACKED)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.groupBy("block").cogroup(lost.groupBy("block")).applyInArrow(_remove if texts else _digest_only, schema + (", kept string" if texts else ""))
+    return rows.groupBy("block").cogroup(lost.groupBy("block")).applyInArrow(remove, schema)
