@@ -154,7 +154,8 @@ def parse_python(content: str, path: str) -> Found:
 _TOKENS = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`""", re.S)
 _BRANCH_WORDS = re.compile(r"\b(?:if|for|foreach|while|case|catch|match|loop|select)\b|\?(?![.?:])|&&|\|\|")
 _CALL = re.compile(r"\b(new\s+)?([A-Za-z_]\w*)\s*(?:<[\w,\s<>]*>)?\s*\(")
-_KEYWORDS = {"if", "for", "foreach", "while", "switch", "catch", "return", "using", "lock", "sizeof", "typeof", "nameof", "match", "fn", "func", "function", "else", "do", "new", "throw", "await", "super", "this", "base", "in", "loop", "defer", "go", "select", "impl"}
+_KEYWORDS = {"if", "for", "foreach", "while", "switch", "catch", "return", "using", "lock", "sizeof", "typeof", "nameof", "function", "else", "do", "new", "throw", "await", "super", "this", "base", "in"}
+_OWN_KEYWORDS = {"go": {"go", "defer", "select", "func"}, "rust": {"loop", "impl", "match", "fn"}}
 _MODIFIERS = {"public", "private", "protected", "internal", "static", "abstract", "sealed", "final", "virtual", "override", "async", "readonly", "export", "const", "partial", "synchronized", "default", "extern", "inline", "pub", "unsafe"}
 
 _TYPE = {
@@ -170,7 +171,7 @@ _FUNC = {
     "go": r"\bfunc\s+(?:\(\s*\w*\s*\*?(?P<owner>\w+)[^)]*\)\s*)?(?P<name>\w+)\s*(?:\[[^\]]*\])?\((?P<args>[^{]*?)\)\s*(?P<ret>[^{]*)$",
     "rust": r"\bfn\s+(?P<name>\w+)\s*(?:<[^{]*?>)?\((?P<args>[^{]*?)\)\s*(?:->\s*(?P<ret>[^{]+?))?\s*(?:where[^{]*)?$",
     "typescript": r"(?:\bfunction\s+(?P<name>\w+)|(?P<method>\w+)|\b(?:const|let)\s+(?P<arrow>\w+)\s*=\s*(?:async\s*)?)\s*(?:<[^{(]*?>)?\((?P<args>[^{]*?)\)\s*(?::\s*(?P<ret>[^{=]+?))?\s*(?:=>)?\s*$",
-    "": r"(?P<ret>[\w.<>\[\],?*&:~ ]*?)\s*(?P<name>~?\w+)\s*(?:<[^{(]*?>)?\((?P<args>[^{}]*)\)\s*(?:const|noexcept|override|throws [\w., ]+|:[^{]*)*\s*$",
+    "": r"(?P<ret>[\w.<>\[\],?*&:~ ]*?)\s*(?P<name>~?\w+)\s*(?:<[^{(]*?>)?\((?P<args>[^{}]*?)\)(?:\s*(?:const|noexcept|override)\b|\s+throws\s[^{]*|\s*:[^:{][^{]*)*\s*$",
 }
 _IMPORT = {
     "csharp": r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;", "java": r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;", "typescript": r"""^\s*import\s+(?:[^'"]*?from\s+)?['"]([^'"]+)['"]""",
@@ -201,6 +202,7 @@ def _split(names: str | None) -> list[str]:
 def parse_braces(content: str, path: str, language: str) -> Found:
     """Declarations before each opening brace; what a function's braces hold gives its calls and complexity."""
     family = "typescript" if language == "tsx" else language
+    keywords = (_KEYWORDS | _OWN_KEYWORDS.get(family, set())) - ({"new", "base", "do", "using", "lock"} if family in ("rust", "go") else set())
     blank = _TOKENS.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][0] == "/" else m[0][0] + re.sub(r"[^\n]", " ", m[0][1:-1]) + m[0][-1], content)
     found = re.search(_SPACE[family], blank, re.M) if family in _SPACE else None
     out = Found(path, found[1] if found else "" if family in _SPACE else dotted_path(path))
@@ -222,7 +224,7 @@ def parse_braces(content: str, path: str, language: str) -> Found:
                     s = out.symbols[index]
                     s["end_line"] = line_of(at)
                     if what == "function":
-                        _finish(out, s, blank[begin:at], begin, line_of)
+                        _finish(out, s, blank[begin:at], begin, line_of, keywords)
                     elif what == "type":
                         _fields(out, s, blank[begin:at], begin, family, line_of)
             last = at + 1
@@ -259,7 +261,7 @@ def parse_braces(content: str, path: str, language: str) -> Found:
         elif f:
             g = f.groupdict()
             name = g.get("name") or g.get("method") or g.get("arrow") or ""
-            if name and name not in _KEYWORDS and (g.get("ret") or "").strip() not in ("return", "new", "else", "throw"):
+            if name and name not in keywords and (g.get("ret") or "").strip() not in ("return", "new", "else", "throw"):
                 parent = owner
                 if g.get("owner"):
                     parent = f"{out.namespace}.{g['owner']}" if out.namespace else g["owner"]
@@ -285,9 +287,9 @@ def _doc(content: str, start: int) -> str:
     return line if line.startswith("//") else ""
 
 
-def _finish(out: Found, s: dict, body: str, begin: int, line_of) -> None:
+def _finish(out: Found, s: dict, body: str, begin: int, line_of, keywords: set[str]) -> None:
     for c in _CALL.finditer(body):
-        if c[2] not in _KEYWORDS:
+        if c[2] not in keywords:
             out.edge(s["fq_name"], c[2], "calls", line_of(begin + c.start()))
     s["cyclomatic_complexity"] = 1 + len(_BRANCH_WORDS.findall(body))
     depth, total, at = 0, 0, 0
