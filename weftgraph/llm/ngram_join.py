@@ -30,6 +30,8 @@ class; extra columns are not read. N-grams are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,16 +75,18 @@ class Sizes:
         self.percent = percent
         self.starts = [1]
 
+    def _grow(self) -> None:
+        self.starts.append(self.starts[-1] * 100 // self.percent + 1)
+
     def class_of(self, size: int) -> int:
         while self.starts[-1] <= size:
-            self.starts.append(self.starts[-1] * 100 // self.percent + 1)
-        return int(np.searchsorted(self.starts, size, side="right")) - 1
+            self._grow()
+        return bisect_right(self.starts, size) - 1
 
     def differing(self, cls: int) -> int:
         """Of two linked sets, the smaller in class cls: n-grams in one set only, at most."""
-        self.class_of(self.starts[-1])
         while len(self.starts) < cls + 2:
-            self.class_of(self.starts[-1])
+            self._grow()
         return (self.starts[cls + 1] - 1) * (100 - self.percent) // self.percent
 
 
