@@ -23,6 +23,8 @@ sequences; extra columns are not read.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections import defaultdict
 
@@ -34,20 +36,45 @@ from pyspark.sql import functions as F
 from .blocks import checkpointed, partitions, texts_of, worker_cache
 
 CAPACITY, END_ID = 2048, 0
-#: Words whose ids a worker keeps; memory is bounded, results are not affected.
-KEPT = 400_000
+#: Words of a generation: a worker keeps those of this and the last one, so its memory is bounded; results are not affected.
+KEPT = 150_000
 #: Between words: these never join a word's tokens, so words are encoded each by itself.
 _BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
+#: Letters below this code point have one lower-case letter and are composed already, whatever stands beside them.
+_PLAIN_BELOW = "\u0250"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be printed, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b if b in shown else 256 + others.index(b)) for b in range(256)}
 
 
 class WordTokenizer:
-    """Ids of whole texts from ids of words, which are kept."""
+    """Ids of whole texts from ids of words, which are kept.
+
+    A word of plain letters, with or without a full stop or comma, is lower-cased and split by
+    the vocabulary's merges alone, many at a time; whatever else goes through the library's
+    whole chain. Both give the library's ids.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.merges = None
+        if suffix and path_is_lower_byte_level(path):
+            self.merges = Tokenizer(self.library.model)
+            self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+            self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -56,20 +83,69 @@ class WordTokenizer:
             cache[k] = cls(path)
         return cache[k]
 
+    def _whole(self, words: list[bytes]) -> None:
+        for s in range(0, len(words), 4096):
+            some = words[s : s + 4096]
+            for w, e in zip(some, self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _plain(self, words: list[str]) -> None:
+        for s in range(0, len(words), 2048):
+            some = words[s : s + 2048]
+            shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some]
+            ids = np.array(self.merges.encode(" ".join(shown), add_special_tokens=False).ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(some, cuts, strict=True):
+                self.known[w.encode()] = raw[at:end]
+                at = end
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, old = self.known, self.old
+        whole, bases, made = [], set(), []
+        for w in words:
+            if (have := old.get(w)) is not None:
+                known[w] = have
+                continue
+            if self.merges is not None and w:
+                tail = w[-1:] if w[-1] in b".," else b""
+                base = (w[:-1] if tail else w).lower()
+                plain = base.isalpha()  # of bytes: ASCII letters only
+                if not plain and not base.isascii():
+                    text = base.decode("utf-8", "replace").lower()
+                    plain, base = text.isalpha() and max(text) < _PLAIN_BELOW, text.encode()
+                if plain:
+                    bases.add(base)
+                    made.append((w, base, tail))
+                    continue
+            whole.append(w)
+        tails = {t for _, _, t in made if t} - known.keys()
+        self._whole([*whole, *tails])
+        self._plain([b.decode() for b in bases - known.keys()])
+        for w, base, tail in made:
+            known[w] = known[base] + known[tail] if tail else known[base]
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
-        known = self.known
+        if len(self.known) > KEPT:
+            self.known, self.old = {}, self.known
         cut = [t.translate(_BLANKS).split(b" ") for t in texts]
-        if len(known) > KEPT:
-            known.clear()
-        new = [w for w in {w for words in cut for w in words} if w not in known]
-        for s in range(0, len(new), 4096):
-            some = new[s : s + 4096]
-            for w, e in zip(some, self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        known = self.known
+        self._learn({w for words in cut for w in words if w not in known})
         return [b"".join([known[w] for w in words]) for words in cut]
 
 
+def path_is_lower_byte_level(path: str) -> bool:
+    """Whether a tokenizer file lower-cases composed text, splits letters from all else, and maps bytes to letters."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    chain = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    letters = any(s.get("type") == "Split" and "[\\p{L}]+" in (s["pattern"].get("Regex") or "") and s.get("invert") for s in splits)
+    mapped = any(s.get("type") == "ByteLevel" and not s.get("use_regex") and not s.get("add_prefix_space") for s in splits)
+    return chain == ["NFC", "Replace", "Lowercase"] and letters and mapped
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
