@@ -91,22 +91,27 @@ def test_real_documents(spark, sf_dir):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in plain(rows)}
 
 
-def test_linked_sets_share_a_key():
+def test_linked_sets_share_a_prefix():
     rng = np.random.default_rng(0)
     for percent in (80, 90, 95):
-        sizes = ngram_join.Sizes(percent)
         for size in [*range(1, 60), 100, 333, 2000]:
-            for _ in range(5):
-                pool = np.unique(rng.integers(0, 2**64, size + 400, dtype=np.uint64))
-                rng.shuffle(pool)
-                a = pool[:size]
-                least = -(-percent * size // 100)
-                common = rng.integers(least, size + 1)
-                extra = rng.integers(0, common * 100 // percent - size + 1) if common * 100 // percent >= size else 0
-                b = np.concatenate((a[:common], pool[size : size + extra]))
-                if 100 * common >= percent * (size + extra):
-                    ka, kb = (ngram_join.keys_of(np.sort(x), sizes) for x in (a, b))
-                    assert len(np.intersect1d(ka, kb)), (percent, size)
+            pool = np.unique(rng.integers(0, 2**64, size + 400, dtype=np.uint64))
+            rng.shuffle(pool)
+            common = rng.integers(-(-percent * size // 100), size + 1)
+            most = common * 100 // percent - size
+            b = np.concatenate((pool[:common], pool[size : size + rng.integers(0, most + 1)])) if most >= 0 else pool[:common]
+            a = pool[:size]
+            if 100 * common >= percent * (size + len(b) - common):
+                heads = [np.sort(x)[: ngram_join.prefix_length(len(x), percent)] for x in (a, b)]
+                assert len(np.intersect1d(*heads)), (percent, size)
+
+
+@pytest.mark.parametrize("rare", [1, 3])
+def test_any_rarity_gives_the_same(spark, monkeypatch, rare):
+    monkeypatch.setattr(ngram_join, "RARE", rare)
+    rows = corpus(7)
+    assert Counter(tuple(r) for r in ngram_join.classes(frame(spark, rows)).collect()) == plain(rows)
+    assert Counter(tuple(r) for r in ngram_join.classes(frame(spark, rows), n=2, percent=80).collect()) == plain(rows, 2, 80)
 
 
 def test_empty_table(spark):

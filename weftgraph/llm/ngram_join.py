@@ -4,17 +4,32 @@ Two documents link if 100 * |A & B| >= PERCENT * |A | B| over their sets of dist
 n-grams. The result is the class of each document: the smallest id reachable over links.
 
 *Size-derived bounds.* A link allows at most min(|A|, |B|) * (100 - PERCENT) / PERCENT n-grams
-in one set only, and so bounds the size of a partner. Sizes are cut into classes so wide that a
-partner is in the same class or the next; for either pair of classes that bound is a number d.
-
-*Blocks.* An n-gram's hash deals it to one of d + 1 parts. Differing n-grams touch at most d
-parts, so linked documents have a part that is equal; the sum of its hashes is a key, and
-documents that share no key are never compared. A part that is empty proves nothing: a
-document with d or fewer parts that hold anything is dealt anew by another hash, up to LEVELS
-times, and after that shares one key with all its like. A key is some nine n-grams wide, so a
-passage that many documents share makes no key common unless most of the documents is equal.
-
-*Product.* Documents connected over shared keys are a cluster. A cluster is cut into chunks of
+in one set only, and so bounds the size of a partner and the overlap that it must reach.
+
+*Blocks, high thresholds.* Sizes are cut into classes so wide that a partner is in the same
+class or the next; for either pair of classes the bound is a number d. An n-gram's hash deals
+it to one of d + 1 parts. Differing n-grams touch at most d parts, so linked documents have a
+part that is equal; the sum of its hashes is a key, and documents that share no key are never
+compared. An empty part proves nothing: a document with d or fewer parts that hold anything is
+dealt anew by another hash, up to LEVELS times, and after that shares one key with its like.
+A key is some nine n-grams wide, so neither chance nor a passage that many documents share
+makes it common unless most of the documents is equal.
+
+*Blocks, lower thresholds.* Parts would be too narrow. With all n-grams in any one order, two
+linked sets share one of their first |A| - ceil(PERCENT * |A| / 100) + 1 n-grams: their
+prefixes. The order is by rarity: n-grams of low hash that at most RARE documents have, then
+those of high hash, then the common ones of low hash. Documents send their n-grams of low hash.
+Rare ones are multiplied out: pairs of documents and how many they share. A pair is discarded
+unless that, with all that it may share among common n-grams and those of high hash, can reach
+the overlap of a link. Where an n-gram is common, its documents learn that they have one rare
+n-gram less; only documents whose prefix is then not filled send their next n-grams, to each
+other. A batch sends an n-gram at most RARE + 1 times.
+
+The documents of a key of parts, or of next n-grams, are connected by a tree, not by all pairs,
+in a batch first and then between the batches' roots: a key that a third of all documents have
+costs an entry a batch, and its documents an edge each.
+
+*Product.* Documents connected as candidates are a cluster. A cluster is cut into chunks of
 bounded weight; a chunk is a sparse incidence matrix, multiplied by itself and by the first
 chunk, panel of n-grams by panel, adding overlap counts; pairs of sizes beyond the bound are
 never formed. Where several chunks remain unconnected, what is outside the largest class of
@@ -39,11 +54,16 @@ from pyspark.sql import functions as F
 
 from .blocks import BASE_A, BASE_B, U64, Rolling, Words, bucket_cuts, checkpointed, chunks_of, components, mix, partitions, texts_of
 
-LEVELS = 6
+#: Thresholds from here on use parts, lower ones rare prefixes; and how often a set is dealt anew.
+PARTS_FROM, LEVELS = 88, 8
+#: Documents of a rare n-gram, at most; the result is the same for any number.
+RARE = 16
+NO_DOC = np.iinfo(np.int64).min
 #: N-gram entries of one chunk of a cluster.
 CHUNK = 1 << 21
 KEYED = np.dtype([("key", "<u8"), ("doc", "<i8")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
+FACT = np.dtype([("kind", "<i8"), ("a", "<i8"), ("b", "<i8"), ("c", "<i8")])
 
 
 # ---- sets and keys --------------------------------------------------------------------------
@@ -115,53 +135,199 @@ def keys_of(grams: np.ndarray, sizes: Sizes) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each key once with its least document, and edges from that to the key's other documents, each once."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
+def prefix_length(size: int, percent: int) -> int:
+    return size + (-percent * size // 100) + 1
+
+
+def low_cut(percent: int) -> int:
+    """Hashes below this are low: half as many again as a prefix has."""
+    return min(2**64 - 1, 3 * (100 - percent) * 2**64 // 200)
+
+
+def _stars(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Edges from each key's least document to its others, each once. Both arrays are in order of key, then document."""
     begin = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
-    least = docs[np.maximum.accumulate(np.where(begin, np.arange(len(keys)), 0))]
+    least = docs[np.maximum.accumulate(np.where(begin, np.arange(len(keys)), 0))] if len(keys) else docs
     edges = np.empty(len(keys), dtype=PAIR)
     edges["a"], edges["b"] = least, docs
-    return keys[begin], docs[begin], np.unique(edges[least != docs])
+    return np.unique(edges[least != docs])
+
+
+def _trees(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents with an edge, in order, and the least document that each is connected to."""
+    nodes, at = np.unique(np.concatenate((edges["a"], edges["b"])), return_inverse=True)
+    a, b = at[: len(edges)], at[len(edges) :]
+    root = np.arange(len(nodes))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
+def _collapsed(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once with the root of its documents, and an edge from every other document to its root."""
+    order = np.lexsort((docs, keys))
+    keys, docs = keys[order], docs[order]
+    nodes, roots = _trees(_stars(keys, docs))
+    first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+    keys, docs = keys[first], docs[first]
+    if len(nodes):
+        at = np.minimum(np.searchsorted(nodes, docs), len(nodes) - 1)
+        docs = np.where(nodes[at] == docs, roots[at], docs)
+    other = nodes != roots
+    return keys, docs, _made(SHARED, roots[other], nodes[other], 1)
+
+
+def _groups(keys: np.ndarray) -> np.ndarray:
+    """Of sorted keys: how many are equal to each."""
+    if not len(keys):
+        return np.zeros(0, dtype=np.int64)
+    cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+    return np.repeat(np.diff(cuts), np.diff(cuts))
 
 
 ROWS = "bucket int, payload binary"
+#: Kinds of facts (kind, a, b, c): documents a and b share c rare n-grams; document a has b common n-grams of low
+#: hash; it has b n-grams in all, c of low hash; it has b of low hash beyond a prefix, common ones included.
+SHARED, COMMON, SIZE, SPARE = 0, 1, 2, 3
+FACTS = "kind long, a long, b long, c long"
+
+
+def _made(kind: int, a: np.ndarray, b, c=0) -> np.ndarray:
+    out = np.empty(len(a), dtype=FACT)
+    out["kind"], out["a"], out["b"], out["c"] = kind, a, b, c
+    return out
+
+
+def _fact_table(facts: np.ndarray) -> pa.Table:
+    return pa.table({f: pa.array(np.ascontiguousarray(facts[f])) for f in FACT.names})
 
 
 def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch({"bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def _emit_keys(n: int, percent: int, buckets: int):
-    """(bucket, packed keys), each key once a batch; bucket -1 has the edges inside the batch."""
+def _send(keys: np.ndarray, docs: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    records = np.empty(len(keys), dtype=KEYED)
+    records["key"], records["doc"] = keys, docs
+    cuts = bucket_cuts(keys, buckets)
+    return [(k, records[s:e].tobytes()) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if s < e]
+
+
+def _emit_low(n: int, percent: int, buckets: int):
+    """Postings (bucket, n-grams of low hash with their documents); bucket -1 has facts of documents.
+
+    Hashes of low n-grams are spread over all buckets by a mix. An n-gram that more than RARE
+    documents of the batch have is common already: RARE + 1 postings say so, and its documents
+    are told here.
+    """
+
+    def run(batches):
+        cut = np.uint64(low_cut(percent))
+        for batch in batches:
+            ids, sets = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sets_of(texts_of(batch.column(1)), n)
+            sizes = np.array([len(g) for g in sets], dtype=np.int64)
+            low = [g[: np.searchsorted(g, cut)] for g in sets]
+            lows = np.array([len(g) for g in low], dtype=np.int64)
+            keys, docs = mix(np.concatenate(low)) if len(low) else np.zeros(0, U64), np.repeat(ids, lows)
+            rows = np.repeat(np.arange(len(sets)), lows)
+            order = np.lexsort((docs, keys))
+            keys, docs, rows = keys[order], docs[order], rows[order]
+            times = _groups(keys)
+            often = times > RARE
+            common = np.bincount(rows[often], minlength=len(sets))
+            known = [_made(SIZE, ids, sizes, lows), _made(COMMON, ids, common), _made(SPARE, ids, lows - (sizes + (-percent * sizes // 100) + 1))]
+            known = np.concatenate([k[sizes > 0] for k in known])
+            first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+            place = np.arange(len(keys)) - np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0)) if len(keys) else np.zeros(0, np.int64)
+            sent = ~often | (place <= RARE)
+            # markers of what is common already name no document
+            yield _rows([(-1, known.tobytes())] * bool(len(known)) + _send(keys[sent], np.where(often, NO_DOC, docs)[sent], buckets))
+
+    return run
+
+
+def _emit_more(n: int, percent: int, buckets: int):
+    """Postings of short documents: their next n-grams of high hash, and where those do not suffice the low ones too."""
+
+    def run(batches):
+        cut = np.uint64(low_cut(percent))
+        for batch in batches:
+            ids, sets = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sets_of(texts_of(batch.column(1)), n)
+            found = []
+            for g, lack in zip(sets, batch.column(2).to_pylist()):
+                at = int(np.searchsorted(g, cut))
+                found.append(g[at : at + lack] if at + lack <= len(g) else g)
+            keys, docs = (mix(np.concatenate(found)) if found else np.zeros(0, U64)), np.repeat(ids, [len(f) for f in found])
+            keys, docs, edges = _collapsed(keys, docs)
+            yield _rows([(-1, edges.tobytes())] * bool(len(edges)) + _send(keys, docs, buckets))
+
+    return run
+
+
+def _emit_parts(n: int, percent: int, buckets: int):
+    """Postings of the parts' keys, each once a batch with the root of its documents; what connects the batch's documents is found here."""
 
     def run(batches):
         sizes = Sizes(percent)
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), texts_of(batch.column(1))
-            found = [keys_of(g, sizes) if len(g) else g for g in sets_of(texts, n)]
-            if not found:
-                continue
-            docs = np.repeat(ids.astype(np.int64), [len(f) for f in found])
-            keys, least, edges = _stars(np.concatenate(found), docs)
-            records = np.empty(len(keys), dtype=KEYED)
-            records["key"], records["doc"] = keys, least
-            cuts = bucket_cuts(keys, buckets)
-            yield _rows([(-1, edges.tobytes())] * bool(len(edges)) + [(k, records[s:e].tobytes()) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if s < e])
+            ids, sets = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sets_of(texts_of(batch.column(1)), n)
+            found = [keys_of(g, sizes) if len(g) else g for g in sets]
+            keys, docs = (np.concatenate(found) if found else np.zeros(0, U64)), np.repeat(ids, [len(f) for f in found])
+            keys, docs, edges = _collapsed(keys, docs)
+            yield _rows([(-1, edges.tobytes())] * bool(len(edges)) + _send(keys, docs, buckets))
 
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Edges between the documents of a bucket's keys (or those already found)."""
-    payloads = table.column("payload").to_pylist()
+def _passed_on(table: pa.Table) -> pa.Table:
+    return _fact_table(np.concatenate([np.frombuffer(p, dtype=FACT) for p in table.column("payload").to_pylist()]))
+
+
+def _postings(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    records = np.concatenate([np.frombuffer(p, dtype=KEYED) for p in table.column("payload").to_pylist()])
+    order = np.lexsort((records["doc"], records["key"]))
+    return records["key"][order], records["doc"][order]
+
+
+def _link_stars(table: pa.Table) -> pa.Table:
+    """Edges between the documents of a bucket's keys; bucket -1 holds edges that batches found."""
     if table.column("bucket")[0].as_py() < 0:
-        edges = np.unique(np.concatenate([np.frombuffer(p, dtype=PAIR) for p in payloads]))
-    else:
-        records = np.concatenate([np.frombuffer(p, dtype=KEYED) for p in payloads])
-        edges = _stars(records["key"], records["doc"])[2]
-    return pa.table({"a": pa.array(edges["a"]), "b": pa.array(edges["b"])})
+        return _passed_on(table)
+    return _fact_table(_collapsed(*_postings(table))[2])
+
+
+def _multiply_rare(rare: int):
+    """The product's entries from a bucket's rare n-grams: pairs of documents and how many of these they share.
+
+    Of common n-grams, each document's count. Bucket -1 holds facts of documents.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            return _passed_on(table)
+        keys, docs = _postings(table)
+        often = _groups(keys) > rare
+        told, counts = np.unique(docs[often & (docs != NO_DOC)], return_counts=True)
+        keys, docs = keys[~often], docs[~often]
+        pairs = [np.zeros(0, dtype=PAIR)]
+        for shift in range(1, rare):
+            same = (keys[shift:] == keys[:-shift]) & (docs[shift:] != docs[:-shift])
+            part = np.empty(int(same.sum()), dtype=PAIR)
+            part["a"], part["b"] = docs[:-shift][same], docs[shift:][same]
+            pairs.append(part)
+        pairs = np.concatenate(pairs)
+        order = np.lexsort((pairs["b"], pairs["a"]))
+        pairs = pairs[order]
+        new = np.flatnonzero(np.concatenate(([True], (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])))) if len(pairs) else np.zeros(0, np.int64)
+        times = np.diff(np.append(new, len(pairs)))
+        return _fact_table(np.concatenate((_made(SHARED, pairs["a"][new], pairs["b"][new], times), _made(COMMON, told, counts))))
+
+    return run
 
 
 # ---- product --------------------------------------------------------------------------------
@@ -278,14 +444,37 @@ def _multiply(n: int, percent: int):
     return run
 
 
+def candidates(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (a, b) that connect all documents that may link, directly or not."""
+    parts = partitions(rows.sparkSession)
+    spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("payload"), F.lit(parts))).alias("spread")
+    if percent >= PARTS_FROM:
+        return rows.mapInArrow(_emit_parts(n, percent, parts), ROWS).groupBy("bucket", spread).applyInArrow(_link_stars, FACTS).select("a", "b")
+    low = rows.mapInArrow(_emit_low(n, percent, parts), ROWS).groupBy("bucket", spread)
+    facts = checkpointed(low.applyInArrow(_multiply_rare(RARE), FACTS))
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    later = F.coalesce(F.sum(of(COMMON, F.col("b"))), F.lit(0))
+    known = facts.filter(F.col("kind") != SHARED).groupBy(F.col("a").alias("doc_id")).agg(
+        F.min(of(SIZE, F.col("b"))).alias("size"), F.max(of(SIZE, F.col("b") - F.col("c"))).alias("high"), later.alias("common"), (F.min(of(SPARE, F.col("b"))) - later).alias("spare")
+    )
+    known = checkpointed(known)
+    # the size-derived bound: what a pair shares, and all that it may share unseen
+    pairs = facts.filter(F.col("kind") == SHARED).groupBy("a", "b").agg(F.sum("c").alias("shared"))
+    for end in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("doc_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("size", "high", "common")]), end)
+    most = F.col("shared") + F.least("common_a", "common_b") + F.least("high_a", "high_b")
+    pairs = pairs.filter(most * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent)
+    short = known.filter("spare < 0").select("doc_id", (-F.col("spare")).alias("lack"))
+    more = rows.join(short, "doc_id").select("doc_id", "text", "lack").mapInArrow(_emit_more(n, percent, parts), ROWS).groupBy("bucket", spread)
+    return pairs.select("a", "b").unionByName(more.applyInArrow(_link_stars, FACTS).select("a", "b"))
+
+
 def links(docs: DataFrame, n: int, percent: int, chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) between ids that connect every class of linked documents."""
     spark = docs.sparkSession
     parts = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    packed = rows.mapInArrow(_emit_keys(n, percent, parts), ROWS)
-    candidates = packed.groupBy("bucket", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("payload"), F.lit(parts))).alias("spread")).applyInArrow(_meet, EDGES)
-    clusters = components(candidates).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
+    clusters = components(candidates(rows, n, percent)).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
     # weight of a text: an upper bound of its n-grams is half its characters
     sized = rows.select("doc_id", (F.length("text") / 2 + 1).cast("long").alias("weight"))
     weights = checkpointed(sized.join(clusters, "doc_id").select("doc_id", "cluster", "weight"))
