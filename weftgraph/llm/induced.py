@@ -17,7 +17,7 @@ import tempfile
 import numpy as np
 
 SENTINEL, BREAK, SHIFT = 0, 1, 2  # text bytes are stored as byte + SHIFT
-BATCH = 1 << 16
+BATCH = 1 << 18
 ENTRY = np.dtype([("at", "<i8"), ("lcp", "u1")])
 
 
@@ -52,10 +52,14 @@ class Queue:
         return np.frombuffer(self.spool.read(part[1] * ENTRY.itemsize), dtype=ENTRY)
 
     def unread(self):
-        """Entries not read yet, also those that come while reading."""
+        """Entries not read yet, also those that come while reading; small parts together, up to BATCH."""
         while self.read < len(self.parts):
-            part = self._get(self.read)
-            self.read += 1
+            parts, n = [], 0
+            while self.read < len(self.parts) and n < BATCH:
+                parts.append(self._get(self.read))
+                n += len(parts[-1])
+                self.read += 1
+            part = np.concatenate(parts) if len(parts) > 1 else parts[0]
             for s in range(0, len(part), BATCH):
                 yield part[s : s + BATCH]
 
@@ -82,6 +86,7 @@ def _leading_equal(x: np.ndarray) -> np.ndarray:
 def sorted_seeds(t: np.ndarray, seeds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Seeds by their first `depth` bytes, and each one's common prefix with the one before, at most depth."""
     padded = np.concatenate((t, np.zeros(depth + 16, dtype=np.uint8)))
+    words = np.ndarray((len(padded) - 7,), dtype=">u8", buffer=padded, strides=(1,))  # eight bytes from each place
     order = seeds.copy()
     group = np.zeros(len(seeds), dtype=np.int64)  # where each tie begins
     lcp = np.full(len(seeds), depth, dtype=np.int64)
@@ -90,10 +95,7 @@ def sorted_seeds(t: np.ndarray, seeds: np.ndarray, depth: int) -> tuple[np.ndarr
     for at in range(0, depth, 8):
         if len(active) < 2:
             break
-        word = np.zeros(len(active), dtype=np.uint64)
-        base = order[active] + at
-        for k in range(8):
-            word = (word << np.uint64(8)) | padded[np.minimum(base + k, len(padded) - 1)].astype(np.uint64)
+        word = words[order[active] + at].astype(np.uint64)
         by = np.lexsort((word, group[active]))
         order[active] = order[active[by]]
         word = word[by]
@@ -165,7 +167,8 @@ def _range_min(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             row = np.minimum(row[: -(1 << lv - 1)], row[1 << lv - 1 :])
         use = np.flatnonzero(level == lv)
         if len(use):
-            out[use] = np.minimum(row[np.minimum(a[use], len(row) - 1)], row[np.clip(b[use] - (1 << lv) + 1, 0, len(row) - 1)])
+            end = len(row) - 1
+            out[use] = np.minimum(row[np.minimum(a[use], end)], row[np.minimum(np.maximum(b[use] - (1 << lv) + 1, 0), end)])
     return out
 
 

@@ -54,7 +54,7 @@ class Strings:
         n = len(self.buffer) - LENGTH + 1
         if n <= 0:
             self.echo = self.starts = self.counts = np.zeros(0, dtype=np.int64)
-            self.keys, self.selfish = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+            self.keys = np.zeros(0, dtype=np.uint64)
             return
         grams = least = Rolling(self.buffer, BASE_A).windows(GRAM)
         width = 1
@@ -83,13 +83,21 @@ class Strings:
         self.starts = np.flatnonzero(begins)
         self.counts = np.flatnonzero(ends) + 1 - self.starts
         self.keys = mix(least[self.starts])
-        # A run of up to REACH windows has the gram at REACH - 1 in all of them: a window that
-        # occurs in the run twice has that gram twice. Longer runs have their key's gram twice.
-        self.selfish = self.counts > REACH
-        at = self.starts + REACH - 1
-        for shift in range(1, REACH):
-            some = np.flatnonzero((self.counts > shift) & ~self.selfish)
-            self.selfish[some[grams[at[some] + shift] == grams[at[some]]]] = True
+        self._grams = grams
+
+    def selfish(self) -> np.ndarray:
+        """Which strings may hold a window twice.
+
+        A run of up to REACH windows has the gram at REACH - 1 in all of them, so a window that
+        occurs in it twice has that gram twice. Longer runs have their key's gram twice.
+        """
+        out = self.counts > REACH
+        if len(out):
+            at = self.starts + REACH - 1
+            for shift in range(1, REACH):
+                some = np.flatnonzero((self.counts > shift) & ~out)
+                out[some[self._grams[at[some] + shift] == self._grams[at[some]]]] = True
+        return out
 
     def bytes_of(self, k: int) -> bytes:
         s = self.starts[k]
@@ -99,7 +107,7 @@ class Strings:
 def _find_keys(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         _, _, texts = ordered(table)
-        keys = [np.concatenate((x.keys, x.keys[x.selfish])) for s, e in chunks_of(texts) for x in [Strings(texts[s:e])]]
+        keys = [np.concatenate((x.keys, x.keys[x.selfish()])) for s, e in chunks_of(texts) for x in [Strings(texts[s:e])]]
         seen = distinct_once(np.concatenate(keys)) if keys else distinct_once(np.zeros(0, np.uint64))
         return packed_table(packed_rows(seen, seen["hash"], buckets, table.column("block")[0].as_py()))
 
