@@ -37,7 +37,7 @@ from .blocks import checkpointed, partitions, texts_of, worker_cache
 
 CAPACITY, END_ID = 2048, 0
 #: Words of a generation: a worker keeps those of this and the last one, so its memory is bounded; results are not affected.
-KEPT = 150_000
+KEPT = 250_000
 #: Between words: these never join a word's tokens, so words are encoded each by itself.
 _BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
 #: Letters below this code point have one lower-case letter and are composed already, whatever stands beside them.
@@ -131,8 +131,8 @@ class WordTokenizer:
             self.known, self.old = {}, self.known
         cut = [t.translate(_BLANKS).split(b" ") for t in texts]
         known = self.known
-        self._learn({w for words in cut for w in words if w not in known})
-        return [b"".join([known[w] for w in words]) for words in cut]
+        self._learn(set().union(*cut).difference(known))
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
 
 
 def path_is_lower_byte_level(path: str) -> bool:
