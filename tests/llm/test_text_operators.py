@@ -154,6 +154,48 @@ def test_codec_spans(docs):
         assert not spans or spans[-1][1] == len(source)
 
 
+def spans(codec, text):
+    """The source byte span of each id, walked byte by byte."""
+    align, at = [], 0
+    for k, c in enumerate(text):
+        align += [at] * (3 * (1 + (k == 0)) if c == " " else len(c.encode()) + 3 * (k == 0))
+        at += len(c.encode())
+    align.append(at)
+    out, at = [], 0
+    ids = codec.library.encode(text)
+    while len(out) < len(ids):
+        if codec.model.kinds[ids[len(out)]] == pieces.BYTE:
+            lead = int(codec.model.pieces[ids[len(out)]][3:5], 16)
+            size = n = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+        else:
+            size, n = len(codec.model.pieces[ids[len(out)]].encode()), 1
+        out += [(align[at], align[at + size])] * n
+        at += size
+    return out
+
+
+def test_registered_codec_query_gives_spans(spark, sf_dir):
+    codec = piece_codec.Codec(queries.tokenizer("piece_bpe_32k.model"))
+    want = Counter()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        said = b"".join(x.to_bytes(8, "little") for span in spans(codec, r.text or "") for x in span)
+        want[r.doc_id, hashlib.sha256(said).hexdigest()] += 1
+    assert as_multiset(queries.op7_sentencepiece(spark, sf_dir), ["doc_id", "spans_sha256"]) == want
+    for _, text in AWKWARD:
+        assert codec.encode(text or "")[1] == spans(codec, text or "")
+
+
+def test_plain_normaliser_is_the_general_one():
+    ours = pieces.ModelFile(queries.tokenizer("piece_bpe_32k.model")).normalizer
+    assert ours.plain
+    for _, text in AWKWARD:
+        fast = ours((text or "").encode())
+        ours.units = [0] * 256  # a map without entries, followed byte by byte
+        general = ours((text or "").encode())
+        ours.units = []
+        assert (fast[0], list(fast[1])) == (general[0], list(general[1]))
+
+
 def test_normaliser_follows_compiled_map():
     import sentencepiece
 

@@ -3,7 +3,7 @@
 A text is normalised by longest prefix through the compiled character map, which records the
 source byte of every byte written. The normalised text is cut before space marks that follow
 another character: no piece of such a vocabulary crosses that place, so each part is encoded
-on its own and its ids are kept for later texts. A piece's byte span is the alignment at its
+on its own, and its ids and their offsets within it are kept for later texts. A piece's byte span is the alignment at its
 ends; the byte pieces of one character all get that character's span.
 
 Defined cases: a null or empty text has no tokens and decodes to ""; a mark U+2581 in the text
@@ -15,7 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from .pieces import BYTE, SPACE, ModelFile
 PARTS = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Parts whose ids a worker keeps; the memory is bounded, the results are not affected.
 KEPT = 300_000
+#: Texts that are encoded together, and their bytes.
+GROUP, GROUP_BYTES = 256, 1 << 20
 
 
 class Codec:
@@ -35,7 +40,8 @@ class Codec:
         self.model = ModelFile(path)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.split = self.model.by_word and self.model.normalizer.plain
-        self.known: dict[str, tuple[str, str]] = {}
+        self.sizes = [len(p.encode()) for p in self.model.pieces]
+        self.known: dict[str, tuple] = {}
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -44,66 +50,76 @@ class Codec:
             cache[k] = cls(path)
         return cache[k]
 
-    def parts(self, text: str) -> list[str]:
-        """Parts of the normalised text, each with the marks before it."""
-        return PARTS.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
     def learn(self, parts: set[str]) -> None:
-        """Ids and decoded text of parts; the library adds the first mark itself."""
+        """Ids, decoded text and offsets of parts; the library adds the first mark itself."""
         if len(self.known) > KEPT:
             self.known.clear()
         new = [p for p in parts if p not in self.known]
         ids = self.library.encode([p[1:] for p in new], num_threads=1)
         for p, i, d in zip(new, ids, self.library.decode(ids, num_threads=1) if new else []):
-            self.known[p] = ",".join(map(str, i)) if p != SPACE else str(self.library.piece_to_id(SPACE)), " " + d if p != SPACE else " "
+            i, d = (i, " " + d) if p != SPACE else ([self.library.piece_to_id(SPACE)], " ")
+            self.known[p] = ",".join(map(str, i)), d, self.offsets(i).tobytes(), struct.pack("<ii", len(i), len(p.encode()))
 
-    def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        """Ids, and the source byte span of each."""
-        source = text.encode()
-        normal, align = self.model.normalizer(source)
-        if self.split:
-            parts = self.parts(text)
-            self.learn(set(parts))
-            ids = [int(i) for p in parts for i in self.known[p][0].split(",")]
-        else:
-            ids = self.library.encode(text)
-        spans, at = [], 0
+    def offsets(self, ids: list[int]) -> array:
+        """Where each id begins and ends in the normalised bytes, in turn; the byte pieces of one character share its own."""
+        out, at, sizes = array("i"), 0, self.sizes
         waiting: list[int] = []
         for i in ids:
             if self.model.kinds[i] == BYTE:
                 waiting.append(i)
                 if _whole(bytes(int(self.model.pieces[b][3:5], 16) for b in waiting)):
-                    spans += [(align[at], align[at + len(waiting)])] * len(waiting)
+                    out.extend((at, at + len(waiting)) * len(waiting))
                     at, waiting = at + len(waiting), []
             else:
-                size = len(self.model.pieces[i].encode())
-                spans.append((align[at], align[at + size]))
-                at += size
-        return ids, spans
+                out.append(at)
+                at += sizes[i]
+                out.append(at)
+        return out
+
+    def encoded(self, texts: list[str]):
+        """Of each text: its ids, comma-separated; what they decode to; and the source byte span of each id."""
+        normal = [self.model.normalizer(t.encode()) for t in texts]
+        if not self.split:
+            for t, (_, align) in zip(texts, normal):
+                ids = self.library.encode(t)
+                yield ",".join(map(str, ids)), self.library.decode(ids), np.asarray(align, dtype="<i8")[np.array(self.offsets(ids), dtype=np.int64)].reshape(-1, 2)
+            return
+        cut = [PARTS.findall(n.decode()) for n, _ in normal]
+        self.learn({p for parts in cut for p in parts})
+        known = self.known
+        for parts, (_, align) in zip(cut, normal):
+            said, back, within, heads = zip(*[known[p] for p in parts]) if parts else ((),) * 4
+            counts, sizes = np.frombuffer(b"".join(heads), dtype="<i4").reshape(-1, 2).T
+            begins = np.repeat(np.cumsum(sizes) - sizes, 2 * counts)
+            places = np.frombuffer(b"".join(within), dtype="<i4") + begins
+            yield ",".join(said), "".join(back)[1:], np.asarray(align, dtype="<i8")[places].reshape(-1, 2)
+
+    def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        """Ids, and the source byte span of each."""
+        ((said, _, spans),) = self.encoded([text])
+        return [int(i) for i in said.split(",") if i], [(s, e) for s, e in spans.tolist()]
 
     def digests(self, texts: list[bytes]) -> dict:
-        n, ids_sha, text_sha = [], [], []
-        group = 256
-        for s in range(0, len(texts), group):
-            strings = [t.decode("utf-8", "replace") for t in texts[s : s + group]]
-            if self.split:
-                cut = [self.parts(t) for t in strings]
-                self.learn({p for parts in cut for p in parts})
-                known = self.known
-                for parts in cut:
-                    both = [known[p] for p in parts]
-                    said = ",".join([b[0] for b in both])
-                    back = "".join([b[1] for b in both])[1:]
-                    n.append(said.count(",") + 1 if said else 0)
-                    ids_sha.append(hashlib.sha256(said.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(back.encode()).hexdigest())
-            else:
-                for t in strings:
-                    ids = self.library.encode(t)
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(self.library.decode(ids).encode()).hexdigest())
-        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+        n, ids_sha, text_sha, spans_sha = [], [], [], []
+        for s, e in _groups(texts):
+            for said, back, spans in self.encoded([t.decode("utf-8", "replace") for t in texts[s:e]]):
+                n.append(len(spans))
+                ids_sha.append(hashlib.sha256(said.encode()).hexdigest())
+                text_sha.append(hashlib.sha256(back.encode()).hexdigest())
+                spans_sha.append(hashlib.sha256(spans.tobytes()).hexdigest())
+        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string()), "spans_sha256": pa.array(spans_sha, pa.string())}
+
+
+def _groups(texts: list[bytes]):
+    """Ranges of texts that are encoded together: at most GROUP of them, and about GROUP_BYTES bytes."""
+    start = total = 0
+    for k, t in enumerate(texts):
+        if k > start and (k - start == GROUP or total + len(t) > GROUP_BYTES):
+            yield start, k
+            start, total = k, 0
+        total += len(t)
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def _whole(b: bytes) -> bool:
@@ -115,9 +131,12 @@ def _whole(b: bytes) -> bool:
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row a document: number of ids, and digests of the ids and of what they decode to."""
+    """One row a document: number of ids, and digests of the ids, of what they decode to, and of the spans.
+
+    spans_sha256 is of each id's source byte span in turn: where it begins and ends, as little-endian words of 64 bits.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    udf = text_struct(lambda: Codec.of(path).digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    udf = text_struct(lambda: Codec.of(path).digests, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
     return rows.select("doc_id", udf("text").alias("s")).select("doc_id", "s.*")
 
 
@@ -130,7 +149,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
 
         def run(texts: list[bytes]) -> dict:
             both = [codec.encode(t.decode("utf-8", "replace")) for t in texts]
-            lists = [[i for i, _ in [b]][0] for b in both]
+            lists = [b[0] for b in both]
             return {
                 "ids": pa.array(lists, pa.list_(pa.int32())),
                 "span_starts": pa.array([[s for s, _ in b[1]] for b in both], pa.list_(pa.int64())),

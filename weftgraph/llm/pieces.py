@@ -83,8 +83,18 @@ class Normalizer:
             return "�".encode(), 1
         return char, size
 
+    def _spaces_only(self, source: bytes) -> tuple[bytes, np.ndarray]:
+        """The same for a map without entries, where the longest prefix is one character and stands for itself."""
+        mark = SPACE.encode()
+        b = np.frombuffer(source, dtype=np.uint8)
+        char = np.maximum.accumulate(np.where(b & 0xC0 != 0x80, np.arange(len(b), dtype=np.int64), 0))
+        align = np.repeat(char, np.where(b == 0x20, len(mark), 1))
+        return mark + source.replace(b" ", mark), np.concatenate((np.zeros(len(mark), np.int64), align, [len(b)]))
+
     def __call__(self, source: bytes) -> tuple[bytes, list[int]]:
         """Normalised UTF-8, and for each of its bytes (and its end) the source byte."""
+        if self.plain and source and _valid(source):
+            return self._spaces_only(source)
         parts, at, n = [], 0, len(source)
         while at < n:
             to, took = self._longest(source, at)
@@ -118,6 +128,14 @@ class Normalizer:
         return bytes(out), [*align, kept_to]
 
 
+def _valid(source: bytes) -> bool:
+    try:
+        source.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def _offset(unit: int) -> int:
     return (unit >> 10) << ((unit & 0x200) >> 6)
 
