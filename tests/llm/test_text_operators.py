@@ -123,6 +123,19 @@ def test_guess_cost_order():
     assert cost("Zq7!" * 3000) > 0
 
 
+def test_guesses_of_labelled_cases(spark):
+    clean = "required incorrect forgotten expired protected optional disabled invalid missing unknown stored changed encrypted Required administrator".split()
+    planted = ["xq7vkz", "k3x9wq", "Zq8xKw", "t9#Xq2", "w4zj8qk", "Bq7xZ3v", "xkq#9vz", "qzx7wkvj", "G7xq2Lw9Zt"]
+    cost = secret_scan.guess_cost
+    assert [w for w in clean if cost(w) >= 8] == []
+    assert [w for w in planted if cost(w) < 8] == []
+    said = [f"the password is {w} here" for w in clean]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([*said, *(f"the password is {w} here" for w in planted)])], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secret_scan.redact(rows).collect()}
+    assert [got[k] for k in range(len(clean))] == said
+    assert {got[k + len(clean)] for k in range(len(planted))} == {"the password is [SECRET] here"}
+
+
 def test_codec_is_the_library(spark, docs):
     import sentencepiece
 

@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and a guess cost for values in a credential's context.
 
 The value that follows a credential word is cut into the segmentation that an attacker would
-guess soonest: words of a list, dates, repeats, keyboard walks and brute-force spans, by
-dynamic programming over log10 guesses. A value that still costs `min_cost` decades is a
+guess soonest: words of a list (COMMON_WORDS, then the words of two public vocabularies), dates,
+repeats, keyboard walks and brute-force spans over the value's alphabets, by dynamic programming
+over log10 guesses. A value that still costs `min_cost` decades is a
 secret; a placeholder such as "password123" is not.
 
 Defined cases: a null text is empty and has no spans; spans are code points, end exclusive;
@@ -13,6 +14,7 @@ scanned each by itself; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 
@@ -20,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import free_name, text_struct
+from .blocks import free_name, text_struct, worker_cache
+from .pieces import NORMAL, SPACE, ModelFile
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -45,17 +48,37 @@ COMMON_WORDS = (
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
-#: log10 guesses of one brute-force character, and of one more segment.
-BRUTE, SEGMENT = 1.0, 1.0
+#: Alphabets of brute-force characters; a value is guessed over those that it holds. Others count as a hundred.
+ALPHABETS = ((re.compile(r"[0-9]"), 10), (re.compile(r"[a-z]"), 26), (re.compile(r"[A-Z]"), 26), (re.compile(r"[!-/:-@\[-`{-~]"), 33), (re.compile(r"[^!-~]"), 100))
+#: log10 guesses of one more segment.
+SEGMENT = 1.0
+#: The word list after COMMON_WORDS: pieces of LEAST_WORD ASCII letters or more of these files, those that stand alone as words before parts of words.
+WORD_FILES, LEAST_WORD = ("piece_bpe_32k.model", "word_bpe_49k.json"), 3
 
-_RANK = {w: k + 1 for k, w in enumerate(COMMON_WORDS)}
-_LONGEST = max(map(len, COMMON_WORDS))
 _NEXT = {(a, b) for row in ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:])}
 
 
+def ranks() -> tuple[dict[str, int], int]:
+    """The rank of each word of the list, and the longest word's length; read once by a worker."""
+    cache = worker_cache()
+    if "secret words" not in cache:
+        import public_tokenizers
+
+        model = ModelFile(public_tokenizers.path(WORD_FILES[0]))
+        pieces = [(p.removeprefix(SPACE), p.startswith(SPACE)) for p, k in zip(model.pieces, model.kinds) if k == NORMAL]
+        with open(public_tokenizers.path(WORD_FILES[1]), encoding="utf-8") as f:
+            pieces += [(p.removesuffix("</w>"), p.endswith("</w>")) for p in json.load(f)["model"]["vocab"]]
+        pieces = [(w.lower(), alone) for w, alone in pieces if len(w) >= LEAST_WORD and w.isascii() and w.isalpha()]
+        words = dict.fromkeys([*COMMON_WORDS, *(w for w, alone in pieces if alone), *(w for w, alone in pieces if not alone)])
+        cache["secret words"] = {w: k + 1 for k, w in enumerate(words)}, max(map(len, words))
+    return cache["secret words"]
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses of the cheapest segmentation. Linear in the value's length."""
     n = len(value)
+    rank_of, longest = ranks()
+    char = math.log10(max(1, sum(size for kind, size in ALPHABETS if kind.search(value))))
     low = value.lower()
     plain = low.translate(LEET)
     dates = {}
@@ -69,11 +92,11 @@ def guess_cost(value: str) -> float:
     for end in range(1, n + 1):
         last = end - 1
         extra = lambda start: SEGMENT if start else 0.0
-        brute[end] = min(best[last] + extra(last), brute[last]) + BRUTE
+        brute[end] = min(best[last] + extra(last), brute[last]) + char
         cost = brute[end]
-        for start in range(max(0, end - _LONGEST), end):
+        for start in range(max(0, end - longest), end):
             word = plain[start:end]
-            if (rank := _RANK.get(word)) and best[start] < cost:
+            if (rank := rank_of.get(word)) and best[start] < cost:
                 bent = value[start:end] != low[start:end], low[start:end] != word
                 cost = min(cost, best[start] + extra(start) + math.log10(rank * (1 + 2 * sum(bent))))
         for start in dates.get(end, ()):
