@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,30 @@ def test_cover_has_every_difference():
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert anchor_dedup.deduplicated(none).count() == suffix_dedup.deduplicated(none).count() == 0
+
+
+def test_contexts_of_one_key_are_sorted_apart(monkeypatch):
+    rng = np.random.default_rng(5)
+    gram = bytes(range(97, 113))
+    texts = [rng.integers(97, 123, 84, dtype=np.uint8).tobytes() + gram + rng.integers(97, 123, 84, dtype=np.uint8).tobytes() for _ in range(300)]
+    texts += [texts[k][20:150] + b"#" * 30 for k in range(0, 300, 3)] + [texts[7] + b"%" + texts[7]]
+
+    def lost():
+        n = len(texts)
+        payload = suffix_dedup._packed(np.full(n, 7, "<u8"), np.arange(n, dtype="<i8"), np.arange(n, dtype="<i4"), texts)
+        out = suffix_dedup._sort_shard(pa.table({"bucket": pa.array([0], pa.int32()), "block": pa.array([0], pa.int32()), "payload": pa.array([payload], pa.binary())}))
+        rows = np.concatenate([np.frombuffer(x, suffix_dedup.RANGE) for x in out.column("payload").to_pylist()])
+        return {(int(r["serial"]), at) for r in rows for at in range(r["begin"], r["end"])}
+
+    seen, want = set(), set()
+    for k, text in enumerate(texts):
+        for at in range(len(text) - suffix_dedup.LENGTH + 1):
+            window = text[at : at + suffix_dedup.LENGTH]
+            want |= {(k, at)} if window in seen else set()
+            seen.add(window)
+    assert want and lost() == want
+    sizes, sort = [], suffix_dedup._lost_windows
+    monkeypatch.setattr(suffix_dedup, "PART", 4000)
+    monkeypatch.setattr(suffix_dedup, "_lost_windows", lambda strings: sizes.append(sum(map(len, strings))) or sort(strings))
+    assert lost() == want
+    assert max(sizes) <= 4500 < sum(map(len, texts))

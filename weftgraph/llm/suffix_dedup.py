@@ -9,8 +9,9 @@ the same key travel as one string. A block of documents sends a string only if i
 twice anywhere, and equal strings of a block only once, so a passage that a third of all
 documents hold costs its length once a block. A shard collapses equal strings to the earliest.
 
-*Sorting.* A shard's strings are cut into parts by key, each sorted on its own by `induced`
-(disk-backed queues with common-prefix values). Neighbours in suffix order that share LENGTH
+*Sorting.* A shard's strings are held in memory and cut into parts by key, each sorted on its own
+by `induced` (disk-backed queues with common-prefix values). A part that one key makes too large is
+cut again, by the least gram under another hash, so that many contexts of one gram are sorted apart. Neighbours in suffix order that share LENGTH
 bytes are one window; all its places but the first are lost. A lost window goes back to its
 block as a range of starts, and the block removes the bytes that lost windows cover.
 
@@ -31,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchor_dedup import distinct_once, ordered, repeated, returned
-from .blocks import BASE_A, PACKED, Rolling, bucket_cuts, by_block, chunks_of, in_blocks, isin_sorted, mix, packed_rows, packed_table, partitions
+from .blocks import BASE_A, BASE_B, PACKED, Rolling, bucket_cuts, by_block, chunks_of, in_blocks, isin_sorted, mix, packed_rows, packed_table, partitions
 from .induced import BREAK, SENTINEL, SHIFT, equal_windows
 
 LENGTH, GRAM = 100, 16
 #: Grams of a window; as many windows can hold one gram.
 REACH = LENGTH - GRAM + 1
-#: Bytes that a shard sorts at once; only the strings of one key can exceed it, and then the queues go to disk.
+#: Bytes that a shard sorts at once; only strings with one key by both hashes can exceed it, and then the queues go to disk.
 PART = 1 << 23
 RANGE = np.dtype([("serial", "<i4"), ("begin", "<i4"), ("end", "<i4")])
 
@@ -45,7 +46,7 @@ RANGE = np.dtype([("serial", "<i4"), ("begin", "<i4"), ("end", "<i4")])
 class Strings:
     """The keyed strings of several texts: where each run of windows begins, how many there are, and its key."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], base: int = BASE_A):
         self.joined = b"".join(texts)
         self.buffer = np.frombuffer(self.joined, dtype=np.uint8)
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
@@ -56,7 +57,7 @@ class Strings:
             self.echo = self.starts = self.counts = np.zeros(0, dtype=np.int64)
             self.keys = np.zeros(0, dtype=np.uint64)
             return
-        grams = least = Rolling(self.buffer, BASE_A).windows(GRAM)
+        grams = least = Rolling(self.buffer, base).windows(GRAM)
         width = 1
         while 2 * width <= REACH:
             least = np.minimum(least[:-width], least[width:])
@@ -193,6 +194,26 @@ def _lost_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return string, at - np.concatenate(([0], ends + 1))[string]
 
 
+def _lost_of(strings: list[bytes]):
+    """What _lost_windows finds, in groups. Beyond PART bytes strings are cut again by the least gram of another hash, and sorted by it."""
+    if sum(map(len, strings)) + len(strings) <= PART:
+        yield _lost_windows(strings)
+        return
+    keys, whose, begins, counts, selfish = [], [], [], [], []
+    for s, e in chunks_of(strings):
+        x = Strings(strings[s:e], BASE_B)
+        which = np.searchsorted(x.text_ends, x.starts, side="right")
+        keys.append(x.keys), whose.append(which + s), begins.append(x.starts - x.text_starts[which]), counts.append(x.counts), selfish.append(x.selfish())
+    keys, whose, begins, counts, selfish = map(np.concatenate, (keys, whose, begins, counts, selfish))
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    order = order[np.concatenate((same, [False])) | np.concatenate(([False], same)) | selfish[order]]
+    for s, e in _parts(keys[order], counts[order] + LENGTH):
+        some = np.sort(order[s:e])  # in order of place
+        string, at = _lost_windows([strings[w][b : b + n + LENGTH - 1] for w, b, n in zip(whose[some].tolist(), begins[some].tolist(), counts[some].tolist())])
+        yield whose[some[string]], begins[some[string]] + at
+
+
 def _sort_shard(table: pa.Table) -> pa.Table:
     blocks, hashes, keys, serials, contents = [], [], [], [], []
     for block, payload in zip(table.column("block").to_pylist(), table.column("payload").to_pylist()):
@@ -230,11 +251,11 @@ def _sort_shard(table: pa.Table) -> pa.Table:
     sizes = np.array([len(contents[k]) + 1 for k in kept.tolist()], dtype=np.int64)
     for s, e in _parts(hashes[kept], sizes):
         part = kept[s:e][np.lexsort((serials[kept[s:e]], keys[kept[s:e]]))]
-        string, at = _lost_windows([contents[k] for k in part.tolist()])
-        if len(at):
-            cut = np.flatnonzero((np.diff(string) != 0) | (np.diff(at) != 1)) + 1
-            begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)]))
-            lose(part[string[begin]], at[begin], at[end - 1] + 1)
+        for string, at in _lost_of([contents[k] for k in part.tolist()]):
+            if len(at):
+                cut = np.flatnonzero((np.diff(string) != 0) | (np.diff(at) != 1)) + 1
+                begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(at)]))
+                lose(part[string[begin]], at[begin], at[end - 1] + 1)
     return packed_table(by_block(table.column("bucket")[0].as_py(), np.concatenate(out), np.concatenate(out_block)))
 
 
