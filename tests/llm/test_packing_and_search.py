@@ -112,3 +112,13 @@ def test_few_and_empty(spark):
     assert [tuple(r) for r in pivot_search.top_k(few, lambda v: v % 100 == 0).collect()] == [(0, 1, 1, 4 * 1024 * 1024)]
     assert pivot_search.top_k(few.limit(0), lambda v: v % 100 == 0).count() == 0
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string"), queries.tokenizer("word_bpe_49k.json")).count() == 0
+
+
+def test_search_of_several_dimensions(spark):
+    rng = np.random.default_rng(2)
+    sets = {6: range(0, 300), 4: range(300, 420), 1: range(420, 500), 0: range(500, 520)}
+    rows = {n: [(i, rng.normal(size=n).astype(np.float32).tolist()) for i in ids] for n, ids in sets.items()}
+    df = spark.createDataFrame([r for part in rows.values() for r in part], "vec_id long, embedding array<float>").repartition(3)
+    want = sum((plain_search(rows[n]) for n in (6, 4)), Counter())
+    want += Counter((500, k + 1, 501 + k, 0) for k in range(10))  # vectors of no component: ties
+    assert Counter(tuple(r) for r in pivot_search.top_k(df, lambda v: v % 100 == 0).collect()) == want

@@ -13,9 +13,9 @@ vector lies between distances r0 and r1 from a pivot, and the query at distance
 is at least max(d - r1, r0 - d) from the query. Annuli beyond that are never read. Pivots are a
 bounded sample (the PIVOTS smallest hashes), which affects the speed only; the search is exact.
 
-Defined cases: vectors that are null, empty, or hold a null or non-finite component, or whose
-id is null, take no part; of several dimensions only the commonest (the larger on a tie) takes
-part; ties in score go to the smaller id; rows that share an id are all candidates for other
+Defined cases: vectors that are null or hold a null or non-finite component, or whose id is
+null, take no part; vectors of each dimension (of none, too) have their own index and are each
+other's only candidates; ties in score go to the smaller id; rows that share an id are all candidates for other
 queries, and one query (the one whose bytes come first); fewer than k candidates are all
 returned; extra columns are not read. Scores are exact while they fit 64 bits.
 """
@@ -37,7 +37,7 @@ def _whole(batches):
         ids, column = batch.column(0), batch.column(1)
         keep_id, keep, norms = [], [], []
         for i, x in zip(ids.to_pylist(), column.to_pylist()):
-            if i is None or not x or None in x:
+            if i is None or x is None or None in x:
                 continue
             v = np.array(x, dtype=np.float64)
             if not np.isfinite(v).all():
@@ -175,15 +175,19 @@ def _meet(k: int):
 
 def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query (a condition on vec_id) the k highest scores among other ids."""
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     every = whole_vectors(vectors)
     width_of = (F.length("q") / 8).cast("int")
-    common = every.groupBy(width_of.alias("width")).agg(F.count("*").alias("n"), F.max("norm2").alias("m2")).orderBy(F.desc("n"), F.desc("width")).limit(1).collect()
-    if not common:
-        return empty
-    width, m2 = common[0]["width"], common[0]["m2"]
-    every = every.filter(width_of == width)
+    queries = every.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("q").alias("q"))
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # one row a dimension
+    for r in every.groupBy(width_of.alias("width")).agg(F.max("norm2").alias("m2")).orderBy("width").collect():
+        out = out.unionByName(_top_k(every.filter(width_of == r["width"]), queries.filter(width_of == r["width"]), r["m2"], k))
+    return out
+
+
+def _top_k(every: DataFrame, queries: DataFrame, m2: float, k: int) -> DataFrame:
+    """The same among whole vectors of one dimension; m2 is their largest squared norm."""
+    spark = every.sparkSession
     sample = every.orderBy(F.xxhash64("q", "vec_id"), "vec_id").limit(PIVOTS).collect()  # a bounded sample
     pivots = np.unique(_lifted(_matrix([bytes(r["q"]) for r in sample]), m2), axis=0)
     ring = max(1.0, 2 * float(np.sqrt(m2)) / ANNULI)
@@ -195,7 +199,6 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     annuli = spark.createDataFrame([(p, g, a, int(index.slices[a])) for (p, g), a in at.items()], "pivot int, ring int, annulus int, slices int")
     shards = keyed.join(F.broadcast(annuli), ["pivot", "ring"]).select("vec_id", "q", "annulus", F.pmod(F.xxhash64("vec_id", F.col("r")), F.col("slices")).cast("int").alias("slice"))
     shards = shards.groupBy("annulus", "slice")
-    queries = every.filter(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("q").alias("q"))
     asked = "annulus int, slice int, queries binary"
     one = shards.cogroup(queries.mapInArrow(_ask(index, k, False), asked).groupBy("annulus", "slice")).applyInArrow(_meet(k), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
