@@ -2,7 +2,8 @@
 
 `graph(spark, dir)` builds it with DataFrames; `PRELUDE` derives the same tables as SQL views
 for an oracle. Symbols, inheritance and blame use every row of their tables; dependencies use the
-tenth of part with p_partkey % 10 = 0.
+tenth of part with p_partkey % 10 = 0. Calls use the lines of orders that are 1-URGENT and F, and
+backward steps only of orders with o_orderkey % 97 = 0; imports the returned lines of quantity 50.
 """
 
 from __future__ import annotations
