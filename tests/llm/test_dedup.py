@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.test_ngram_join import twins
 from weftgraph.llm import anchor_dedup, suffix_dedup
 
 
@@ -140,3 +141,14 @@ def test_contexts_of_one_key_are_sorted_apart(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_lost_windows", lambda strings: sizes.append(sum(map(len, strings))) or sort(strings))
     assert lost() == want
     assert max(sizes) <= 4500 < sum(map(len, texts))
+
+
+def test_unlike_strings_and_long_texts(spark):
+    x, y = twins()
+    rng = random.Random(5)
+    same = " ".join(f"v{k}" for k in range(19))
+    long = " ".join(rng.choices([f"w{k}" for k in range(3000)], k=60000))
+    rows = [(1, f"{x} {same}"), (2, f"{y} {same}"), (3, " ".join(x)), (4, " ".join(y)), (5, long), (6, "a " + long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("block"), F.lit(1).alias("key"))
+    assert Counter(tuple(r) for r in anchor_dedup.deduplicated(df, texts=False).collect()) == plain_words(rows, 20)
+    assert Counter(tuple(r) for r in suffix_dedup.deduplicated(df, texts=False).collect()) == plain_bytes(rows, 100)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import ngram_join
+from weftgraph.llm import blocks, ngram_join
 
 
 def grams(text, n=3):
@@ -114,5 +114,72 @@ def test_any_rarity_gives_the_same(spark, monkeypatch, rare):
     assert Counter(tuple(r) for r in ngram_join.classes(frame(spark, rows), n=2, percent=80).collect()) == plain(rows, 2, 80)
 
 
+def twins(n=4096):
+    """A Thue-Morse string and its complement, which hashes modulo 2 ** 64 take for equal."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_unlike_strings_differ(spark):
+    x, y = twins()
+    rows = [(1, f"{x} {x} {x}"), (2, f"{y} {y} {y}"), (3, " ".join(x)), (4, " ".join(y))]
+    assert Counter(tuple(r) for r in ngram_join.classes(frame(spark, rows)).collect()) == plain(rows)
+
+
+def test_hashes_of_slices_and_windows():
+    rng = np.random.default_rng(3)
+    buffer = rng.integers(0, 3, 4000).astype(np.uint8)
+    starts = rng.integers(0, 3900, 3000)
+    ends = np.minimum(starts + rng.integers(0, 90, 3000), 4000)
+    seen = {}
+    for h, s, e in zip(blocks.slice_hashes(buffer, starts, ends).tolist(), starts.tolist(), ends.tolist()):
+        assert seen.setdefault(h, bytes(buffer[s:e])) == bytes(buffer[s:e])
+    assert len(seen) == len({bytes(buffer[s:e]) for s, e in zip(starts, ends)})
+    values = rng.integers(0, 2, 500).astype(np.uint64)
+    for length in (1, 2, 3, 5, 8, 20, 21):
+        pairs = {(h, tuple(values[k : k + length].tolist())) for k, h in enumerate(blocks.window_hashes(values, length).tolist())}
+        assert len(pairs) == len({h for h, _ in pairs}) == len({w for _, w in pairs})
+
+
+@pytest.mark.parametrize("in_task", [0, 1 << 20])
+def test_components(spark, monkeypatch, in_task):
+    monkeypatch.setattr(blocks, "IN_TASK", in_task)
+    rng = random.Random(4)
+    edges = [(k, k + 1) for k in range(300)] + [(1000 - k, 1001 - k) for k in range(60)] + [(5000, 2000 + k) for k in range(200)] + [(rng.randint(-90, -1), rng.randint(-90, -1)) for _ in range(70)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    rng.shuffle(edges)
+    got = blocks.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert Counter(tuple(r) for r in got) == Counter((x, root(x)) for x in up if root(x) != x)
+
+
+def test_product_equals_intersections():
+    rng = np.random.default_rng(8)
+    for dense in (1, 32, 10**9):
+        pool = rng.integers(0, 2**63, 400).astype(np.uint64)
+        sets = [np.unique(np.concatenate((pool[:150] if k % 3 else pool[:0], rng.choice(pool, rng.integers(1, 200))))) for k in range(60)]
+        want = np.array([[len(np.intersect1d(a, b)) for b in sets[20:]] for a in sets[:40]])
+        assert (ngram_join._overlaps(sets[:40], sets[20:], dense, 500) == want).all()
+
+
+def test_repeated_and_missing_ids(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, words), (None, words), (7, words), (7, "other " + words[:30]), (3, words + " z"), (None, ""), (None, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("later"), F.lit(2).alias("row"), F.lit(3).alias("_later"))
+    kept = ngram_join.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, words), (7, rows[3][1]), (None, ""), (None, ""), (9, None)])
+    once = docs.filter("text like '% z'").unionByName(docs.filter("doc_id = 9"))
+    assert ngram_join.deduplicated(once).count() == 2
+
+
 def test_empty_table(spark):
     assert ngram_join.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0

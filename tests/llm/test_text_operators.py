@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.test_ngram_join import twins
 from weftgraph.llm import piece_codec, pieces, quality_rules, queries, secret_scan, token_counts
 
 AWKWARD = [
@@ -60,6 +61,34 @@ def test_quality_measures(docs):
     assert got == Counter((r.doc_id, *quality(r.text)) for r in docs.collect())
 
 
+def test_quality_of_unlike_lines_and_long_texts(spark):
+    x, y = twins()
+    rows = [(1, f"{x}\n{y}"), (2, f"{x} {x} {x} {y} {y} {y}"), (3, "word " * 40000), (4, f"{x}\n{y}\n{x}")]
+    got = quality_rules.ledger(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("base", ~quality_rules.passes(F.col("failed_bits"), "base"))
+    assert as_multiset(got, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base"]) == Counter((i, *quality(t)) for i, t in rows)
+
+
+def plain_bits(text):
+    """Names of the rules that a text fails, each by its definition."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, chars = len(words), sum(map(len, words))
+    letter = sum(bool(re.search("[A-Za-z]", w)) or any(b in range(0xC3, 0xF5) for b in w.encode()) for w in words)
+    upper = sum(bool(re.search("[A-Z]", w)) and not re.search("[a-z]", w) for w in words)
+    tests = {
+        "symbols": 10 * len(re.findall(r"[#*$%&|<>]", text or "")) > 3 * n, "short_words": chars < 2 * n, "long_words": chars > 20 * n, "repeated_lines": len(lines) >= 5 and 2 * (len(lines) - len(set(lines))) > len(lines),
+        "few_letters": 10 * letter < 6 * n, "upper_case": n > 0 and 10 * upper > 6 * n, "many_words": n > 1000000,
+    }
+    return {k for k, failed in tests.items() if failed}
+
+
+def test_every_rule(docs):
+    rows = quality_rules.ledger(docs).collect()
+    texts = Counter((r.doc_id, frozenset(plain_bits(r.text))) for r in docs.collect())
+    other = [r for r in quality_rules.RULES if r not in quality_rules.BASE]
+    assert Counter((r.doc_id, frozenset(x for x in other if r.failed_bits >> quality_rules.BITS[x] & 1)) for r in rows) == texts
+
+
 def test_quality_policies(spark, docs):
     ledger = quality_rules.ledger(docs).cache()
     rows = ledger.collect()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BASE_A, BASE_B, BASE_C, PACKED, Rolling, Words, by_block, chunks_of, in_blocks, isin_sorted, packed_rows, packed_table, partitions, starts_within, texts_of, unpacked
+from .blocks import PACKED, SEED_B, SEED_C, Words, by_block, chunks_of, in_blocks, isin_sorted, packed_rows, packed_table, partitions, starts_within, texts_of, unpacked, window_hashes
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
@@ -82,7 +82,7 @@ def _places(w: Words) -> np.ndarray:
 
 def _anchors(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where anchors begin, and their hashes."""
-    windows = Rolling(hashes, BASE_B).windows(ANCHOR)
+    windows = window_hashes(hashes, ANCHOR)
     covered = np.zeros(PERIOD, dtype=bool)
     covered[list(COVER)] = True
     at = np.flatnonzero((starts_within(w.counts, ANCHOR) & covered[_places(w) % PERIOD])[: len(windows)])
@@ -91,7 +91,7 @@ def _anchors(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _windows(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where windows begin, and two hashes of each."""
-    one, two = Rolling(hashes, BASE_B).windows(WINDOW), Rolling(hashes, BASE_C).windows(WINDOW)
+    one, two = window_hashes(hashes, WINDOW, SEED_B), window_hashes(hashes, WINDOW, SEED_C)
     at = np.flatnonzero(starts_within(w.counts, WINDOW)[: len(one)])
     return at, one[at], (two[at] >> np.uint64(32)).astype(np.uint32)
 
@@ -99,7 +99,7 @@ def _windows(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 def _find_anchors(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         _, _, texts = ordered(table)
-        found = [_anchors(w := Words(texts[s:e]), w.hashes(BASE_A))[1] for s, e in chunks_of(texts)]
+        found = [_anchors(w := Words(texts[s:e]), w.hashes())[1] for s, e in chunks_of(texts)]
         seen = distinct_once(np.concatenate(found)) if found else np.zeros(0, dtype=SEEN)
         return packed_table(packed_rows(seen, seen["hash"], buckets, table.column("block")[0].as_py()))
 
@@ -115,7 +115,7 @@ def _extend(buckets: int):
         found = []
         for s, e in chunks_of(texts):
             w = Words(texts[s:e])
-            hashes = w.hashes(BASE_A)
+            hashes = w.hashes()
             at, anchor = _anchors(w, hashes)
             near = np.zeros(len(w.starts) + PERIOD + 1, dtype=np.int64)
             near[at[isin_sorted(anchor, twice)] + 1] = 1
@@ -150,14 +150,14 @@ def _earlier(table: pa.Table) -> pa.Table:
 
 def _pairs(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Both hashes as one 64-bit value for looking up; 96 bits decide within a block's few windows."""
-    return one ^ (two.astype(np.uint64) * np.uint64(BASE_C))
+    return one ^ (two.astype(np.uint64) * np.uint64(SEED_C))
 
 
 def _remove(table: pa.Table, back: pa.Table) -> pa.Table:
     keys, ids, texts = ordered(table)
     lost = returned(back, LOST)
     gone = np.sort(_pairs(lost["hash"], lost["more"]))
-    parts = [(s, e, w := Words(texts[s:e]), *_windows(w, w.hashes(BASE_A))) for s, e in chunks_of(texts)]
+    parts = [(s, e, w := Words(texts[s:e]), *_windows(w, w.hashes())) for s, e in chunks_of(texts)]
     values = [_pairs(p[4], p[5]) for p in parts]
     joined = np.concatenate(values) if values else np.zeros(0, np.uint64)
     order = np.argsort(joined, kind="stable")

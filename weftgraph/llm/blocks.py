@@ -1,4 +1,7 @@
-"""Shared plumbing: rolling hashes over Arrow text, document blocks, packed exchanges, components.
+"""Shared plumbing: hashes over Arrow text, document blocks, packed exchanges, components.
+
+*Hashes.* A word is hashed by its bytes, a window of words by joining the hashes of its halves;
+every step ends in a bijective finaliser, so no arrangement of words cancels out.
 
 *Document blocks.* `in_blocks` deals documents to blocks by a hash of their id. Within a block
 everything is pre-aggregated: a block sends each distinct hash once, however many of its
@@ -10,17 +13,22 @@ carries one block's share of one bucket as bytes, so the JVM moves few large row
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Multipliers of the rolling hashes: any odd numbers of 64 bits.
-BASE_A, BASE_B, BASE_C = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+#: Seeds of hashes that must be independent of each other.
+SEED_A, SEED_B, SEED_C = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+_ODD = U64(0x9FB21C651E98DF25)
+#: Slices longer than this are hashed one by one.
+_LONG = 64
 #: Order of documents without an id: before all others.
 NO_ID = -(2**63)
 
@@ -39,39 +47,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64 for i < n; kept by the worker and grown as needed."""
-    cache = worker_cache()
-    have = cache.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        out = []
-        for b in (base, pow(base, -1, 2**64)):
-            p = np.full(size, b, dtype=U64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = cache[base] = (out[0], out[1]) if size <= 1 << 23 else (out[0], out[1])
-    return have[0][:n], have[1][:n]
+def eight_bytes(buffer: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one word, first byte lowest; zeros follow the end."""
+    padded = np.concatenate((buffer, np.zeros(8, dtype=np.uint8)))
+    return np.ndarray((len(buffer) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
-class Rolling:
-    """Hashes of any slices of a sequence of numbers, from prefix sums of value * base**i."""
 
-    def __init__(self, values: np.ndarray, base: int):
-        n = len(values)
-        p, self.inverse = powers(base, n + 1)
-        self.sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum((values.astype(U64) + U64(1)) * p[:n], out=self.sums[1:])
+def slice_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of slices of bytes: all slices at once, eight bytes at a time; long ones by xxh3."""
+    words, lengths = eight_bytes(buffer), ends - starts
+    out = mix(lengths.astype(U64) + U64(SEED_A))
+    live, at = np.flatnonzero((lengths > 0) & (lengths <= _LONG)), 0
+    while len(live):
+        left = lengths[live] - at
+        out[live] = mix(out[live] ^ (words[starts[live] + at] & _MASKS[np.minimum(left, 8)]))
+        at += 8
+        live = live[left > 8]
+    view = memoryview(buffer)
+    for k in np.flatnonzero(lengths > _LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(view[starts[k] : ends[k]])
+    return out
 
-    def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
-    def windows(self, length: int) -> np.ndarray:
-        """Of each window of that length, by its start."""
-        n = len(self.sums) - length
-        if n <= 0:
-            return np.zeros(0, dtype=U64)
-        return mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n])
+def window_hashes(values: np.ndarray, length: int, seed: int = SEED_B) -> np.ndarray:
+    """Hashes of every `length` consecutive numbers, by their starts: windows of one, two, four ... are joined."""
+    n = len(values) - length + 1
+    if n <= 0:
+        return np.zeros(0, dtype=U64)
+    block, span, out, have = mix(values.astype(U64) ^ U64((seed + length) & (2**64 - 1))), 1, None, 0
+    while True:
+        if length & span:
+            out = block[:n] if out is None else mix(out * _ODD + block[have : have + n])
+            have += span
+        if 2 * span > length:
+            return out
+        block = mix(block[:-span] * _ODD + block[span:])
+        span *= 2
 
 
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -107,8 +121,8 @@ class Words:
         self.first = np.searchsorted(self.starts, np.concatenate((self.text_starts, self.text_ends[-1:])))
         self.counts = np.diff(self.first)
 
-    def hashes(self, base: int = BASE_A) -> np.ndarray:
-        return Rolling(self.buffer, base).slices(self.starts, self.ends)
+    def hashes(self) -> np.ndarray:
+        return slice_hashes(self.buffer, self.starts, self.ends)
 
 
 def starts_within(counts: np.ndarray, length: int) -> np.ndarray:
@@ -175,10 +189,13 @@ def isin_sorted(values: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, which all executors share; a temporary one only where none is set."""
+    """The checkpoint folder of the session, which all executors share. Where none is set, a local session gets a temporary one; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and re.fullmatch(r"local(\[.*\])?", sc.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weft-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -188,23 +205,91 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
+PACKED_EDGES = "part int, payload binary"
+#: So few edges between trees (16 MB) are connected in one task; more are contracted in rounds until no more are left.
+IN_TASK = 1 << 20
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of edges (a, b) in order, and the least node that each is connected to."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
+def packed_edges(a: np.ndarray, b: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Rows of edges from each tree's least node to its others, by a hash of the other."""
+    nodes, roots = forest(a, b)
+    other = nodes != roots
+    nodes, roots = nodes[other], roots[other]
+    part = (mix(nodes.astype(np.int64).view(U64)) % U64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.empty(len(nodes), dtype=PAIR)
+    edges["a"], edges["b"] = roots[order], nodes[order]
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    return [(k, edges[s:e].tobytes()) for k, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if s < e]
+
+
+def packed_edge_table(rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def pack_edges(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) as rows for `components`; each batch sends a spanning forest only."""
+    parts = partitions(edges.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            yield from packed_edge_table(packed_edges(a, b, parts)).to_batches()
+
+    return edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, PACKED_EDGES)
+
+
+def _trees(table: pa.Table) -> pa.Table:
+    edges = np.concatenate([np.frombuffer(p, dtype=PAIR) for p in table.column("payload").to_pylist()])
+    nodes, roots = forest(edges["a"], edges["b"])
+    other = nodes != roots
+    return pa.table({"a": pa.array(roots[other]), "b": pa.array(nodes[other])})
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable over edges (a, b), of every node with an edge.
+    """(node, root): the smallest node reachable over edges (a, b), of every node that is not its own root.
 
-    Rounds of neighbour minimum and pointer jumping; a node's edges are only ever
-    aggregated, so a hub is pre-aggregated on the map side and split by the skew join.
+    `edges` has columns a and b, or is packed by `packed_edges`. Edges are dealt by their larger
+    node and contracted to trees; a hub is the smaller node of its edges, so no task holds all of
+    them. While more than IN_TASK edges are left, every node hooks to its least neighbour (an
+    aggregate with a map side) and the edges between hooked nodes are contracted again: rounds
+    grow with the logarithm of the nodes. The rest, a bounded number, is connected in one task.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = checkpointed(both)
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        lower = labels.join(near, "node", "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("m", "root")).alias("up"))
-        heads = lower.select(F.col("node").alias("up"), F.col("up").alias("head"))
-        new = checkpointed(lower.join(heads, "up", "left").select("node", "was", F.least("up", F.coalesce("head", "up")).alias("root")))
-        labels = new.select("node", "root")
-        if new.filter("was <> root").isEmpty():
-            return labels
+    contracted = lambda packed: checkpointed(packed.groupBy("part").applyInArrow(_trees, "a long, b long"))
+    left = contracted(edges if "payload" in edges.columns else pack_edges(edges))
+    levels = []
+    while left.count() > IN_TASK:
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).filter("up < node"))
+        levels.append(up)
+        for end in ("a", "b"):
+            left = left.join(up.select(F.col("node").alias(end), "up"), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
+        left = contracted(pack_edges(left.filter("a <> b")))
+    one = pack_edges(left).groupBy(F.pmod("part", F.lit(1))).applyInArrow(_trees, "a long, b long")
+    labels = one.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    for up in reversed(levels):
+        heads = labels.select(F.col("node").alias("up"), "root")
+        labels = labels.unionByName(up.join(heads, "up", "left").select("node", F.coalesce("root", "up").alias("root")))
+    # a node that hooked, and to which others hooked, comes twice, with one root
+    return labels.groupBy("node").agg(F.min("root").alias("root")) if levels else labels
 
 
 # ---- one struct a text --------------------------------------------------------------------

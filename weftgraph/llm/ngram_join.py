@@ -29,18 +29,22 @@ The documents of a key of parts, or of next n-grams, are connected by a tree, no
 in a batch first and then between the batches' roots: a key that a third of all documents have
 costs an entry a batch, and its documents an edge each.
 
-*Product.* Documents connected as candidates are a cluster. A cluster is cut into chunks of
-bounded weight; a chunk is a sparse incidence matrix, multiplied by itself and by the first
-chunk, panel of n-grams by panel, adding overlap counts; pairs of sizes beyond the bound are
-never formed. Where several chunks remain unconnected, what is outside the largest class of
-its cluster meets every chunk, in chunks. Links become a spanning forest inside the task, so a
-group of copies costs its size in rows, not its square. No partner is dropped at any size.
+*Product.* Documents connected as candidates are a cluster; of documents with equal sets only one
+takes part. A cluster is cut into chunks of bounded weight; a chunk is a sparse incidence matrix
+that is multiplied by itself and by the first chunk, tile of documents by tile, adding overlap
+counts. N-grams that the same documents of a tile have are one weighted column; columns that most
+of a tile has are multiplied as a panel, the others scattered. Pairs of sizes beyond the bound are
+never formed, nor pairs of documents that links connect already. Where several chunks remain
+unconnected, what is outside the largest class of its cluster meets every chunk, in chunks. Links
+become trees inside the task, so a group of copies costs its size in rows, not its square. No
+partner is dropped at any size.
 
 Defined cases: a null or empty text, or one without words, has an empty set, links with
 nothing and is its own class; a text with fewer than N words has its whole sequence as one
-n-gram; rows that share an id are one document whose links are those of any of its rows, and
-each row keeps its own n_shingles; a row without an id links with nothing and has a null
-class; extra columns are not read. N-grams are compared by 64-bit hashes.
+n-gram; a very long text is one set like any other; equal sets link, whatever their ids; rows that
+share an id are one document whose links are those of any of its rows, and each row keeps its own
+n_shingles; a row without an id links with nothing and has a null class; extra columns are not
+read. N-grams are compared by 64-bit hashes, equal sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -52,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BASE_A, BASE_B, U64, Rolling, Words, bucket_cuts, checkpointed, chunks_of, components, mix, partitions, texts_of
+from .blocks import PACKED_EDGES, PAIR, SEED_C, U64, Words, bucket_cuts, checkpointed, chunks_of, components, forest, free_name, mix, pack_edges, packed_edge_table, packed_edges, partitions, texts_of, window_hashes
 
 #: Thresholds from here on use parts, lower ones rare prefixes; and how often a set is dealt anew.
 PARTS_FROM, LEVELS = 88, 8
@@ -60,9 +64,8 @@ PARTS_FROM, LEVELS = 88, 8
 RARE = 16
 NO_DOC = np.iinfo(np.int64).min
 #: N-gram entries of one chunk of a cluster.
-CHUNK = 1 << 21
+CHUNK = 1 << 22
 KEYED = np.dtype([("key", "<u8"), ("doc", "<i8")])
-PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 FACT = np.dtype([("kind", "<i8"), ("a", "<i8"), ("b", "<i8"), ("c", "<i8")])
 
 
@@ -74,14 +77,14 @@ def sets_of(texts: list[bytes], n: int) -> list[np.ndarray]:
     out = []
     for s, e in chunks_of(texts):
         w = Words(texts[s:e], lower=True)
-        rolling = Rolling(w.hashes(BASE_A), BASE_B)
-        windows = rolling.windows(n)
+        hashes = w.hashes()
+        windows = window_hashes(hashes, n)
         for k in range(e - s):
             a, b = int(w.first[k]), int(w.first[k + 1])
             if a == b:
                 out.append(np.zeros(0, dtype=U64))
             elif b - a < n:
-                out.append(rolling.slices(np.array([a]), np.array([b])))
+                out.append(window_hashes(hashes[a:b], b - a))
             else:
                 own = np.sort(windows[a : b - n + 1])
                 out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
@@ -153,33 +156,19 @@ def _stars(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.unique(edges[least != docs])
 
 
-def _trees(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents with an edge, in order, and the least document that each is connected to."""
-    nodes, at = np.unique(np.concatenate((edges["a"], edges["b"])), return_inverse=True)
-    a, b = at[: len(edges)], at[len(edges) :]
-    root = np.arange(len(nodes))
-    while True:
-        new = root.copy()
-        np.minimum.at(new, a, root[b])
-        np.minimum.at(new, b, root[a])
-        new = new[new]
-        if (new == root).all():
-            return nodes, nodes[root]
-        root = new
-
-
-def _collapsed(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _collapsed(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each key once with the root of its documents, and an edge from every other document to its root."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
-    nodes, roots = _trees(_stars(keys, docs))
+    edges = _stars(keys, docs)
+    nodes, roots = forest(edges["a"], edges["b"])
     first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
     keys, docs = keys[first], docs[first]
     if len(nodes):
         at = np.minimum(np.searchsorted(nodes, docs), len(nodes) - 1)
         docs = np.where(nodes[at] == docs, roots[at], docs)
     other = nodes != roots
-    return keys, docs, _made(SHARED, roots[other], nodes[other], 1)
+    return keys, docs, roots[other], nodes[other]
 
 
 def _groups(keys: np.ndarray) -> np.ndarray:
@@ -263,8 +252,7 @@ def _emit_more(n: int, percent: int, buckets: int):
                 at = int(np.searchsorted(g, cut))
                 found.append(g[at : at + lack] if at + lack <= len(g) else g)
             keys, docs = (mix(np.concatenate(found)) if found else np.zeros(0, U64)), np.repeat(ids, [len(f) for f in found])
-            keys, docs, edges = _collapsed(keys, docs)
-            yield _rows([(-1, edges.tobytes())] * bool(len(edges)) + _send(keys, docs, buckets))
+            yield _keyed_rows(*_collapsed(keys, docs), buckets)
 
     return run
 
@@ -278,8 +266,7 @@ def _emit_parts(n: int, percent: int, buckets: int):
             ids, sets = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sets_of(texts_of(batch.column(1)), n)
             found = [keys_of(g, sizes) if len(g) else g for g in sets]
             keys, docs = (np.concatenate(found) if found else np.zeros(0, U64)), np.repeat(ids, [len(f) for f in found])
-            keys, docs, edges = _collapsed(keys, docs)
-            yield _rows([(-1, edges.tobytes())] * bool(len(edges)) + _send(keys, docs, buckets))
+            yield _keyed_rows(*_collapsed(keys, docs), buckets)
 
     return run
 
@@ -294,11 +281,20 @@ def _postings(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return records["key"][order], records["doc"][order]
 
 
-def _link_stars(table: pa.Table) -> pa.Table:
-    """Edges between the documents of a bucket's keys; bucket -1 holds edges that batches found."""
-    if table.column("bucket")[0].as_py() < 0:
-        return _passed_on(table)
-    return _fact_table(_collapsed(*_postings(table))[2])
+def _keyed_rows(keys: np.ndarray, docs: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Postings, and in bucket -1 - part the edges that the batch has found itself."""
+    return _rows([(-1 - part, payload) for part, payload in packed_edges(a, b, buckets)] + _send(keys, docs, buckets))
+
+
+def _link_stars(buckets: int):
+    """Packed edges between the documents of a bucket's keys; a negative bucket holds edges that batches found."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if (bucket := table.column("bucket")[0].as_py()) < 0:
+            return packed_edge_table([(-1 - bucket, p) for p in table.column("payload").to_pylist()])
+        return packed_edge_table(packed_edges(*_collapsed(*_postings(table))[2:], buckets))
+
+    return run
 
 
 def _multiply_rare(rare: int):
@@ -333,123 +329,133 @@ def _multiply_rare(rare: int):
 # ---- product --------------------------------------------------------------------------------
 
 
-def _links(sets_a: list[np.ndarray], sets_b: list[np.ndarray], percent: int, panel: int = 4096, tile: int = 1024):
-    """Index pairs (i in a, j in b) whose sets link, tile by tile. Both lists are sorted by size."""
-    size_a, size_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
-    for s in range(0, len(sets_a), tile):
-        e = min(len(sets_a), s + tile)
-        # size-derived bounds: |a| * percent <= 100 * |b| and the other way round
-        lo = int(np.searchsorted(size_b * 100, size_a[s] * percent))
-        hi = int(np.searchsorted(size_b * percent, size_a[e - 1] * 100, side="right"))
-        for t in range(lo, hi, tile):
-            u = min(hi, t + tile)
-            row = np.repeat(np.arange(e - s), size_a[s:e])
-            col = np.repeat(np.arange(u - t), size_b[t:u])
-            grams_a, grams_b = np.concatenate(sets_a[s:e]), np.concatenate(sets_b[t:u])
-            both = np.intersect1d(grams_a, grams_b)
-            at_a, at_b = np.searchsorted(both, grams_a), np.searchsorted(both, grams_b)
-            in_a = both[np.minimum(at_a, len(both) - 1)] == grams_a if len(both) else np.zeros(len(grams_a), bool)
-            in_b = both[np.minimum(at_b, len(both) - 1)] == grams_b if len(both) else np.zeros(len(grams_b), bool)
-            row, at_a, col, at_b = row[in_a], at_a[in_a], col[in_b], at_b[in_b]
-            order_a, order_b = np.argsort(at_a, kind="stable"), np.argsort(at_b, kind="stable")
-            row, at_a, col, at_b = row[order_a], at_a[order_a], col[order_b], at_b[order_b]
-            overlap = np.zeros((e - s, u - t), dtype=np.float32)
-            for p in range(0, len(both), panel):  # exact: counts stay far below 2 ** 24
-                width = min(panel, len(both) - p)
-                a0, a1 = np.searchsorted(at_a, (p, p + width))
-                b0, b1 = np.searchsorted(at_b, (p, p + width))
-                left, right = np.zeros((e - s, width), dtype=np.float32), np.zeros((u - t, width), dtype=np.float32)
-                left[row[a0:a1], at_a[a0:a1] - p] = 1
-                right[col[b0:b1], at_b[b0:b1] - p] = 1
-                overlap += left @ right.T
-            count = overlap.astype(np.int64)
-            union = size_a[s:e, None] + size_b[None, t:u] - count
-            i, j = np.nonzero((100 * count >= percent * union) & (count > 0))
-            yield s + i, t + j
-
-
-class _Forest:
-    """Union-find over positions; keeps the edges that joined two trees."""
+def _overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray], dense: int = 32, most: int = 1 << 22) -> np.ndarray:
+    """The product of two tiles' incidence matrices: how many n-grams each pair of documents shares."""
+    rows, cols = len(sets_a), len(sets_b)
+    overlap = np.zeros(rows * cols)
+    grams_a, grams_b = np.concatenate(sets_a), np.concatenate(sets_b)
+    both = np.intersect1d(grams_a, grams_b)
+    if not len(both):
+        return overlap.reshape(rows, cols)
+
+    def incidence(sets: list[np.ndarray], grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents by n-gram that both tiles have, in order of n-gram."""
+        doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, grams), len(both) - 1)
+        held = both[at] == grams
+        doc, at = doc[held], at[held]
+        order = np.argsort(at, kind="stable")
+        return doc[order], np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(both)))))
+
+    doc_a, cut_a = incidence(sets_a, grams_a)
+    doc_b, cut_b = incidence(sets_b, grams_b)
+    # columns with the same documents are one column with their number as weight
+    same = mix(np.add.reduceat(mix(doc_a.astype(U64) + U64(SEED_C)), cut_a[:-1])) + np.add.reduceat(mix(doc_b.astype(U64) + U64(1)), cut_b[:-1])
+    _, column, weight = np.unique(same, return_index=True, return_counts=True)
+    size_a, size_b = np.diff(cut_a)[column], np.diff(cut_b)[column]
+    full = size_a * size_b * dense > rows * cols
+    for s in range(0, int(full.sum()), 1024):
+        some = column[full][s : s + 1024]
+        left, right = np.zeros((rows, len(some)), dtype=np.float32), np.zeros((len(some), cols), dtype=np.float32)
+        for k, c in enumerate(some.tolist()):
+            left[doc_a[cut_a[c] : cut_a[c + 1]], k] = 1
+            right[k, doc_b[cut_b[c] : cut_b[c + 1]]] = weight[full][s + k]
+        overlap += (left @ right).ravel()  # whole numbers far below 2 ** 24: exact
+    column, weight, size_a, size_b = column[~full], weight[~full], size_a[~full], size_b[~full]
+    total = np.cumsum(size_a * size_b)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most)))
+        # every entry of a column in the one tile meets every entry in the other
+        entries = np.repeat(np.arange(at, end), size_a[at:end])
+        place = np.arange(len(entries)) - np.repeat(np.cumsum(size_a[at:end]) - size_a[at:end], size_a[at:end])
+        left, times = doc_a[cut_a[column[entries]] + place], size_b[entries]
+        place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        right = doc_b[np.repeat(cut_b[column[entries]], times) + place]
+        overlap += np.bincount(np.repeat(left, times) * cols + right, weights=np.repeat(weight[entries], times), minlength=rows * cols)
+        at = end
+    return overlap.reshape(rows, cols)
+
+
+class _Classes:
+    """Labels of positions; a label is the least position that links connect it to."""
 
     def __init__(self, n: int):
-        self.up, self.edges = list(range(n)), []
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
+        self.label = np.arange(n)
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        up = np.array([self.root(x) for x in range(len(self.up))])
-        differ = up[i] != up[j]
-        pairs = np.unique(np.stack((up[i[differ]], up[j[differ]]), axis=1), axis=0) if differ.any() else []
-        for a, b in pairs.tolist() if len(pairs) else []:
-            ra, rb = self.root(a), self.root(b)
-            if ra != rb:
-                self.up[rb] = ra
-                self.edges.append((a, b))
-
-
-def _by_size(table: pa.Table, n: int):
-    docs, sets = np.array(table.column("doc_id").to_pylist(), dtype=np.int64), sets_of(texts_of(table.column("text")), n)
-    order = sorted((k for k in range(len(sets)) if len(sets[k])), key=lambda k: (len(sets[k]), docs[k]))
-    return docs[order], [sets[k] for k in order]
-
-
-EDGES = "a long, b long"
-
-
-def _edge_table(edges: set[tuple[int, int]]) -> pa.Table:
-    rows = sorted(e for e in edges if e[0] != e[1])
-    return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
+        i, j = self.label[i], self.label[j]
+        differ = i != j
+        if differ.any():
+            nodes, roots = forest(i[differ], j[differ])
+            to = np.arange(len(self.label))
+            to[nodes] = roots
+            self.label = to[self.label]
+
+
+def _connect(found: _Classes, sets: list[np.ndarray], sizes: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, percent: int, tile: int = 1024) -> None:
+    """Join all positions of_a and of_b that link. Both are in order of size, and may be the same."""
+    itself = of_a is of_b
+    size_b = sizes[of_b]
+    for s in range(0, len(of_a), tile):
+        rows = of_a[s : s + tile]
+        # size-derived bounds: |a| * percent <= 100 * |b| and the other way round
+        lo = s if itself else int(np.searchsorted(size_b * 100, sizes[rows[0]] * percent))
+        hi = int(np.searchsorted(size_b * percent, sizes[rows[-1]] * 100, side="right"))
+        for t in range(lo, hi, tile):
+            cols = of_b[t : min(hi, t + tile)]
+            # only what is outside the tiles' commonest class can link anew
+            label = found.label
+            names, counts = np.unique(label[np.concatenate((rows, cols))], return_counts=True)
+            if len(names) == 1:
+                continue
+            main = names[np.argmax(counts)]
+            out_a, out_b = label[rows] != main, label[cols] != main
+            halves = [(rows, cols)] if itself and s == t else [(rows[out_a], cols), (rows[~out_a], cols[out_b])]
+            for i, j in halves:
+                if not len(i) or not len(j):
+                    continue
+                overlap = _overlaps([sets[k] for k in i.tolist()], [sets[k] for k in j.tolist()]).astype(np.int64)
+                union = sizes[i][:, None] + sizes[j][None, :] - overlap
+                x, y = np.nonzero((100 * overlap >= percent * union) & (overlap > 0))
+                found.join(i[x], j[y])
 
 
 def _multiply(n: int, percent: int):
-    """Spanning forest of the links inside a chunk, and with the cluster's other side that the task holds."""
+    """Trees of the links inside a chunk, and with the cluster's other side that the task holds."""
 
     def run(table: pa.Table) -> pa.Table:
         # rows of `side` 0 meet each other and side 1; side 1 has met itself elsewhere
-        side = np.array(table.column("side").to_pylist())
-        cluster = np.array(table.column("cluster").to_pylist(), dtype=np.int64)
-        edges: set[tuple[int, int]] = set()
-        order = np.lexsort((side, cluster))
-        table, side, cluster = table.take(pa.array(order)), side[order], cluster[order]
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(cluster)) + 1, [len(cluster)]))
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            mid = s + int(np.searchsorted(side[s:e], 1))
-            docs, sets = _by_size(table.slice(s, mid - s), n)
-            # equal sets are one row of the matrix
-            first: dict[bytes, int] = {}
-            rows, of = [], []
-            for k, g in enumerate(sets):
-                key = g.tobytes()
-                if key in first:
-                    edges.add((int(docs[first[key]]), int(docs[k])))
-                else:
-                    first[key] = k
-                    rows.append(g)
-                    of.append(int(docs[k]))
-            other_docs, other = _by_size(table.slice(mid, e - mid), n)
-            ids = of + other_docs.tolist()
-            forest = _Forest(len(ids))
-            for i, j in _links(rows, rows, percent):
-                forest.join(i[i < j], j[i < j])
-            if other:
-                for i, j in _links(rows, other, percent):
-                    forest.join(i, j + len(rows))
-            edges |= {(ids[a], ids[b]) for a, b in forest.edges}
-        return _edge_table(edges)
+        docs, cluster = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("doc_id", "cluster"))
+        side = np.array(table.column("side").to_pylist(), dtype=np.int64)
+        sets = sets_of(texts_of(table.column("text")), n)
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        order = np.lexsort((docs, sizes, side, cluster))
+        order = order[sizes[order] > 0]
+        found = _Classes(len(sets))
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(cluster[order])) + 1, [len(order)])).tolist()
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            mid = s + int(np.searchsorted(side[order[s:e]], 1))
+            own, other = order[s:mid], order[mid:e]
+            _connect(found, sets, sizes, own, own, percent)
+            if len(other) and len(own):
+                _connect(found, sets, sizes, own, other, percent)
+        nodes, roots = forest(docs[found.label], docs)
+        joined = nodes != roots
+        return pa.table({"a": pa.array(roots[joined]), "b": pa.array(nodes[joined])})
 
     return run
 
 
+EDGES = "a long, b long"
+
+
 def candidates(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Edges (a, b) that connect all documents that may link, directly or not."""
+    """Packed edges that connect all documents that may link, directly or not."""
     parts = partitions(rows.sparkSession)
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("payload"), F.lit(parts))).alias("spread")
     if percent >= PARTS_FROM:
-        return rows.mapInArrow(_emit_parts(n, percent, parts), ROWS).groupBy("bucket", spread).applyInArrow(_link_stars, FACTS).select("a", "b")
+        return rows.mapInArrow(_emit_parts(n, percent, parts), ROWS).groupBy("bucket", spread).applyInArrow(_link_stars(parts), PACKED_EDGES)
     low = rows.mapInArrow(_emit_low(n, percent, parts), ROWS).groupBy("bucket", spread)
     facts = checkpointed(low.applyInArrow(_multiply_rare(RARE), FACTS))
     of = lambda kind, value: F.when(F.col("kind") == kind, value)
@@ -466,20 +472,41 @@ def candidates(rows: DataFrame, n: int, percent: int) -> DataFrame:
     pairs = pairs.filter(most * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent)
     short = known.filter("spare < 0").select("doc_id", (-F.col("spare")).alias("lack"))
     more = rows.join(short, "doc_id").select("doc_id", "text", "lack").mapInArrow(_emit_more(n, percent, parts), ROWS).groupBy("bucket", spread)
-    return pairs.select("a", "b").unionByName(more.applyInArrow(_link_stars, FACTS).select("a", "b"))
+    return pack_edges(pairs.select("a", "b")).unionByName(more.applyInArrow(_link_stars(parts), PACKED_EDGES))
+
+
+def _profile(n: int):
+    def run(batches):
+        for batch in batches:
+            sets = sets_of(texts_of(batch.column(1)), n)
+            one, two = (np.array([mix(s ^ seed).sum(dtype=U64) if len(s) else 0 for s in sets], dtype=U64).view(np.int64) for seed in (U64(0), U64(SEED_C)))
+            yield pa.record_batch({"doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "one": pa.array(one), "two": pa.array(two)})
+
+    return run
+
 
+def profiles(docs: DataFrame, n: int) -> DataFrame:
+    """One row a document: doc_id, the size of its set, and 128 bits that equal sets share. Kept in the shared folder."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return checkpointed(texts.mapInArrow(_profile(n), "doc_id long, n_shingles long, one long, two long"))
 
-def links(docs: DataFrame, n: int, percent: int, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) between ids that connect every class of linked documents."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
+
+def links(docs: DataFrame, n: int, percent: int, chunk: int = CHUNK, known: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) between ids that connect every class of linked documents. known: the documents' profiles."""
+    parts = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    clusters = components(candidates(rows, n, percent)).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
-    # weight of a text: an upper bound of its n-grams is half its characters
-    sized = rows.select("doc_id", (F.length("text") / 2 + 1).cast("long").alias("weight"))
-    weights = checkpointed(sized.join(clusters, "doc_id").select("doc_id", "cluster", "weight"))
-    chunks = weights.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("weight") / F.lit(chunk))).cast("int").alias("chunks"))
-    dealt = weights.select("doc_id", "cluster").distinct().join(chunks, "cluster").select("doc_id", "cluster", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"))
+    known = (profiles(docs, n) if known is None else known).filter("doc_id is not null and n_shingles > 0")
+    equal = known.groupBy("one", "two").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).filter("a <> last").drop("last")
+    copies = checkpointed(known.join(equal, ["one", "two"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
+    # of equal sets the one of the least id takes part; an id with several sets takes part by all of them
+    sized = known.groupBy("doc_id").agg(F.sum("n_shingles").alias("weight"), (F.min("one") != F.max("one")).alias("several"))
+    found = components(candidates(rows, n, percent))
+    named = found.select(F.col("root").alias("doc_id"), F.col("root").alias("cluster")).distinct().unionByName(found.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")))
+    again = copies.select(F.col("b").alias("doc_id")).distinct().withColumn("again", F.lit(True))
+    members = named.join(sized, "doc_id").join(again, "doc_id", "left").filter("again is null or several").select("doc_id", "cluster", "weight")
+    members = checkpointed(members)
+    chunks = members.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("weight") / F.lit(chunk))).cast("int").alias("chunks"), F.count("*").alias("documents")).filter("documents > 1")
+    dealt = members.join(chunks, "cluster").select("doc_id", "cluster", "weight", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"))
     dealt = checkpointed(dealt)
     many = not dealt.filter("chunks > 1").isEmpty()
     if many:
@@ -498,38 +525,43 @@ def links(docs: DataFrame, n: int, percent: int, chunk: int = CHUNK) -> DataFram
 
     edges = product(placed.withColumn("task_key", group).select("doc_id", "cluster", "side", "task_key"))
     if not many:
-        return edges
+        return edges.unionByName(copies)
     edges = checkpointed(edges)
     # what is not yet in the largest class of its cluster meets every chunk of the cluster
     label = components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
     large = dealt.filter("chunks > 1").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    counts = large.groupBy("cluster", "label").count()
-    main = counts.groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    outside = checkpointed(large.join(main, "cluster").filter("label <> main").select("doc_id", "cluster", "chunks", "chunk"))
-    outer = outside.join(weights, ["doc_id", "cluster"]).groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("weight") / F.lit(chunk))).cast("int").alias("outer_chunks"))
+    main = large.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    outside = checkpointed(large.join(main, "cluster").filter("label <> main").select("doc_id", "cluster", "weight", "chunks"))
+    outer = outside.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("weight") / F.lit(chunk))).cast("int").alias("outer_chunks"))
     each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("task")
     left = outside.join(outer, "cluster").select("doc_id", "cluster", each, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("outer_chunks")).cast("int").alias("part"), F.lit(0).alias("side"))
     right = large.join(outer, "cluster").select("doc_id", "cluster", F.col("chunk").alias("task"), F.explode(F.sequence(F.lit(0), F.col("outer_chunks") - 1)).alias("part"), F.lit(1).alias("side"))
     second = left.unionByName(right).withColumn("task_key", F.xxhash64("cluster", "task", "part"))
-    return edges.unionByName(product(second.select("doc_id", "cluster", "side", "task_key")))
+    return edges.unionByName(product(second.select("doc_id", "cluster", "side", "task_key"))).unionByName(copies)
 
 
 def classes(docs: DataFrame, n: int = 3, percent: int = 90, chunk: int = CHUNK) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id."""
-    found = components(links(docs, n, percent, chunk)).select(F.col("node").alias("doc_id"), "root")
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_count(n), "doc_id long, n_shingles long")
-    return sizes.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-
-
-def _count(n: int):
-    def run(batches):
-        for batch in batches:
-            yield pa.record_batch({"doc_id": batch.column(0), "n_shingles": pa.array([len(g) for g in sets_of(texts_of(batch.column(1)), n)], pa.int64())})
-
-    return run
+    known = profiles(docs, n)
+    found = components(links(docs, n, percent, chunk, known)).select(F.col("node").alias("doc_id"), "root")
+    return known.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """docs with one document of each class: the one with the class's id. Rows without an id stay; of rows that share an id all stay."""
-    found = components(links(docs, n, percent)).filter("node <> root").select(F.col("node").alias("_later"))
-    return docs.join(found, F.col("doc_id") == F.col("_later"), "left_anti")
+    """docs with one document of each class: the one of the least id.
+
+    Where ids repeat or are missing, rows are numbered and each is a document of its own, so that
+    of repeated rows, too, one stays: the one of the least id (none counts as the least), then of
+    the least number. Documents without words stay, every one.
+    """
+    ids = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids["rows"] == ids["ids"]:
+        found = components(links(docs, n, percent)).select(F.col("node").alias(later := free_name(docs, "later")))
+        return docs.join(found, F.col("doc_id") == F.col(later), "left_anti")
+    numbered = checkpointed(docs.withColumn(row := free_name(docs, "row"), F.monotonically_increasing_id()))
+    found = components(links(numbered.select(F.col(row).alias("doc_id"), "text"), n, percent))
+    rooted = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    named = rooted.join(numbered.select(F.col(row).alias("node"), F.col("doc_id").cast("long").alias("id")), "node")
+    first = named.groupBy("root").agg(F.min_by("node", F.struct("id", "node")).alias("node"))
+    gone = rooted.join(first, "node", "left_anti").select(F.col("node").alias(later := free_name(numbered, "later")))
+    return numbered.join(gone, F.col(row) == F.col(later), "left_anti").drop(row)

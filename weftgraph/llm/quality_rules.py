@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BASE_A, BASE_B, Rolling, Words, chunks_of, free_name, mix, starts_within, text_struct
+from .blocks import Words, chunks_of, free_name, mix, slice_hashes, starts_within, text_struct, window_hashes
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_upper_words"]
 #: The symbol characters of the base measurement.
@@ -96,13 +96,12 @@ def _measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     held = np.searchsorted(w.starts, line_ends) > np.searchsorted(w.starts, line_starts)
     line_starts, line_ends = line_starts[held], line_ends[held]
     text = np.searchsorted(w.text_ends, line_starts, side="right")
-    rolling = Rolling(w.buffer, BASE_A)
-    line_hash = mix(rolling.slices(line_starts, line_ends) ^ mix(text.astype(np.uint64)))
+    line_hash = mix(slice_hashes(w.buffer, line_starts, line_ends) ^ mix(text.astype(np.uint64)))
     out["n_dup_lines"] = np.bincount(text[_repeats(line_hash)[1]], minlength=len(texts)).astype(np.int64)
     out["n_lines"] = np.bincount(text, minlength=len(texts)).astype(np.int64)
 
     # words in windows of three that occur twice or more in the text
-    windows = Rolling(rolling.slices(w.starts, w.ends), BASE_B).windows(3)
+    windows = window_hashes(w.hashes(), 3)
     inside = np.flatnonzero(starts_within(w.counts, 3)[: len(windows)])
     again = inside[_repeats(mix(windows[inside] ^ mix(by_text[inside].astype(np.uint64))))[0]]
     covered = np.zeros(len(w.starts), dtype=bool)

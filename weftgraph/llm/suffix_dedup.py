@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchor_dedup import distinct_once, ordered, repeated, returned
-from .blocks import BASE_A, BASE_B, PACKED, Rolling, bucket_cuts, by_block, chunks_of, in_blocks, isin_sorted, mix, packed_rows, packed_table, partitions
+from .blocks import PACKED, SEED_A, SEED_B, U64, bucket_cuts, by_block, chunks_of, eight_bytes, in_blocks, isin_sorted, mix, packed_rows, packed_table, partitions
 from .induced import BREAK, SENTINEL, SHIFT, equal_windows
 
 LENGTH, GRAM = 100, 16
@@ -46,7 +46,7 @@ RANGE = np.dtype([("serial", "<i4"), ("begin", "<i4"), ("end", "<i4")])
 class Strings:
     """The keyed strings of several texts: where each run of windows begins, how many there are, and its key."""
 
-    def __init__(self, texts: list[bytes], base: int = BASE_A):
+    def __init__(self, texts: list[bytes], seed: int = SEED_A):
         self.joined = b"".join(texts)
         self.buffer = np.frombuffer(self.joined, dtype=np.uint8)
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
@@ -57,7 +57,8 @@ class Strings:
             self.echo = self.starts = self.counts = np.zeros(0, dtype=np.int64)
             self.keys = np.zeros(0, dtype=np.uint64)
             return
-        grams = least = Rolling(self.buffer, base).windows(GRAM)
+        words = eight_bytes(self.buffer)  # a gram is two of them
+        grams = least = mix(mix(words[: len(self.buffer) - GRAM + 1] ^ U64(seed)) + words[GRAM // 2 : len(self.buffer) - GRAM // 2 + 1])
         width = 1
         while 2 * width <= REACH:
             least = np.minimum(least[:-width], least[width:])
@@ -201,7 +202,7 @@ def _lost_of(strings: list[bytes]):
         return
     keys, whose, begins, counts, selfish = [], [], [], [], []
     for s, e in chunks_of(strings):
-        x = Strings(strings[s:e], BASE_B)
+        x = Strings(strings[s:e], SEED_B)
         which = np.searchsorted(x.text_ends, x.starts, side="right")
         keys.append(x.keys), whose.append(which + s), begins.append(x.starts - x.text_starts[which]), counts.append(x.counts), selfish.append(x.selfish())
     keys, whose, begins, counts, selfish = map(np.concatenate, (keys, whose, begins, counts, selfish))
