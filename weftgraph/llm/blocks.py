@@ -105,6 +105,14 @@ def chunks_of(texts: list[bytes], limit: int = 1 << 22):
         yield start, len(texts)
 
 
+def sliced(batches, limit: int = 1 << 23):
+    """Arrow batches in slices of about `limit` bytes."""
+    for batch in batches:
+        step = max(1, batch.num_rows * limit // max(1, batch.nbytes))
+        for s in range(0, batch.num_rows, step):
+            yield batch.slice(s, step)
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of several texts: byte places in their joined buffer, and hashes."""
 

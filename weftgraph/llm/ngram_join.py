@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PACKED_EDGES, PAIR, SEED_C, U64, Words, bucket_cuts, checkpointed, chunks_of, components, forest, free_name, mix, pack_edges, packed_edge_table, packed_edges, partitions, texts_of, window_hashes
+from .blocks import PACKED_EDGES, PAIR, SEED_C, U64, Words, bucket_cuts, checkpointed, chunks_of, components, forest, free_name, mix, pack_edges, packed_edge_table, packed_edges, partitions, sliced, texts_of, window_hashes
 
 #: Thresholds from here on use parts, lower ones rare prefixes; and how often a set is dealt anew.
 PARTS_FROM, LEVELS = 88, 8
@@ -217,7 +217,7 @@ def _emit_low(n: int, percent: int, buckets: int):
 
     def run(batches):
         cut = np.uint64(low_cut(percent))
-        for batch in batches:
+        for batch in sliced(batches):
             ids, sets = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sets_of(texts_of(batch.column(1)), n)
             sizes = np.array([len(g) for g in sets], dtype=np.int64)
             low = [g[: np.searchsorted(g, cut)] for g in sets]
@@ -245,7 +245,7 @@ def _emit_more(n: int, percent: int, buckets: int):
 
     def run(batches):
         cut = np.uint64(low_cut(percent))
-        for batch in batches:
+        for batch in sliced(batches):
             ids, sets = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sets_of(texts_of(batch.column(1)), n)
             found = []
             for g, lack in zip(sets, batch.column(2).to_pylist()):
@@ -262,7 +262,7 @@ def _emit_parts(n: int, percent: int, buckets: int):
 
     def run(batches):
         sizes = Sizes(percent)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, sets = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sets_of(texts_of(batch.column(1)), n)
             found = [keys_of(g, sizes) if len(g) else g for g in sets]
             keys, docs = (np.concatenate(found) if found else np.zeros(0, U64)), np.repeat(ids, [len(f) for f in found])
@@ -477,7 +477,7 @@ def candidates(rows: DataFrame, n: int, percent: int) -> DataFrame:
 
 def _profile(n: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             sets = sets_of(texts_of(batch.column(1)), n)
             one, two = (np.array([mix(s ^ seed).sum(dtype=U64) if len(s) else 0 for s in sets], dtype=U64).view(np.int64) for seed in (U64(0), U64(SEED_C)))
             yield pa.record_batch({"doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "one": pa.array(one), "two": pa.array(two)})

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -33,15 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import checkpointed, partitions, texts_of, worker_cache
+from .blocks import checkpointed, chunks_of, partitions, texts_of, worker_cache
 
 CAPACITY, END_ID = 2048, 0
 #: Words of a generation: a worker keeps those of this and the last one, so its memory is bounded; results are not affected.
-KEPT = 250_000
+KEPT = 300_000
+#: Texts that are encoded together, and about how many bytes of them; longer texts are encoded in parts, cut between words.
+GROUP, GROUP_BYTES = 256, 1 << 19
 #: Between words: these never join a word's tokens, so words are encoded each by itself.
-_BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
-#: Letters below this code point have one lower-case letter and are composed already, whatever stands beside them.
-_PLAIN_BELOW = "\u0250"
+BLANKS = " \t\n\r"
+_BLANKS = str.maketrans("\t\n\r", "   ")
+#: Letters below this code point have one lower-case letter and are composed already, whatever stands beside them; but for one.
+_PLAIN_BELOW, _NOT_PLAIN = "\u0250", "\u0130"
+#: The vocabulary's cuts of a text, and below _PLAIN_BELOW its classes of letters, numbers and white space.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _NUMBERS, _SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -54,9 +61,9 @@ def _byte_letters() -> dict[int, str]:
 class WordTokenizer:
     """Ids of whole texts from ids of words, which are kept.
 
-    A word of plain letters, with or without a full stop or comma, is lower-cased and split by
-    the vocabulary's merges alone, many at a time; whatever else goes through the library's
-    whole chain. Both give the library's ids.
+    A text of plain letters is lower-cased and cut as the vocabulary does it, and its words are
+    split by the merges alone, many at a time. A word with any other letter, or with the string
+    of a special token, goes through the library's whole chain. Both give the library's ids.
     """
 
     def __init__(self, path: str):
@@ -64,17 +71,21 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        vocabulary = self.library.get_vocab(with_added_tokens=False)
-        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.merges = None
-        if suffix and path_is_lower_byte_level(path):
+        if _is_lower_byte_level(spec):
             self.merges = Tokenizer(self.library.model)
             self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocabulary, suffix = self.library.get_vocab(with_added_tokens=False), self.library.model.end_of_word_suffix
             self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
             self.letters = _byte_letters()
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+            cuts = CUTS.replace("\\p{L}", _LETTERS).replace("\\p{N}", _NUMBERS).replace("\\s", _SPACES)
+            self.cut = re.compile(cuts).findall
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -83,67 +94,88 @@ class WordTokenizer:
             cache[k] = cls(path)
         return cache[k]
 
-    def _whole(self, words: list[bytes]) -> None:
+    def _plain(self, text: str) -> bool:
+        if self.merges is None or not (text.isascii() or (max(text) < _PLAIN_BELOW and _NOT_PLAIN not in text)):
+            return False
+        return not any(t in text for t in self.special)
+
+    def _words(self, text: str, odd: set[str]) -> list[str]:
+        """The text's words; those for the library hold a letter or a token that others do not, and go to `odd` too."""
+        if self._plain(text):
+            return self.cut(text.lower())
+        out: list[str] = []
+        run: list[str] = []
+        for word in text.translate(_BLANKS).split(" "):
+            if self._plain(word):
+                run.append(word)
+            else:
+                if run:
+                    out += self.cut(" ".join(run).lower())
+                    run = []
+                out.append(word)
+                odd.add(word)
+        return out + self.cut(" ".join(run).lower()) if run else out
+
+    def _learn(self, new: set[str], odd: set[str]) -> None:
+        known, old = self.known, self.old
+        if old:
+            again = [w for w in new if w in old]
+            known.update(zip(again, map(old.__getitem__, again)))
+            new.difference_update(again)
+        whole = list(new & odd)
+        for s in range(0, len(whole), 4096):
+            some = whole[s : s + 4096]
+            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        words = list(new - odd)
         for s in range(0, len(words), 4096):
             some = words[s : s + 4096]
-            for w, e in zip(some, self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def _plain(self, words: list[str]) -> None:
-        for s in range(0, len(words), 2048):
-            some = words[s : s + 2048]
-            shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some]
+            shown = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for w in some]
             ids = np.array(self.merges.encode(" ".join(shown), add_special_tokens=False).ids, dtype="<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(some, cuts, strict=True):
-                self.known[w.encode()] = raw[at:end]
-                at = end
-
-    def _learn(self, words: set[bytes]) -> None:
-        known, old = self.known, self.old
-        whole, bases, made = [], set(), []
-        for w in words:
-            if (have := old.get(w)) is not None:
-                known[w] = have
-                continue
-            if self.merges is not None and w:
-                tail = w[-1:] if w[-1] in b".," else b""
-                base = (w[:-1] if tail else w).lower()
-                plain = base.isalpha()  # of bytes: ASCII letters only
-                if not plain and not base.isascii():
-                    text = base.decode("utf-8", "replace").lower()
-                    plain, base = text.isalpha() and max(text) < _PLAIN_BELOW, text.encode()
-                if plain:
-                    bases.add(base)
-                    made.append((w, base, tail))
-                    continue
-            whole.append(w)
-        tails = {t for _, _, t in made if t} - known.keys()
-        self._whole([*whole, *tails])
-        self._plain([b.decode() for b in bases - known.keys()])
-        for w, base, tail in made:
-            known[w] = known[base] + known[tail] if tail else known[base]
+            raw = ids.tobytes()
+            known.update(zip(some, [raw[s:e] for s, e in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit numbers."""
+    def _group(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KEPT:
             self.known, self.old = {}, self.known
-        cut = [t.translate(_BLANKS).split(b" ") for t in texts]
-        known = self.known
-        self._learn(set().union(*cut).difference(known))
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
-
+        odd: set[str] = set()
+        words = [self._words(t, odd) for t in texts]
+        held = set().union(*words)
+        self._learn(held.difference(self.known), odd)
+        get = dict(zip(held, map(self.known.__getitem__, held))).__getitem__  # small enough for the processor's cache
+        return [b"".join(map(get, w)) for w in words]
 
-def path_is_lower_byte_level(path: str) -> bool:
-    """Whether a tokenizer file lower-cases composed text, splits letters from all else, and maps bytes to letters."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit numbers."""
+        out: list[bytes] = []
+        for s, e in chunks_of(texts, GROUP_BYTES):
+            for k in range(s, e, GROUP):
+                some = [t.decode("utf-8", "replace") for t in texts[k : min(e, k + GROUP)]]
+                out += self._group(some) if len(some) > 1 or len(some[0]) <= 2 * GROUP_BYTES else [b"".join(self._group([p])[0] for p in _parts(some[0]))]
+        return out
+
+
+def _parts(text: str):
+    """A long text in parts of about GROUP_BYTES characters, cut at blanks; what has none stays whole."""
+    start = 0
+    while len(text) - start > GROUP_BYTES:
+        at = re.compile(f"[{BLANKS}]").search(text, start + GROUP_BYTES)
+        if at is None:
+            break
+        yield text[start : at.start()]
+        start = at.start()
+    yield text[start:]
+
+
+def _is_lower_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer lower-cases composed text, cuts it by CUTS, maps bytes to letters, and marks ends of words."""
     chain = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
     splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    letters = any(s.get("type") == "Split" and "[\\p{L}]+" in (s["pattern"].get("Regex") or "") and s.get("invert") for s in splits)
+    cuts = any(s.get("type") == "Split" and s["pattern"].get("Regex") == CUTS and s.get("invert") and s.get("behavior") == "Removed" for s in splits)
     mapped = any(s.get("type") == "ByteLevel" and not s.get("use_regex") and not s.get("add_prefix_space") for s in splits)
-    return chain == ["NFC", "Replace", "Lowercase"] and letters and mapped
+    model = spec.get("model") or {}
+    return chain == ["NFC", "Replace", "Lowercase"] and len(splits) == 2 and cuts and mapped and bool(model.get("end_of_word_suffix")) and not model.get("ignore_merges")
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -155,9 +187,9 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for s in range(0, len(texts), 128):
+            for s, e in chunks_of(texts, GROUP_BYTES):
                 rows = []
-                for doc, ids in zip(docs[s : s + 128], tokenizer.ids(texts[s : s + 128])):
+                for doc, ids in zip(docs[s:e], tokenizer.ids(texts[s:e])):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
