@@ -93,8 +93,8 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def chunks_of(texts: list[bytes], limit: int = 1 << 22):
-    """Ranges of texts of about `limit` bytes together, so that arrays stay small."""
+def chunks_of(texts: list[bytes], limit: int = 1 << 17):
+    """Ranges of texts of about `limit` bytes together, so that arrays stay in the processor's cache."""
     start = size = 0
     for k, t in enumerate(texts):
         size += len(t) + 1

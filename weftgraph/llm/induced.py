@@ -83,6 +83,19 @@ def _leading_equal(x: np.ndarray) -> np.ndarray:
     return sum(((x >> np.uint64(s)) == 0).astype(np.int64) for s in range(56, -8, -8))
 
 
+def _within_groups(group: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The order by word within groups, which are in order already. Ties are in any order."""
+    order = np.argsort(word)
+    new = group[1:] != group[:-1]
+    if not new.any():
+        return order
+    rank = np.empty(len(word), dtype=np.int64)
+    sorted_ = word[order]
+    rank[order] = np.concatenate(([0], np.cumsum(sorted_[1:] != sorted_[:-1])))
+    rank[1:] += np.cumsum(new) * len(word)
+    return np.argsort(rank)
+
+
 def sorted_seeds(t: np.ndarray, seeds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Seeds by their first `depth` bytes, and each one's common prefix with the one before, at most depth."""
     padded = np.concatenate((t, np.zeros(depth + 16, dtype=np.uint8)))
@@ -96,7 +109,7 @@ def sorted_seeds(t: np.ndarray, seeds: np.ndarray, depth: int) -> tuple[np.ndarr
         if len(active) < 2:
             break
         word = words[order[active] + at].astype(np.uint64)
-        by = np.lexsort((word, group[active]))
+        by = _within_groups(group[active], word)
         order[active] = order[active[by]]
         word = word[by]
         tied = group[active[1:]] == group[active[:-1]]

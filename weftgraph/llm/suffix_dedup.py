@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchor_dedup import distinct_once, ordered, repeated, returned
-from .blocks import PACKED, SEED_A, SEED_B, U64, bucket_cuts, by_block, chunks_of, eight_bytes, in_blocks, isin_sorted, mix, packed_rows, packed_table, partitions
+from .blocks import PACKED, SEED_A, SEED_B, SEED_C, U64, bucket_cuts, by_block, chunks_of, eight_bytes, in_blocks, isin_sorted, mix, packed_rows, packed_table, partitions
 from .induced import BREAK, SENTINEL, SHIFT, equal_windows
 
 LENGTH, GRAM = 100, 16
 #: Grams of a window; as many windows can hold one gram.
 REACH = LENGTH - GRAM + 1
 #: Bytes that a shard sorts at once; only strings with one key by both hashes can exceed it, and then the queues go to disk.
-PART = 1 << 23
+PART = 1 << 22
 RANGE = np.dtype([("serial", "<i4"), ("begin", "<i4"), ("end", "<i4")])
 
 
@@ -58,7 +58,12 @@ class Strings:
             self.keys = np.zeros(0, dtype=np.uint64)
             return
         words = eight_bytes(self.buffer)  # a gram is two of them
-        grams = least = mix(mix(words[: len(self.buffer) - GRAM + 1] ^ U64(seed)) + words[GRAM // 2 : len(self.buffer) - GRAM // 2 + 1])
+        grams = words[: len(self.buffer) - GRAM + 1] * U64(seed | 1)
+        grams ^= grams >> U64(29)
+        grams += words[GRAM // 2 : len(self.buffer) - GRAM // 2 + 1]
+        grams *= U64(SEED_C)
+        grams ^= grams >> U64(32)
+        least = grams
         width = 1
         while 2 * width <= REACH:
             least = np.minimum(least[:-width], least[width:])
@@ -145,12 +150,12 @@ def _send(buckets: int):
         serial = 0
         for s, e in chunks_of(texts):
             x = Strings(texts[s:e])
-            for k in np.flatnonzero(isin_sorted(x.keys, twice)).tolist():
+            hit = isin_sorted(x.keys, twice)
+            for k in np.flatnonzero(hit).tolist():
                 content = x.bytes_of(k)
                 contents.append(None if content in seen else content)  # None: an earlier string of this block, lost
                 seen.add(content)
                 serials.append(serial + k)
-            hit = isin_sorted(x.keys, twice)
             hashes.append(x.keys[hit])
             docs.append(np.array(keys[s:e], dtype="<i8")[np.searchsorted(x.text_ends, x.starts[hit], side="right")])
             serial += len(x.keys)
@@ -182,16 +187,18 @@ def _lost_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     t = np.frombuffer(b"".join([x for s in strings for x in (s, b"\0")] + [b"\0"]), dtype=np.uint8) + np.uint8(SHIFT)
     ends = np.cumsum([len(s) + 1 for s in strings]) - 1
     t[ends], t[-1] = BREAK, SENTINEL
+    of = np.repeat(np.arange(len(strings) + 1, dtype=np.int32), [*(len(s) + 1 for s in strings), 1])  # the string of each place
+    stop = np.append(ends, 0)
     lost = []
     for places, starts in equal_windows(t, LENGTH):
         sizes = np.diff(np.append(starts, len(places)))
         head = places[starts]
-        good = (sizes > 1) & (head + LENGTH <= ends[np.minimum(np.searchsorted(ends, head), len(ends) - 1)])
+        good = (sizes > 1) & (head + LENGTH <= stop[of[head]])
         if good.any():
             first = np.repeat(np.where(good, np.minimum.reduceat(places, starts), -1), sizes)
             lost.append(places[(first >= 0) & (places != first)])
     at = np.sort(np.concatenate(lost)) if lost else np.zeros(0, np.int64)
-    string = np.searchsorted(ends, at)
+    string = of[at]
     return string, at - np.concatenate(([0], ends + 1))[string]
 
 
