@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-import struct
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import text_struct, worker_cache
-from .pieces import BYTE, SPACE, ModelFile
+from .pieces import BYTE, NORMAL, SPACE, ModelFile
 
 PARTS = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Parts whose ids a worker keeps; the memory is bounded, the results are not affected.
@@ -40,8 +40,11 @@ class Codec:
         self.model = ModelFile(path)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.split = self.model.by_word and self.model.normalizer.plain
-        self.sizes = [len(p.encode()) for p in self.model.pieces]
+        self.sizes = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.model.pieces, self.model.kinds)], dtype=np.int64)
+        self.odd = np.array([k != NORMAL for k in self.model.kinds], dtype=bool)
+        self.said = [str(k) for k in range(len(self.model.pieces))]
         self.known: dict[str, tuple] = {}
+        self.back: dict[str, str] = {}
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -51,14 +54,30 @@ class Codec:
         return cache[k]
 
     def learn(self, parts: set[str]) -> None:
-        """Ids, decoded text and offsets of parts; the library adds the first mark itself."""
+        """Ids and offsets of parts; the library adds the first mark itself."""
         if len(self.known) > KEPT:
             self.known.clear()
         new = [p for p in parts if p not in self.known]
-        ids = self.library.encode([p[1:] for p in new], num_threads=1)
-        for p, i, d in zip(new, ids, self.library.decode(ids, num_threads=1) if new else []):
-            i, d = (i, " " + d) if p != SPACE else ([self.library.piece_to_id(SPACE)], " ")
-            self.known[p] = ",".join(map(str, i)), d, self.offsets(i).tobytes(), struct.pack("<ii", len(i), len(p.encode()))
+        if not new:
+            return
+        ids = [i if p != SPACE else [self.library.piece_to_id(SPACE)] for p, i in zip(new, self.library.encode([p[1:] for p in new], num_threads=1))]
+        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64)
+        counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        cuts = np.concatenate(([0], np.cumsum(counts)))
+        ends = np.cumsum(self.sizes[flat])
+        base = np.repeat(np.concatenate(([0], ends))[cuts[:-1]], counts)
+        places = np.stack((ends - self.sizes[flat] - base, ends - base), axis=1).astype("<i4").tobytes()
+        heads = np.stack((counts, [len(p.encode()) for p in new]), axis=1).astype("<i4").tobytes()
+        cuts = (8 * cuts).tolist()
+        said = [",".join(map(self.said.__getitem__, i)) for i in ids]
+        self.known.update(zip(new, zip(said, [places[s:e] for s, e in zip(cuts, cuts[1:])], [heads[k : k + 8] for k in range(0, 8 * len(new), 8)])))
+        # byte pieces share their character's span, and what else is no plain piece is decoded by the library
+        odd = np.unique(np.repeat(np.arange(len(new)), counts)[self.odd[flat]]).tolist()
+        for k in odd:
+            said, _, head = self.known[new[k]]
+            self.known[new[k]] = said, self.offsets(ids[k]).tobytes(), head
+            if any(self.model.kinds[i] != BYTE and self.odd[i] for i in ids[k]) or not self.model.byte_fallback:
+                self.back[new[k]] = " " + self.library.decode(ids[k])
 
     def offsets(self, ids: list[int]) -> array:
         """Where each id begins and ends in the normalised bytes, in turn; the byte pieces of one character share its own."""
@@ -72,27 +91,34 @@ class Codec:
                     at, waiting = at + len(waiting), []
             else:
                 out.append(at)
-                at += sizes[i]
+                at += int(sizes[i])
                 out.append(at)
         return out
 
     def encoded(self, texts: list[str]):
-        """Of each text: its ids, comma-separated; what they decode to; and the source byte span of each id."""
+        """Of each text: its ids, comma-separated; what they decode to; and the source byte span of each id.
+
+        Plain and byte pieces spell the normalised text, so it is what they decode to, but for the
+        first mark and with spaces for marks; only parts with other pieces need the library for it.
+        """
         normal = [self.model.normalizer(t.encode()) for t in texts]
         if not self.split:
             for t, (_, align) in zip(texts, normal):
                 ids = self.library.encode(t)
                 yield ",".join(map(str, ids)), self.library.decode(ids), np.asarray(align, dtype="<i8")[np.array(self.offsets(ids), dtype=np.int64)].reshape(-1, 2)
             return
-        cut = [PARTS.findall(n.decode()) for n, _ in normal]
+        marked = [n.decode() for n, _ in normal]
+        cut = [PARTS.findall(n) for n in marked]
+        self.back: dict[str, str] = {p: d for p, d in self.back.items() if p in self.known}
         self.learn({p for parts in cut for p in parts})
-        known = self.known
-        for parts, (_, align) in zip(cut, normal):
-            said, back, within, heads = zip(*[known[p] for p in parts]) if parts else ((),) * 4
+        known, back = self.known, self.back
+        for text, parts, (_, align) in zip(marked, cut, normal):
+            said, within, heads = zip(*[known[p] for p in parts]) if parts else ((),) * 3
             counts, sizes = np.frombuffer(b"".join(heads), dtype="<i4").reshape(-1, 2).T
             begins = np.repeat(np.cumsum(sizes) - sizes, 2 * counts)
             places = np.frombuffer(b"".join(within), dtype="<i4") + begins
-            yield ",".join(said), "".join(back)[1:], np.asarray(align, dtype="<i8")[places].reshape(-1, 2)
+            spelt = "".join(back.get(p, p) for p in parts) if back and not back.keys().isdisjoint(parts) else text
+            yield ",".join(said), spelt.replace(SPACE, " ")[1:], np.asarray(align, dtype="<i8")[places].reshape(-1, 2)
 
     def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids, and the source byte span of each."""
