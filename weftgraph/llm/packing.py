@@ -146,6 +146,10 @@ class WordTokenizer:
         get = dict(zip(held, map(self.known.__getitem__, held))).__getitem__  # small enough for the processor's cache
         return [b"".join(map(get, w)) for w in words]
 
+    def forget(self) -> None:
+        """Free what is kept: the worker goes on to tasks of other operators."""
+        self.known, self.old = {}, {}
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
         out: list[bytes] = []
@@ -199,6 +203,7 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 keep = 6 if with_ids else 5
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols[:keep], kinds)], names=names[:keep])
+        tokenizer.forget()
 
     return run
 
