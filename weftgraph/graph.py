@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from dataclasses import dataclass
 
@@ -77,8 +78,20 @@ class CodeGraph:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the session's shared checkpoint folder; loops cut their lineage here."""
-    sc = df.sparkSession.sparkContext
+    """df, computed once into the session's shared checkpoint folder; loops cut their lineage here.
+
+    Where no folder is set, a local session gets a temporary one; a cluster must name one.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and re.fullmatch(r"local(\[.*\])?", sc.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weft-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def materialised(g: CodeGraph) -> CodeGraph:
+    """The graph with symbols and edges computed once, for what reads them many times."""
+    return CodeGraph(checkpointed(g.symbols), checkpointed(g.edges), g.dependencies)

@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..graph import CodeGraph, checkpointed
+
 #: Patterns of the heuristics (Java syntax), each with the label that it gives.
 VALIDATION = {
     "validation": r"(?i)\b(if\s*\(.*(?:null|empty|length|count|valid|check|assert|require|guard))", "argument_exception": r"(?i)\b(throw\s+new\s+Argument(?:Null)?Exception)",
-    "exception": r"\b(ArgumentNullException|ArgumentException|InvalidOperationException)", "guard": r"\bGuard\.",
+    "exception": r"(?i)\b(ArgumentNullException|ArgumentException|InvalidOperationException)", "guard": r"(?i)\bGuard\.",
 }
 NULL_CHECK = {"not_null": r"!=\s*null", "null": r"==\s*null", "is_null": r"\bis\s+null\b", "is_not_null": r"\bis\s+not\s+null\b", "coalesce": r"\?\?", "access": r"\?\."}
 ERROR_HANDLING = {"try": r"\b(try\s*\{)", "catch": r"\b(catch\s*\()", "finally": r"\b(finally\s*\{)", "handler": r"\b(\.Catch\(|\.OnError\()"}
@@ -65,15 +67,63 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
     )
 
 
+#: Lines of one bucket of a file, for interval joins.
+BUCKET = 256
+
+
 def changed_symbols(lines: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(diff_id, fq_name, added, removed, change_type): symbols whose lines a diff touches. An interval join within a file."""
-    touched = lines.filter("side <> 'context'").select("diff_id", F.col("path").alias("file_path"), "side", F.when(F.col("side") == "added", F.col("number")).otherwise(F.col("old_number")).alias("at"), "is_new", "is_deleted")
-    s = symbols.select("fq_name", "file_path", "start_line", "end_line")
-    hit = touched.join(s, "file_path").filter("at between start_line and end_line")
+    """(diff_id, fq_name, added, removed, change_type): symbols whose lines a diff touches. An interval join within (file, bucket of lines)."""
+    at = F.when(F.col("side") == "added", F.col("number")).otherwise(F.col("old_number"))
+    touched = lines.filter("side <> 'context'").select("diff_id", F.col("path").alias("file_path"), "side", at.alias("at"), "is_new", "is_deleted").withColumn("bucket", F.floor(F.col("at") / BUCKET))
+    s = symbols.filter("start_line <= end_line").select("fq_name", "file_path", "start_line", "end_line", F.explode(F.sequence(F.floor(F.col("start_line") / BUCKET), F.floor(F.col("end_line") / BUCKET))).alias("bucket"))
+    hit = touched.join(s, ["file_path", "bucket"]).filter("at between start_line and end_line")
     kind = F.when(F.max("is_new"), "added").when(F.max("is_deleted"), "deleted").otherwise("modified")
     return hit.groupBy("diff_id", "fq_name").agg(F.count_if(F.col("side") == "added").alias("added"), F.count_if(F.col("side") == "removed").alias("removed"), kind.alias("change_type"))
 
 
+#: Fixed value: callers from which on a change of a symbol is a finding.
+HIGH_FAN_IN = 5
+
+
+def high_fan_in(changed: DataFrame, g: CodeGraph) -> DataFrame:
+    """changed (diff_id, fq_name): findings of changed symbols that many calls lead to, in the columns of `findings`, with the callers."""
+    callers = g.of_type("calls").groupBy(F.col("target").alias("fq_name")).agg(F.count("*").alias("callers")).filter(F.col("callers") >= HIGH_FAN_IN)
+    places = g.symbols.select("fq_name", "file_path", "start_line")
+    hit = changed.select("diff_id", "fq_name").distinct().join(callers, "fq_name").join(places, "fq_name")
+    return hit.select("diff_id", F.lit("high_fan_in_change").alias("category"), F.col("file_path").alias("path"), F.col("start_line").alias("line"), F.lit("high").alias("severity"), F.col("fq_name").alias("label"), "callers")
+
+
+def report(diffs: DataFrame, g: CodeGraph, hops: int = 3) -> DataFrame:
+    """diffs (diff_id, diff) reviewed: (diff_id, summary, changed, impacted, findings, high, risk_score, risk_level), one row a diff.
+
+    Impact counts all symbols within the hops; a diff without files has the summary of an empty one.
+    """
+    lines = checkpointed(diff_lines(diffs))
+    changed = checkpointed(changed_symbols(lines, g.symbols))
+    some = lines.groupBy("diff_id").agg(F.count_distinct("path").alias("files"), F.count_if(F.col("side") == "added").alias("plus"), F.count_if(F.col("side") == "removed").alias("minus"))
+    found = findings(lines).select("diff_id", "severity").unionByName(high_fan_in(changed, g).select("diff_id", "severity"))
+    counted = found.groupBy("diff_id").agg(F.count("*").cast("int").alias("findings"), F.count_if(F.col("severity").isin("critical", "high")).cast("int").alias("high"))
+    symbols = changed.groupBy("diff_id").agg(F.count("*").cast("int").alias("changed"))
+    impacted = _impacted(changed, g, hops).groupBy("diff_id").agg(F.count("*").cast("int").alias("impacted"))
+    out = diffs.select("diff_id")
+    for df in (some, symbols, impacted, counted):
+        out = out.join(df, "diff_id", "left")
+    out = out.na.fill(0).withColumnRenamed("diff_id", "id")
+    said = F.concat(F.col("files").cast("string"), F.lit(" file(s) changed, +"), F.col("plus").cast("string"), F.lit(" additions, -"), F.col("minus").cast("string"), F.lit(" deletions, "), F.col("changed").cast("string"), F.lit(" symbol(s) affected."))
+    rows = risk(out.withColumn("summary", F.when(F.col("files") == 0, "Empty diff -- no changes detected.").otherwise(said)))
+    return rows.select(F.col("id").alias("diff_id"), "summary", "changed", "impacted", "findings", "high", "risk_score", "risk_level")
+
+
+def _impacted(changed: DataFrame, g: CodeGraph, hops: int) -> DataFrame:
+    """(diff_id, fq_name): known symbols from which calls lead to a changed one within some hops, for all diffs at once."""
+    calls = checkpointed(g.of_type("calls").select(F.col("target").alias("fq_name"), F.col("source").alias("caller")).distinct())
+    seen = frontier = checkpointed(changed.select("diff_id", "fq_name").distinct())
+    for _ in range(hops):
+        frontier = checkpointed(frontier.join(calls, "fq_name").select("diff_id", F.col("caller").alias("fq_name")).distinct().join(seen, ["diff_id", "fq_name"], "left_anti"))
+        seen = checkpointed(seen.unionByName(frontier))
+    return seen.join(changed, ["diff_id", "fq_name"], "left_anti").join(g.symbols.select("fq_name"), "fq_name", "left_semi")
+
+
 def _label(patterns: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for label, p in reversed(patterns.items()):

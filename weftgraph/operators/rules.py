@@ -9,13 +9,14 @@ handful of joins, not one a rule. `register` adds rules of one's own.
 from __future__ import annotations
 
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import FUNCTIONS, CodeGraph
+from ..graph import FUNCTIONS, CodeGraph, checkpointed, materialised
 from . import metrics, traverse
 from .metrics import has_any, loc, module_of
 
@@ -145,11 +146,28 @@ def _opt(df: DataFrame, name: str, default, kind: str):
     return F.coalesce(F.col(name).cast(kind), F.lit(default).cast(kind)) if name in df.columns else F.lit(default).cast(kind)
 
 
+def _sharing_pairs(calls: DataFrame) -> DataFrame:
+    """(owner, sharing_pairs): pairs of an owner's methods with a callee in common. Methods with the same callees are one."""
+    sets = calls.groupBy("owner", "source").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+    alike = sets.groupBy("owner", "targets").agg(F.count("*").alias("n")).withColumn("sig", F.md5(F.array_join("targets", "\n").cast("binary")))
+    inside = alike.groupBy("owner").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("inside"))
+    each = alike.select("owner", "sig", "n", F.explode("targets").alias("target"))
+    other = each.select("owner", "target", F.col("sig").alias("other"), F.col("n").alias("m"))
+    across = each.join(other, ["owner", "target"]).filter("sig < other").select("owner", "sig", "other", "n", "m").distinct().groupBy("owner").agg(F.sum(F.col("n") * F.col("m")).alias("across"))
+    return inside.join(across, "owner", "left").na.fill(0).select("owner", (F.col("inside") + F.col("across")).cast("long").alias("sharing_pairs"))
+
+
 class Frames:
-    """The frames of a graph, each built on first use."""
+    """The frames of a graph, each built on first use, with the joins of the columns that the rules name."""
 
-    def __init__(self, g: CodeGraph, as_of: str):
+    def __init__(self, g: CodeGraph, as_of: str, chosen: list[Rule] | None = None):
         self.g, self.as_of, self._made = g, as_of, {}
+        self._named = {}
+        for r in RULES.values() if chosen is None else chosen:
+            self._named.setdefault(r.frame, set()).update(re.findall(r"\w+", f"{r.when} {r.value}"))
+
+    def _needs(self, frame: str, *columns: str) -> bool:
+        return bool(self._named.get(frame, set()).intersection(columns))
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._made:
@@ -157,7 +175,7 @@ class Frames:
         return self._made[name]
 
     def _reached(self) -> DataFrame:
-        return traverse.reached(self.g)
+        return checkpointed(traverse.reached(self.g))
 
     def _parents(self) -> DataFrame:
         return self.g.symbols.select("fq_name", "parent_fq_name")
@@ -167,28 +185,37 @@ class Frames:
         p = self("parents")
         c = self.g.of_type("calls").select("source", "target")
         c = c.join(p.select(F.col("fq_name").alias("source"), F.col("parent_fq_name").alias("source_parent")), "source", "left")
-        return c.join(p.select(F.col("fq_name").alias("target"), F.col("parent_fq_name").alias("target_parent")), "target", "left")
+        return checkpointed(c.join(p.select(F.col("fq_name").alias("target"), F.col("parent_fq_name").alias("target_parent")), "target", "left"))
 
     def _symbol(self) -> DataFrame:
         g, s = self.g, self.g.symbols
         lines = loc()
-        own = self("calls").join(self("parents").withColumnRenamed("fq_name", "source"), "source")
-        envy = (
-            own.groupBy("source", "target_parent").agg(F.count("*").alias("n"), F.max("parent_fq_name").alias("parent_fq_name"))
-            .groupBy(F.col("source").alias("fq_name")).agg(
-                F.sum("n").alias("calls_out"), F.coalesce(F.sum(F.when(F.col("target_parent") == F.col("parent_fq_name"), F.col("n"))), F.lit(0)).alias("own_calls"),
-                F.coalesce(F.max(F.when(F.col("target_parent") != F.col("parent_fq_name"), F.col("n"))), F.lit(0)).alias("most_foreign"),
-            )
-        )
-        callers = self("calls").groupBy(F.col("target").alias("fq_name")).agg(F.count("*").alias("calls_in"), F.count_distinct("source_parent").alias("caller_classes"))
-        implements = g.of_type("implements").groupBy(F.col("source").alias("fq_name")).agg(F.count("*").alias("n_implements"))
         fp = _opt(s, "structural_fingerprint", "", "string")
         clone = F.when(F.col("kind").isin(*FUNCTIONS) & (lines >= CLONE_LINES) & (fp != ""), fp)
-        sizes = s.select(clone.alias("clone"), "fq_name").filter("clone is not null").groupBy("clone").agg(F.count("*").alias("clone_members"), F.min("fq_name").alias("clone_head"))
-        out = (
-            self("reached").withColumn("clone", clone).join(sizes, "clone", "left").join(metrics.fan(g), "fq_name", "left").join(envy, "fq_name", "left").join(callers, "fq_name", "left").join(implements, "fq_name", "left")
-            .na.fill(0, ["fan_in", "fan_out", "calls_out", "own_calls", "most_foreign", "calls_in", "caller_classes", "n_implements", "clone_members"])
-        )
+        joins = []
+        if self._needs("symbol", "fan_in", "fan_out"):
+            joins.append(metrics.fan(g))
+        if self._needs("symbol", "calls_out", "own_calls", "most_foreign"):
+            own = self("calls").join(self("parents").withColumnRenamed("fq_name", "source"), "source")
+            by_parent = own.groupBy("source", "target_parent").agg(F.count("*").alias("n"), F.max("parent_fq_name").alias("parent_fq_name"))
+            same, other = F.col("target_parent") == F.col("parent_fq_name"), F.col("target_parent") != F.col("parent_fq_name")
+            joins.append(by_parent.groupBy(F.col("source").alias("fq_name")).agg(
+                F.sum("n").alias("calls_out"), F.coalesce(F.sum(F.when(same, F.col("n"))), F.lit(0)).alias("own_calls"), F.coalesce(F.max(F.when(other, F.col("n"))), F.lit(0)).alias("most_foreign")
+            ))
+        if self._needs("symbol", "calls_in", "caller_classes"):
+            joins.append(self("calls").groupBy(F.col("target").alias("fq_name")).agg(F.count("*").alias("calls_in"), F.count_distinct("source_parent").alias("caller_classes")))
+        if self._needs("symbol", "n_implements"):
+            joins.append(g.of_type("implements").groupBy(F.col("source").alias("fq_name")).agg(F.count("*").alias("n_implements")))
+        out = self("reached") if self._needs("symbol", "is_reached") else s.withColumn("is_reached", F.lit(True))
+        if self._needs("symbol", "clone_members", "clone_first"):
+            sizes = s.select(clone.alias("clone"), "fq_name").filter("clone is not null").groupBy("clone").agg(F.count("*").alias("clone_members"), F.min("fq_name").alias("clone_head"))
+            out = out.withColumn("clone", clone).join(sizes, "clone", "left")
+        for j in joins:
+            out = out.join(j, "fq_name", "left")
+        counts = ["fan_in", "fan_out", "calls_out", "own_calls", "most_foreign", "calls_in", "caller_classes", "n_implements", "clone_members"]
+        out = out.withColumns({c: F.lit(0) for c in counts if c not in out.columns}).na.fill(0, counts)
+        if "clone_head" not in out.columns:
+            out = out.withColumn("clone_head", F.lit(None).cast("string"))
         modified = F.col("last_modified_at") if "last_modified_at" in s.columns else F.lit(None).cast("timestamp_ntz")
         hungarian = "^(?i:" + "|".join(HUNGARIAN) + r")[\p{Lu}_]"
         return out.select(
@@ -229,15 +256,20 @@ class Frames:
         by_method = outgoing.filter("kind = 'method'").groupBy("owner", "source").agg(F.count("*").alias("n"))
         targets = outgoing.filter("kind = 'method'").groupBy("owner").agg(F.count_distinct(F.when(F.col("target_parent") != "", F.col("target_parent"))).alias("delegate_classes"))
         singles = by_method.groupBy("owner").agg(F.count_if(F.col("n") == 1).alias("single_call_methods"))
-        left = outgoing.filter("kind = 'method'").select("owner", "target", F.col("source").alias("m1")).distinct()
-        pairs = left.join(left.withColumnRenamed("m1", "m2"), ["owner", "target"]).filter("m1 < m2").select("owner", "m1", "m2").distinct().groupBy("owner").agg(F.count("*").alias("sharing_pairs"))
-        targeted = g.edges.select(F.col("target").alias("fq_name")).distinct().withColumn("hit", F.lit(True))
-        child_hit = owned.select("owner", F.col("source").alias("fq_name")).join(targeted, "fq_name").select(F.col("owner").alias("fq_name")).distinct().withColumn("child_referenced", F.lit(True))
-        any_interface = F.broadcast(g.symbols.agg((F.count_if(F.col("kind") == "interface") > 0).alias("any_interface")))  # one row
         t = g.symbols.filter(F.col("kind").isin("class", "struct")).select("fq_name", "file_path", F.col("start_line").alias("line"))
-        for df in (self("members"), coupled, singles, targets, pairs):
-            t = t.join(df.withColumnRenamed("owner", "fq_name"), "fq_name", "left")
-        t = t.join(traverse.inheritance_depth(g), "fq_name", "left").join(targeted.withColumnRenamed("hit", "referenced"), "fq_name", "left").join(child_hit, "fq_name", "left").crossJoin(any_interface)
+        parts = {
+            ("n_children", "n_methods", "n_funcs", "n_fields", "n_public_fields", "n_void", "n_static", "n_snake", "n_camel"): lambda: self("members"), ("n_deps", "n_interface_deps", "cbo"): lambda: coupled,
+            ("single_call_methods",): lambda: singles, ("delegate_classes",): lambda: targets, ("sharing_pairs",): lambda: _sharing_pairs(outgoing.filter("kind = 'method'")), ("depth",): lambda: traverse.inheritance_depth(g).withColumnRenamed("fq_name", "owner"),
+        }
+        for columns, df in parts.items():
+            if self._needs("type", *columns):
+                t = t.join(df().withColumnRenamed("owner", "fq_name"), "fq_name", "left")
+        if self._needs("type", "referenced", "child_referenced"):
+            targeted = g.edges.select(F.col("target").alias("fq_name")).distinct().withColumn("hit", F.lit(True))
+            child_hit = owned.select("owner", F.col("source").alias("fq_name")).join(targeted, "fq_name").select(F.col("owner").alias("fq_name")).distinct().withColumn("child_referenced", F.lit(True))
+            t = t.join(targeted.withColumnRenamed("hit", "referenced"), "fq_name", "left").join(child_hit, "fq_name", "left")
+        if self._needs("type", "any_interface"):
+            t = t.crossJoin(F.broadcast(g.symbols.agg((F.count_if(F.col("kind") == "interface") > 0).alias("any_interface"))))  # one row
         return t.na.fill(0).na.fill(False)
 
     def _interface(self) -> DataFrame:
@@ -305,7 +337,7 @@ def findings(g: CodeGraph, config: dict | None = None, categories: list[str] | N
     """All findings: rule, category, severity, symbol, place, and the measure that made it fire."""
     limits = CONFIG | (config or {})
     chosen = [r for r in RULES.values() if r.id not in disabled and (not categories or r.category in categories) and (rules is None or r.id in rules)]
-    frames = Frames(g, as_of)
+    frames = Frames(materialised(g), as_of, chosen)
     parts: list[DataFrame] = []
     for frame in dict.fromkeys(r.frame for r in chosen):
         if frame.startswith("de") and frame != "dead_import" and g.dependencies is None:
@@ -320,16 +352,16 @@ def findings(g: CodeGraph, config: dict | None = None, categories: list[str] | N
 
 
 def scores(found: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(scope, findings, score): each category with a rule, and all. Shares of the number of symbols."""
+    """(scope, findings, score): each category with a rule, and all. Shares of the number of symbols. The findings are counted once, by category and severity."""
     n = F.broadcast(symbols.agg(F.greatest(F.count("*"), F.lit(1)).alias("symbols")))  # one row
     weight = F.lit(0)
     for severity, w in WEIGHTS.items():
         weight = F.when(F.col("severity") == severity, w).otherwise(weight)
-    spark = symbols.sparkSession
-    every = spark.createDataFrame([(c,) for c in CATEGORIES], "scope string")
-    by = every.join(found.groupBy(F.col("category").alias("scope")).agg(F.count("*").alias("findings")), "scope", "left").na.fill(0).crossJoin(n)
+    counts = checkpointed(found.groupBy("category", "severity").agg(F.count("*").alias("n")))
+    every = symbols.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "scope string")
+    by = every.join(counts.groupBy(F.col("category").alias("scope")).agg(F.sum("n").alias("findings")), "scope", "left").na.fill(0).crossJoin(n)
     by = by.select("scope", "findings", F.round(F.greatest(F.lit(0.0), 100 * (1 - F.col("findings") / F.col("symbols"))), 1).alias("score"))
-    total = found.agg(F.count("*").alias("findings"), F.coalesce(F.sum(weight), F.lit(0)).alias("w")).crossJoin(n)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), F.coalesce(F.sum(weight * F.col("n")), F.lit(0)).alias("w")).crossJoin(n)
     return by.unionByName(total.select(F.lit("overall").alias("scope"), "findings", F.round(F.greatest(F.lit(0.0), 100 - 10 * F.col("w") / F.col("symbols")), 1).alias("score")))
 
 

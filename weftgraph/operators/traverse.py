@@ -2,10 +2,12 @@
 
 Rounds are bounded by the hops asked for, or end by themselves; the visited set is
 checkpointed each round, so plans stay small and a lost executor costs one round at most.
+Graphs of a checked, small number of edges are walked in one task instead, with the same result.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,37 @@ def hops(links: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     return seen
 
 
+#: Graphs of so few edges (some 100 MB of names) are walked in one task; larger ones in rounds of joins.
+IN_TASK = 1 << 20
+
+
+def _walk(table: pa.Table) -> pa.Table:
+    """What rows (a, b) lead to from the nodes b of rows without an a, these included."""
+    after: dict[str, list[str]] = {}
+    seen: dict[str, None] = {}
+    for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
+        if a is None:
+            seen[b] = None
+        else:
+            after.setdefault(a, []).append(b)
+    frontier = list(seen)
+    while frontier:
+        frontier = [b for b in dict.fromkeys(b for a in frontier for b in after.get(a, ())) if b not in seen]
+        seen.update(dict.fromkeys(frontier))
+    return pa.table({"node": pa.array(list(seen), pa.string())})
+
+
 def reachable(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node): everything reachable from seeds over links (a, b), seeds included. Rounds as long as the longest shortest path."""
-    links = checkpointed(links.select("a", "b").distinct())
-    seen = frontier = checkpointed(seeds.select("node").distinct())
+    links = checkpointed(links.select("a", "b").filter("a is not null and b is not null").distinct())
+    seeds = seeds.select("node").filter("node is not null").distinct()
+    if links.count() <= IN_TASK:
+        # seeds that lead nowhere stay outside the task, so that it holds no more than the edges' ends
+        sources = seeds.join(links.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+        rows = links.unionByName(sources.select(F.lit(None).cast("string").alias("a"), F.col("node").alias("b")))
+        found = rows.groupBy(F.length("b") * 0).applyInArrow(_walk, "node string")
+        return seeds.unionByName(found).distinct()
+    seen = frontier = checkpointed(seeds)
     while not frontier.isEmpty():
         new = links.join(frontier.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = checkpointed(new)
@@ -129,6 +158,19 @@ def dead_imports(g: CodeGraph, r: DataFrame) -> DataFrame:
     return g.of_type("imports").select("source", "target", "file_path").distinct().join(r.filter("not is_reached").select(F.col("fq_name").alias("target")), "target", "left_semi")
 
 
+def _climb(table: pa.Table) -> pa.Table:
+    """Steps up from every name, as inheritance_depth counts them."""
+    up = dict(zip(table.column("fq_name").to_pylist(), table.column("base").to_pylist()))
+    depths = []
+    for start in up:
+        seen, at = {start}, up[start]
+        while at is not None and at not in seen:
+            seen.add(at)
+            at = up.get(at)
+        depths.append(len(seen) - (at is None))
+    return pa.table({"fq_name": pa.array(list(up), pa.string()), "depth": pa.array(depths, pa.int32())})
+
+
 def inheritance_depth(g: CodeGraph) -> DataFrame:
     """(fq_name, depth) of names with a base: steps up until there is no base, or one repeats.
 
@@ -137,6 +179,8 @@ def inheritance_depth(g: CodeGraph) -> DataFrame:
     as deep as the distinct names on it.
     """
     up = checkpointed(g.of_type("inherits").groupBy(F.col("source").alias("fq_name")).agg(F.max("target").alias("base")))
+    if up.count() <= IN_TASK:
+        return up.groupBy(F.length("base") * 0).applyInArrow(_climb, "fq_name string, depth int")
     chain = up.select("fq_name", F.array("base").alias("path"), F.col("base").alias("end"))
     while True:
         step = chain.select(F.col("fq_name").alias("end"), F.col("path").alias("more"), F.col("end").alias("next"))
@@ -152,22 +196,82 @@ def inheritance_depth(g: CodeGraph) -> DataFrame:
     ).select("fq_name", (F.col("names") - F.when(F.coalesce("goes_on", F.lit(False)) | F.col("cyclic"), 0).otherwise(1)).alias("depth"))
 
 
+def _spread(links: DataFrame, labels: DataFrame, inside: bool) -> DataFrame:
+    """labels (node, label) lowered along links (a, b) until nothing changes; `inside`: labels reach only nodes with `own` equal to them."""
+    while True:
+        moved = links.join(labels.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("new"))
+        better = F.col("new").isNotNull() & (F.col("label").isNull() if inside else F.col("new") < F.col("label"))
+        next_ = checkpointed(labels.join(moved, "node", "left").withColumn("changed", better).withColumn("label", F.when(better, F.col("new")).otherwise(F.col("label"))).drop("new"))
+        labels = next_.drop("changed")
+        if next_.filter("changed").isEmpty():
+            return labels
+
+
+def _strong(table: pa.Table) -> pa.Table:
+    """Strongly connected components of more than one node, by depth-first search; named by the least node."""
+    after: dict[str, list[str]] = {}
+    for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
+        after.setdefault(a, []).append(b)
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_: dict[str, None] = {}
+    out: list[tuple[str, str]] = []
+    for start in sorted(after):
+        path = [] if start in index else [(start, iter(after[start]))]
+        if path:
+            index[start] = low[start] = len(index)
+            open_[start] = None
+        while path:
+            node, rest = path[-1]
+            for nxt in rest:
+                if nxt not in index:
+                    index[nxt] = low[nxt] = len(index)
+                    open_[nxt] = None
+                    path.append((nxt, iter(after.get(nxt, ()))))
+                    break
+                if nxt in open_:
+                    low[node] = min(low[node], index[nxt])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == index[node]:
+                    members = []
+                    while True:
+                        member, _ = open_.popitem()
+                        members.append(member)
+                        if member == node:
+                            break
+                    if len(members) > 1:
+                        out += [(min(members), m) for m in members]
+    return pa.table({"component": pa.array([c for c, _ in out], pa.string()), "node": pa.array([m for _, m in out], pa.string())})
+
+
 def cycles(pairs: DataFrame) -> DataFrame:
-    """(component, members): strongly connected components of more than one node, named by the smallest member.
+    """(component, size, members): strongly connected components of more than one node, named by the smallest member.
 
-    Transitive closure by doubling over the module graph, whose size is that of the module
-    list; rounds are the logarithm of its diameter.
+    Forward-backward colouring: a node's colour is the least node that leads to it; what leads
+    back to the colour's node within the colour is its component. Found components and edges
+    between colours go, and the rest is coloured again until few edges are left; those are
+    searched depth first in one task.
     """
-    closure = checkpointed(pairs.select("a", "b").distinct())
-    size = closure.count()
-    while True:
-        more = closure.join(closure.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        closure = checkpointed(closure.unionByName(more).distinct())
-        if (now := closure.count()) == size:
-            break
-        size = now
-    mutual = closure.join(closure.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"])
-    rows = mutual.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), F.least("a", "component").alias("component"))
+    links = checkpointed(pairs.select("a", "b").filter("a <> b").distinct())
+    found = None
+    while links.count() > IN_TASK:
+        nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+        colour = _spread(links, checkpointed(nodes.withColumn("label", F.col("node"))), False)
+        for end in ("a", "b"):
+            links = links.join(colour.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end)
+        links = checkpointed(links.filter("of_a = of_b").select("a", "b"))
+        back = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        component = _spread(back, checkpointed(colour.select("node", F.when(F.col("node") == F.col("label"), F.col("node")).alias("label"))), True).filter("label is not null")
+        component = checkpointed(component.select(F.col("label").alias("component"), "node"))
+        found = component if found is None else found.unionByName(component)
+        for end in ("a", "b"):
+            links = links.join(component.select(F.col("node").alias(end)), end, "left_anti")
+        links = checkpointed(links)
+    last = links.groupBy(F.length("a") * 0).applyInArrow(_strong, "component string, node string")
+    rows = last if found is None else last.unionByName(found)
     return rows.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members")).filter("size > 1")
 
 

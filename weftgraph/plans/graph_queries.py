@@ -390,7 +390,7 @@ def _findings_sql(ids: list[str]) -> str:
     for i in ids:
         r, (source, when, value) = rules.RULES[i], RULE_SQL[i]
         parts.append(f"SELECT '{i}' AS rule_id, '{r.name}' AS rule_name, '{r.category}' AS category, '{r.severity}' AS severity, fq_name AS symbol_fq_name, file_path, line::INT AS line, round(({value})::DOUBLE, 6) AS value FROM {source} q WHERE {when}")
-    return "WITH " + RULE_TABLES + ", found AS (" + " UNION ALL ".join(parts) + ")\n"
+    return "WITH " + RULE_TABLES + ", found AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")\n"
 
 
 def _category(category: str):

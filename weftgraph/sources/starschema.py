@@ -1,9 +1,9 @@
 """A code graph derived from a star schema: suppliers are types, parts their members, orders call chains.
 
 `graph(spark, dir)` builds it with DataFrames; `PRELUDE` derives the same tables as SQL views
-for an oracle. Symbols, inheritance and blame use every row of their tables; dependencies use the
-tenth of part with p_partkey % 10 = 0. Calls use the lines of orders that are 1-URGENT and F, and
-backward steps only of orders with o_orderkey % 97 = 0; imports the returned lines of quantity 50.
+for an oracle. Symbols, inheritance, dependencies and blame use every row of their tables. What a
+call or an import is, is part of the binding: steps of orders that are 1-URGENT and F (backward
+ones where the order key is a multiple of 97), and returned lines of quantity 50.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = F.element_at(F.array(*[F.lit(v) for v in ("*", "latest", ">=1.0", "==1.2", ">=1,<2", "^1.0")]), (F.col("p_size") % 6 + 1).cast("int"))
-    p = table(spark, sf_dir, "part").filter("p_partkey % 10 = 0")
+    p = table(spark, sf_dir, "part")
     pinned = F.col("version").rlike(r"[><=^~*|]|^latest$|^$")
     return p.select(
         F.lower("p_brand").alias("name"), version.alias("version"), F.element_at(F.array(F.lit("pypi"), F.lit("npm"), F.lit("maven")), (F.col("p_partkey") / 10 % 3 + 1).cast("int")).alias("ecosystem"),
@@ -154,7 +154,7 @@ edge AS (
   UNION ALL SELECT DISTINCT 'r' || n_regionkey || '.' || lower(n_name), t.fq, 'imports', replace('r' || n_regionkey || '.' || lower(n_name), '.', '/') || '/imports.py'
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN styp t ON t.k = l_suppkey WHERE l_returnflag = 'R' AND l_quantity = 50),
 dep AS (SELECT lower(p_brand) AS name, (['*', 'latest', '>=1.0', '==1.2', '>=1,<2', '^1.0'])[p_size % 6 + 1] AS version, (['pypi', 'npm', 'maven'])[(p_partkey // 10) % 3 + 1] AS ecosystem,
-  'manifests/m' || (p_partkey % 7) AS file_path, p_partkey % 4 = 0 AS is_dev FROM part WHERE p_partkey % 10 = 0),
+  'manifests/m' || (p_partkey % 7) AS file_path, p_partkey % 4 = 0 AS is_dev FROM part),
 blame AS (SELECT path AS file_path, (event_id // (SELECT n FROM nsup))::INT AS line_no, 'u' || user_id AS author, ts AS committed_at, substr(md5(event_id::VARCHAR), 1, 12) AS commit
   FROM events JOIN styp ON k = event_id % (SELECT n FROM nsup))
 """
