@@ -10,7 +10,6 @@ import __spark_entry__
 from weftgraph.plans import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"health_findings", "health_scores", "rules_design", "rules_best_practices"}  # their parts are covered by the other queries
 
 
 def plain(v):
@@ -33,7 +32,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
