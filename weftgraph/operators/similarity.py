@@ -51,6 +51,12 @@ def classes(units: DataFrame) -> DataFrame:
     return sets.join(first, "key").select("unit", "windows", "class")
 
 
+def totals(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(groups, members, pairs): groups of exact clones (unit, fingerprint), the units in them, and near pairs. One row."""
+    exact = exact_groups(units).agg(F.count("*").alias("groups"), F.coalesce(F.sum("members"), F.lit(0)).alias("members"))
+    return exact.crossJoin(F.broadcast(pairs.agg(F.count("*").alias("pairs"))))  # one row each
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision; 0 for a zero norm or unequal lengths."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -64,11 +70,16 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
     return vectors.crossJoin(q).select("id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once a row: a lambda's variable is not expanded into the expressions that use it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def hash_embedding(text: Column, dimensions: int = 256) -> Column:
     """A deterministic unit vector: the text's SHA-256 expanded by a counter, four bytes a component. JVM expressions only."""
-    seed = F.unhex(F.sha2(text.cast("binary"), 256))
-    digests = F.transform(F.sequence(F.lit(0), F.lit(-(-dimensions // 8) - 1)), lambda i: F.sha2(F.concat(seed, F.unhex(F.lpad(F.hex(i.cast("long")), 8, "0"))), 256))
+    count = F.sequence(F.lit(0), F.lit(-(-dimensions // 8) - 1))
+    digests = lambda seed: F.transform(count, lambda i: F.sha2(F.concat(seed, F.unhex(F.lpad(F.hex(i.cast("long")), 8, "0"))), 256))
     value = lambda d, j: (F.conv(F.substring(d, j * 8 + 1, 8), 16, 10).cast("double") / F.lit(float(2**32 - 1))) * 2 - 1
-    raw = F.slice(F.flatten(F.transform(digests, lambda d: F.array(*[value(d, j) for j in range(8)]))), 1, dimensions)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(raw, lambda v: F.when(norm > 0, v / norm).otherwise(v))
+    raw = _let(F.unhex(F.sha2(text.cast("binary"), 256)), lambda seed: F.slice(F.flatten(F.transform(digests(seed), lambda d: F.array(*[value(d, j) for j in range(8)]))), 1, dimensions))
+    norm = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, v: s + v * v))
+    return _let(raw, lambda r: _let(norm(r), lambda n: F.transform(r, lambda v: F.when(n > 0, v / n).otherwise(v))))

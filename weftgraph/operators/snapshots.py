@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..helpers import free_name
+
 
 def latest(df: DataFrame, by: list[str], order: list) -> DataFrame:
     """The first row of each group in an order. Spark turns the filter into a limit within groups before the shuffle."""
-    return df.withColumn("_row", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_row = 1").drop("_row")
+    row = free_name(df, "row")
+    return df.withColumn(row, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(row) == 1).drop(row)
 
 
 def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:

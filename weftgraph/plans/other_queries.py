@@ -118,7 +118,12 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.nearest(e, e.orderBy("id").limit(1))
 
 
-@query()
+VECTORS = """raw AS (SELECT conv_id, turn, list_transform(range(0, 256), lambda i: (('0x' || substr(sha256(unhex(sha256(text)) || unhex(printf('%08X', (i // 8)::INT))), ((i % 8) * 8 + 1)::INT, 8))::BIGINT::DOUBLE / 4294967295.0::DOUBLE) * 2 - 1) AS v FROM conversations),
+unit AS (SELECT conv_id, turn, list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6)) AS vector FROM raw)
+"""
+
+
+@query("WITH " + VECTORS + "SELECT * FROM unit", prelude=False)
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.transform(similarity.hash_embedding(F.col("text")), lambda v: F.round(v, 6)).alias("vector"))

@@ -6,10 +6,13 @@ which are bounded by what a report shows.
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
 import zipfile
+import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,17 +123,43 @@ def csv_zip(tables: dict[str, DataFrame]) -> bytes:
     return out.getvalue()
 
 
+def json_export(g: CodeGraph, summaries: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """(section, place, json): everything of a snapshot, a JSON object a row, symbols in order of file.
+
+    Sections are symbols, edges, summaries (scope_type, scope_id, summary_json) and docs (doc_type, title,
+    scope_id, markdown), and metadata: their counts. A summary that is no JSON is an empty one. Absent texts are empty.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    row = lambda section, place, *cols: (F.lit(section).alias("section"), place.alias("place"), F.to_json(F.struct(*cols)).alias("json"))
+    mods = F.coalesce(F.array_join("modifiers", ","), F.lit("")).alias("modifiers")
+    named = [text(c) for c in ("namespace", "parent_fq_name", "signature")]
+    out = [
+        g.symbols.select(*row("symbols", text("file_path"), "fq_name", "name", "kind", "file_path", "start_line", "end_line", *named, mods, text("return_type"))),
+        g.edges.select(*row("edges", text("file_path"), F.col("source").alias("source_fq_name"), F.col("target").alias("target_fq_name"), "edge_type", text("file_path"), F.coalesce("line", F.lit(0)).alias("line"))),
+    ]
+    if summaries is not None:
+        said = F.coalesce(F.try_parse_json("summary_json"), F.parse_json(F.lit("{}"))).alias("summary")
+        out.append(summaries.select(*row("summaries", text("scope_id"), "scope_type", "scope_id", said)))
+    if docs is not None:
+        out.append(docs.select(*row("docs", text("scope_id"), "doc_type", "title", "scope_id", "markdown")))
+    whole = out[0]
+    for df in out[1:]:
+        whole = whole.unionByName(df)
+    counts = whole.agg(*[F.count_if(F.col("section") == s).alias(c) for s, c in (("symbols", "symbol_count"), ("edges", "edge_count"), ("summaries", "summary_count"), ("docs", "doc_count"))])
+    return whole.unionByName(counts.select(*row("metadata", F.lit(""), "symbol_count", "edge_count", "summary_count", "doc_count")))
+
+
+def write_json(rows: DataFrame, folder: str) -> None:
+    """json_export's rows as JSON lines, a folder a section, in order of place."""
+    order = ("section", "place", "json")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("section", F.col("json").alias("value")).write.mode("overwrite").option("compression", "gzip").partitionBy("section").text(folder)
+
+
 def write_graph(g: CodeGraph, folder: str, snapshot_id: str) -> None:
     """Symbols, edges and dependencies, partitioned by snapshot; a snapshot that is there is replaced."""
-    spark = g.spark
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        for name, df in (("symbols", g.symbols), ("edges", g.edges), ("dependencies", g.dependencies)):
-            if df is not None:
-                df.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("overwrite").partitionBy("snapshot_id").parquet(f"{folder}/{name}")
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    for name, df in (("symbols", g.symbols), ("edges", g.edges), ("dependencies", g.dependencies)):
+        if df is not None:
+            df.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{folder}/{name}")
 
 
 def read_graph(spark: SparkSession, folder: str, snapshot_id: str) -> CodeGraph:
@@ -147,6 +176,48 @@ SHORT = {
 SCHEMAS = {"symbols": SYMBOLS, "edges": EDGES, "dependencies": DEPENDENCIES}
 
 
+#: The newest schema of the portable form, and the most bytes of an import.
+PORTABLE_VERSION, MAX_IMPORT = 1, 200 * 1024 * 1024
+
+
+def portable_reasons(files: DataFrame) -> DataFrame:
+    """files (path, length, content) with `reason`: why a portable payload (gzip of one JSON object) is refused, else null.
+
+    In this order: empty, too large, not gzip, not JSON, a newer schema version, no metadata. A file
+    beyond the limit is refused by its length and not unpacked.
+    """
+
+    def judge(batches):
+        for batch in batches:
+            reasons = []
+            for length, content in zip(batch.column("length").to_pylist(), batch.column("content").to_pylist()):
+                reasons.append(_portable_reason(length, content))
+            keep = [c for c in batch.schema.names if c != "content"]
+            yield batch.select(keep).append_column("reason", pa.array(reasons, pa.string()))
+
+    known = files.select("path", "length", F.when(F.col("length") <= MAX_IMPORT, F.col("content")).alias("content"))
+    return known.mapInArrow(judge, known.drop("content").schema.add("reason", "string"))
+
+
+def _portable_reason(length: int | None, content: bytes | None) -> str | None:
+    if not length:
+        return "empty"
+    if length > MAX_IMPORT:
+        return "too large"
+    try:
+        payload = json.loads(gzip.decompress(content))
+    except (OSError, EOFError, zlib.error):
+        return "not gzip"
+    except ValueError:
+        return "not JSON"
+    if not isinstance(payload, dict):
+        return "not JSON"
+    version = payload.get("schema_version", 0)
+    if not isinstance(version, int | float) or version > PORTABLE_VERSION:
+        return "newer schema version"
+    return None if "metadata" in payload else "no metadata"
+
+
 def write_portable(g: CodeGraph, folder: str) -> None:
     """Compressed JSON lines with short keys; empty values are left out."""
     for name, df in (("symbols", g.symbols), ("edges", g.edges), ("dependencies", g.dependencies)):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -81,3 +82,45 @@ def pushes_to_repos(pushes: DataFrame, repos: DataFrame) -> DataFrame:
 def signature_matches(secret: str, body: bytes, header: str) -> bool:
     """Whether a push's `sha256=` header is the body's HMAC."""
     return hmac.compare_digest("sha256=" + hmac.new(secret.encode(), body, hashlib.sha256).hexdigest(), header or "")
+
+
+#: The event of each provider that is a push.
+PUSH_EVENTS = {"github": "push", "gitlab": "Push Hook"}
+
+
+def pushes(hooks: DataFrame) -> DataFrame:
+    """hooks (provider, event, payload as JSON) with url, ref, commit_sha and reason in place of event and payload.
+
+    `reason` says why a hook is no push: another event, no url or no branch; else it is null. The generic
+    form has repo_url, branch and commit_sha; the others a repository or project, a ref and the commit after it.
+    """
+    kind = "repository struct<clone_url string, html_url string>, project struct<http_url string>, repo_url string, branch string, commit_sha string, ref string, after string"
+    p = F.from_json("payload", kind)
+    x = hooks.withColumn("p", p)
+    given = lambda *names: F.coalesce(*[F.when(F.col(f"p.{n}") != "", F.col(f"p.{n}")) for n in names])
+    url = F.when(F.col("provider") == "github", given("repository.clone_url", "repository.html_url")).when(F.col("provider") == "gitlab", given("project.http_url")).otherwise(given("repo_url"))
+    ref = F.when(F.col("provider").isin(*PUSH_EVENTS), given("ref")).otherwise(given("branch"))
+    sha = F.when(F.col("provider").isin(*PUSH_EVENTS), given("after")).otherwise(given("commit_sha"))
+    expected = F.lit(None).cast("string")
+    for provider, event in PUSH_EVENTS.items():
+        expected = F.when(F.col("provider") == provider, event).otherwise(expected)
+    another = expected.isNotNull() & ~expected.eqNullSafe(F.col("event"))
+    reason = F.when(another, "another event").when(url.isNull(), "no url").when(ref.isNull(), "no branch")
+    kept = [c for c in hooks.columns if c not in ("event", "payload")]
+    return x.select(*kept, url.alias("url"), ref.alias("ref"), sha.alias("commit_sha"), reason.alias("reason"))
+
+
+def token_matches(secret: str, header: str) -> bool:
+    """Whether a push's shared token is the secret."""
+    return hmac.compare_digest(secret.encode(), (header or "").encode())
+
+
+def retried(run, most: int = 3, base: float = 2.0, longest: float = 60.0, wait=time.sleep):
+    """run() again after a failure, at most `most` times, waiting base * 2 ** n seconds and never longer than `longest`. The last error is raised."""
+    for attempt in range(most + 1):
+        try:
+            return run()
+        except Exception:
+            if attempt == most:
+                raise
+            wait(min(base * 2**attempt, longest))
