@@ -53,6 +53,19 @@ def test_no_labels_and_empty(spark, pages):
     assert url_filters.judge(pages.limit(0), none, queries.RULES).count() == 0
 
 
+def test_many_rules_are_joined_with_the_same_result(spark, pages, monkeypatch):
+    hosts = ["com", "example.com", "b.example.net", "net", "org", "", "com.", "a.b.c.d.e", "ÄB.com", "s.example.com"]
+    paths = ["", "/", "/en/", "/en/7", "/de/8", "/es/", "/en/7x", "/x://y", "/EN/", "/a/very/long/path/that/no/url/has"]
+    rules = [(("allow", "block")[(i + j) % 2], h, p) for i, h in enumerate(hosts) for j, p in enumerate(paths)] + [("allow", "net", "/"), ("block", "net", "/")]
+    none = spark.createDataFrame([], "page_id long, bad int")
+    read = lambda: sorted(repr((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in url_filters.judge(pages, none, rules).collect())
+    literal = read()
+    monkeypatch.setattr(url_filters, "LITERALS", 0)
+    assert read() == literal and "block" in str(literal)
+    empty = spark.createDataFrame([], "action string, host string, path string")
+    assert {(r.rule, r.verdict) for r in url_filters.judge(pages, none, empty).collect()} == {(None, "allow")}
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_sql(spark, size):
     d = f"/root/testdata/{size}"

@@ -30,8 +30,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 #: Production parameters: a host is blocked if P(bad) exceeds MAX_BAD by Z standard deviations.
 MAX_BAD, Z = 0.5, 1.0
-#: Rules are literals of the plan up to this many.
-MOST_RULES = 500
+#: Up to so many rules of a list are literals of the plan; more, and rules in a table, are joined. The result is the same.
+LITERALS = 500
 
 
 def host_of(url: Column) -> Column:
@@ -63,15 +63,34 @@ def domain_of(host: Column) -> Column:
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]], what: int) -> Column:
     """The longest fitting rule's action (0) or text (1); null if none fits."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} are literals of the plan")
     out = F.lit(None).cast("string")
-    for action, rule_host, rule_path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):
+    for action, rule_host, rule_path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2], r[0])):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
         out = F.when(fits, F.lit(action if what == 0 else rule_host + rule_path)).otherwise(out)
     return out
 
 
+def rules_by_join(seen: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, action) of each distinct host and path of seen that some rule (action, host, path) fits: the longest.
+
+    Equi-joins only: a rule's host has at most as many labels as the longest one, and its path one of
+    the lengths that rules have, so a url's keys are its host's last labels with its path's prefixes.
+    Keys are made of distinct urls; a key that very many of them share is split by the adaptive skew join.
+    """
+    r = rules.filter("action is not null").select("action", F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).na.fill("", ["rule_host", "rule_path"]).distinct()
+    labels = F.size(F.split("rule_host", r"\."))
+    shape = r.agg(F.coalesce(F.max(labels), F.lit(0)).alias("most"), F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths"))  # one row
+    urls = seen.select("host", "path").distinct().crossJoin(F.broadcast(shape))
+    parts = F.split("host", r"\.")
+    count = F.least(F.size(parts), F.col("most"))
+    suffixes = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), ".")))
+    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
+    keys = urls.withColumn("rule_host", F.explode(suffixes)).withColumn("rule_path", F.explode(prefixes)).drop("most", "lengths")
+    text = F.concat("rule_host", "rule_path")
+    fit = keys.join(r, ["rule_host", "rule_path"]).select("host", "path", F.struct(F.length(text).alias("n"), text.alias("rule"), "action").alias("r"))
+    return fit.groupBy("host", "path").agg(F.max("r").alias("r")).select("host", "path", "r.rule", "r.action")
+
+
 def _weight(groups: DataFrame, mean: str, count: str, bad: str) -> DataFrame:
     """One row: the prior's weight by the method of moments, over groups with outcomes.
 
@@ -120,13 +139,16 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], max_bad: float = MAX_BAD) -> DataFrame:
-    """(page_id, host, path, rule, verdict, bad_rate, lower_bound) of every page."""
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, max_bad: float = MAX_BAD) -> DataFrame:
+    """(page_id, host, path, rule, verdict, bad_rate, lower_bound) of every page; rules as a list or a table (action, host, path)."""
     urls = pages.select("page_id", "url")
     hosts = reputation(urls, outcomes).select("host", "bad_rate", "lower_bound")
     seen = urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     by_method = F.when(F.col("lower_bound") > max_bad, "block").otherwise("allow")
-    return seen.join(hosts, "host", "left").select(
-        "page_id", "host", "path", rule_for(F.col("host"), F.col("path"), rules, 1).alias("rule"),
-        F.coalesce(rule_for(F.col("host"), F.col("path"), rules, 0), by_method).alias("verdict"), "bad_rate", "lower_bound",
-    )
+    if isinstance(rules, list) and len(rules) > LITERALS:
+        rules = pages.sparkSession.createDataFrame(rules, "action string, host string, path string")
+    if isinstance(rules, list):
+        ruled = seen.withColumns({"rule": rule_for(F.col("host"), F.col("path"), rules, 1), "action": rule_for(F.col("host"), F.col("path"), rules, 0)})
+    else:
+        ruled = seen.join(rules_by_join(seen, rules), ["host", "path"], "left")
+    return ruled.join(hosts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("action", by_method).alias("verdict"), "bad_rate", "lower_bound")
