@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchor_dedup, ngram_join, packing, piece_codec, pivot_search, quality_rules, secret_scan, suffix_dedup, token_counts, url_filters
+from . import anchor_dedup, filter_audit, language_id, lexical_search, ngram_join, packing, piece_codec, pivot_search, quality_rules, secret_scan, suffix_dedup, token_counts, url_filters
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -66,8 +66,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identified(docs, language_id.fit(docs))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    named = [op1_url_filters, op2_ngram_join, op3_secret_scans, op4_best_fit_packing, op5_substring_dedup, op6_suffix_dedup, op7_sentencepiece, op8_exact_top_k, op9_token_counts, op10_quality_rules]
+    named = [
+        op1_url_filters, op2_ngram_join, op3_secret_scans, op4_best_fit_packing, op5_substring_dedup, op6_suffix_dedup, op7_sentencepiece, op8_exact_top_k, op9_token_counts, op10_quality_rules,
+        op11_language_id, op12_lexical_search, op13_filter_audit,
+    ]
     return {f.__name__: f for f in named}
 
 
@@ -111,5 +127,44 @@ FROM seen JOIN by_host USING (host)
 """
 
 
+OP12_SQL = f"""
+WITH term AS (SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all(translate(text, '{url_filters.UPPER}', '{url_filters.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+posting AS (SELECT row, any_value(doc_id) AS doc_id, term, count(*)::BIGINT AS tf FROM term GROUP BY row, term),
+lengths AS (SELECT row, sum(tf)::BIGINT AS n FROM posting GROUP BY row),
+size AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+weight AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM posting, size GROUP BY term),
+asked AS (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(text, '{url_filters.UPPER}', '{url_filters.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+wanted AS (SELECT item, any_value(item_id) AS item_id, term, count(*)::BIGINT AS times FROM asked GROUP BY item, term),
+scored AS (SELECT item, any_value(item_id) AS item_id, row, any_value(doc_id) AS doc_id,
+        sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM wanted JOIN posting USING (term) JOIN weight USING (term) JOIN lengths USING (row), size GROUP BY item, row)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+"""
+
+OP13_SQL = """
+WITH words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+label AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+judged AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+        100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * len(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e
+    FROM words LEFT JOIN label USING (doc_id)),
+failing AS (SELECT part, good, toxic, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS failed, count(*)::BIGINT AS n FROM judged GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+ordered AS (SELECT p.f || q.f || r.f || s.f || t.f AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+    FROM letter p, letter q, letter r, letter s, letter t WHERE p.bit + q.bit + r.bit + s.bit + t.bit = 31 AND len(list_distinct([p.f, q.f, r.f, s.f, t.f])) = 5),
+stepped AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM ordered, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+counted AS (SELECT part, filter_order, step, bit,
+        sum(CASE WHEN failed & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN failed & before = 0 AND failed & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN failed & before <> 0 AND failed & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN failed = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN failed & before = 0 AND failed & bit <> 0 AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN failed & before = 0 AND failed & bit <> 0 AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+    FROM failing, stepped GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL}
+    return {"op1_url_filters": OP1_SQL, "op12_lexical_search": OP12_SQL, "op13_filter_audit": OP13_SQL}
