@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..graph import checkpointed
+
 #: Statements of a window, and the least similarity of near clones.
 WINDOW, NEAR = 5, 0.6
 
@@ -70,6 +75,73 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
     return vectors.crossJoin(q).select("id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+#: Vectors, and queries, of a cell of the product.
+CELL = 4096
+
+
+def _unit(batches, name: str):
+    """(id, vector as bytes, width) of unit length; zero vectors stay zero."""
+    for batch in batches:
+        column = batch.column(1)
+        ids, rows = [], []
+        for i, v in zip(batch.column(0).to_pylist(), column.to_pylist()):
+            if i is not None and v is not None and None not in v:
+                x = np.array(v, dtype=np.float64)
+                norm = np.sqrt(x @ x)
+                ids.append(i)
+                rows.append(x / norm if norm > 0 and np.isfinite(norm) else np.zeros(len(x)))
+        yield pa.record_batch({name: pa.array(ids, batch.schema.field(0).type), "unit": pa.array([x.tobytes() for x in rows], pa.binary()), "width": pa.array([len(x) for x in rows], pa.int32())})
+
+
+def _product(k: int):
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        schema = pa.schema([("id", queries.schema.field("id").type), ("other", vectors.schema.field("other").type), ("score", pa.float64())])
+        if not vectors.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        x, q = (np.frombuffer(b"".join(t.column("unit").to_pylist()), dtype=np.float64).reshape(t.num_rows, -1) for t in (vectors, queries))
+        scores = np.round(q @ x.T, 6) + 0.0
+        # ties go by id, whose order is Arrow's
+        rank = np.empty(vectors.num_rows, dtype=np.int64)
+        rank[pa.compute.sort_indices(vectors.column("other")).to_numpy()] = np.arange(vectors.num_rows)
+        best = [np.lexsort((rank, -row))[:k] if len(row) <= 4 * k else _few(row, rank, k) for row in scores]
+        at = np.concatenate(best)
+        who = np.repeat(np.arange(len(q)), [len(b) for b in best])
+        return pa.table([queries.column("id").take(pa.array(who)), vectors.column("other").take(pa.array(at)), pa.array(scores[who, at])], schema=schema)
+
+    return run
+
+
+def _few(row: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest, ties by rank, without sorting all."""
+    floor = np.partition(row, len(row) - k)[len(row) - k]
+    good = np.flatnonzero(row >= floor)
+    return good[np.lexsort((rank[good], -row[good]))[:k]]
+
+
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(id, other, score, rank): of each query (id, vector) the k most alike of vectors (id, vector), by cosine to six places, ties by id.
+
+    A blocked product: both sides are made unit vectors once and dealt to a grid of cells of about
+    CELL vectors by CELL queries of one length; a cell is one matrix product, which keeps k rows a query. So each
+    task holds two bounded blocks, and what is merged is k rows a query and block. Null ids and
+    vectors, and vectors that hold a null, take no part; vectors of another length than the
+    query's are not compared with it; of equal rows each counts.
+    """
+    kind = lambda df: df.schema["id"].dataType.simpleString()
+    columns = {"other": vectors, "id": queries}
+    made = {name: checkpointed(df.select(F.col("id").alias(name), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(lambda b, name=name: _unit(b, name), f"{name} {kind(df)}, unit binary, width int")) for name, df in columns.items()}
+    cells = {name: max(1, -(-df.count() // CELL)) for name, df in made.items()}
+    # a block of one side meets every block of the other
+    dealt = lambda name: F.pmod(F.xxhash64(name, "unit"), F.lit(cells[name])).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.lit(cells[name] - 1)))
+    left = made["other"].select("other", "unit", "width", dealt("other").alias("block"), every("id").alias("asks"))
+    right = made["id"].select("id", "unit", "width", dealt("id").alias("asks"), every("other").alias("block"))
+    keys = ("width", "block", "asks")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_product(k), f"id {kind(queries)}, other {kind(vectors)}, score double")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def _let(value: Column, f) -> Column:
     """f(value), with value computed once a row: a lambda's variable is not expanded into the expressions that use it."""
     return F.element_at(F.transform(F.array(value), f), 1)

@@ -129,6 +129,14 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.transform(similarity.hash_embedding(F.col("text")), lambda v: F.round(v, 6)).alias("vector"))
 
 
+@query("""SELECT id, other, score, rank::INT AS rank FROM (SELECT q.vec_id AS id, v.vec_id AS other, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS score,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) WHERE rank <= 10""", prelude=False)
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole set of query vectors, those with ids divisible by 20, against all."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return similarity.nearest_many(e, e.filter("id % 20 = 0"), 10)
+
+
 # ---- search and questions -----------------------------------------------------------------------
 
 SCORE = "greatest(CASE WHEN lower(name) = 'ring' THEN 10.0 WHEN contains(lower(name), 'ring') THEN 5.0 ELSE 0.0 END + CASE WHEN contains(lower(fq_name), 'ring') THEN 3.0 ELSE 0.0 END + CASE WHEN contains(lower(namespace), 'ring') THEN 1.0 ELSE 0.0 END, 0.1)::DOUBLE"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, facts, guard, metrics, review
+from ..operators import evaluate, facts, guard, metrics, review, search
 from ..sources import starschema
 from ..sources.starschema import table
 from .graph_queries import MODULE
@@ -267,7 +267,7 @@ def summary_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: One question a type symbol; every fifth names only the end of a name, every seventh nothing that is known.
-ASKED = """ask AS (SELECT k AS id, (['flow', 'impact', 'architecture', 'component'])[k % 4 + 1] AS question_type, CASE WHEN k % 7 = 0 THEN 'no.such.name' WHEN k % 5 = 0 THEN '.S' || k || '.p' ELSE fq END AS target FROM styp),
+ASKED = """ask AS (SELECT k AS id, (['flow', 'impact', 'architecture', 'component'])[k % 4 + 1] AS question_type, (['out', 'in', 'both', 'out'])[k % 4 + 1] AS dir, ([2, 3, 1, 2])[k % 4 + 1] AS hops, 'About ' || fq AS text, CASE WHEN k % 7 = 0 THEN 'no.such.name' WHEN k % 5 = 0 THEN '.S' || k || '.p' ELSE fq END AS target FROM styp),
 hit AS (SELECT id, a.target, fq_name, name, kind, file_path, start_line, end_line, signature, row_number() OVER (PARTITION BY id ORDER BY fq_name) AS n FROM ask a JOIN sym s ON s.fq_name = a.target OR (NOT EXISTS (SELECT 1 FROM sym e WHERE e.fq_name = a.target) AND (contains(s.fq_name, a.target) OR s.name = a.target)))
 """
 
@@ -277,7 +277,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("id")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("flow", "impact", "architecture", "component")]), (k % 4 + 1).cast("int"))
     target = F.when(k % 7 == 0, "no.such.name").when(k % 5 == 0, F.concat(F.lit(".S"), k.cast("string"), F.lit(".p"))).otherwise(F.col("fq"))
-    return t.select("id", kind.alias("question_type"), target.alias("target"), facts.direction_of(kind).alias("direction"), F.lit(2).alias("max_hops"))
+    return t.select("id", kind.alias("question_type"), target.alias("target"), facts.direction_of(kind).alias("direction"), search.question_hops(kind).alias("max_hops"), F.concat(F.lit("About "), "fq").alias("text"))
 
 
 @query("WITH " + ASKED + "SELECT id, target, fq_name, name, kind, file_path, start_line, end_line, signature FROM hit WHERE n <= 20")
@@ -285,26 +285,88 @@ def context_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.matched_symbols(_asked(spark, sf_dir), starschema.graph(spark, sf_dir))
 
 
-#: One hop of calls around each question's target: a node's and a question's first 30 edges.
-HOP = """cal AS (SELECT source, target, file_path, 0 AS line FROM edge WHERE edge_type = 'calls'),
-near AS (SELECT id, source, c.target, c.file_path, c.line, row_number() OVER (PARTITION BY id ORDER BY source, c.target) AS n FROM ask a JOIN cal c
-  ON (question_type IN ('flow', 'component', 'architecture') AND contains(c.source, a.target)) OR (question_type IN ('impact', 'architecture') AND contains(c.target, a.target)))
-"""
+def _hops(most: int) -> str:
+    """SQL of the calls around each question's target, hop by hop: a node's first 30 edges, and a question's as `near`."""
+    out = ["cal AS (SELECT source, target, file_path, 0 AS line FROM edge WHERE edge_type = 'calls')", "f1 AS (SELECT id, target AS node, dir, hops FROM ask)", "s1 AS (SELECT id, node FROM f1)"]
+    for h in range(1, most + 1):
+        out += [
+            f"""e{h} AS (SELECT *, row_number() OVER (PARTITION BY id, node ORDER BY source, target, line, file_path) AS n FROM (SELECT DISTINCT f.id, f.node, c.* FROM f{h} f JOIN cal c
+  ON (dir IN ('out', 'both') AND contains(c.source, node)) OR (dir IN ('in', 'both') AND contains(c.target, node)) WHERE hops >= {h}))""",
+            f"k{h} AS (SELECT id, {h} AS hop, node, source, target, file_path, line FROM e{h} WHERE n <= 30)",
+            f"f{h + 1} AS (SELECT r.id, r.node, dir, hops FROM (SELECT id, source AS node FROM k{h} UNION SELECT id, target FROM k{h} EXCEPT SELECT * FROM s{h}) r JOIN ask USING (id))",
+            f"s{h + 1} AS (SELECT * FROM s{h} UNION SELECT id, node FROM f{h + 1})",
+        ]
+    every = " UNION ALL ".join(f"SELECT * FROM k{h}" for h in range(1, most + 1))
+    return ",\n".join(out) + f",\nnear AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hop, node, source, target, line, file_path) AS m FROM ({every})) WHERE m <= 30)\n"
 
 
-@query("WITH " + ASKED + ", " + HOP + "SELECT id, 1 AS hop, source, target, file_path, line FROM near WHERE n <= 30")
+@query("WITH " + ASKED + ", " + _hops(3) + "SELECT id, hop, source, target, file_path, line FROM near")
 def context_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.call_context(_asked(spark, sf_dir).withColumn("max_hops", F.lit(1)), starschema.graph(spark, sf_dir))
+    """As many hops as the kind of question asks for: one to three."""
+    return facts.call_context(_asked(spark, sf_dir), starschema.graph(spark, sf_dir))
+
+
+def _unit(name: str, key: str, source: str) -> str:
+    """SQL of the hash embedder's vectors."""
+    value = "(('0x' || substr(sha256(unhex(sha256(text)) || unhex(printf('%08X', (i // 8)::INT))), ((i % 8) * 8 + 1)::INT, 8))::BIGINT::DOUBLE / 4294967295.0::DOUBLE) * 2 - 1"
+    return f"{name} AS (SELECT {key} AS key, list_transform(range(0, 256), lambda i: {value}) AS v FROM {source})"
+
+
+SUMMED = FILES + f""", mods AS (SELECT namespace AS module, count(*) AS n, count(DISTINCT file_path) AS files FROM sym WHERE namespace <> '' GROUP BY 1),
+stx AS (SELECT path, 'File: ' || path || ' | ' || purpose || CASE WHEN imports > 0 THEN ' | Responsibilities: imports ' || imports ELSE '' END AS text FROM fx),
+{_unit("qv", "id", "ask")}, {_unit("sv", "path", "stx")},
+hits AS (SELECT q.key AS id, s.key AS path, row_number() OVER (PARTITION BY q.key ORDER BY round(list_cosine_similarity(q.v, s.v), 6) DESC, s.key) AS r FROM qv q, sv s),
+ms AS (SELECT id, r, '  - [file] ' || text[1:200] AS line, path FROM hits JOIN stx USING (path) WHERE r <= 10
+  UNION ALL SELECT id, 10 + row_number() OVER (PARTITION BY id ORDER BY module), '  - [module_summary] Module ''' || module || ''' contains ' || n || ' symbols across ' || files || ' files.', '' FROM ask, mods WHERE question_type = 'architecture'),
+su AS (SELECT id, count(*) AS n, list(line ORDER BY r)[1:5] AS lines, list(path ORDER BY r)[1:5] AS paths FROM ms GROUP BY 1)
+"""
+ANSWERED = "WITH " + ASKED + ", " + _hops(3) + ", " + SUMMED + """, sy AS (SELECT id, list('**' || upper(kind[1]) || kind[2:] || ' `' || fq_name || '`**: declared in `' || file_path || '` (lines ' || start_line || '-' || end_line || '). Signature: `' || signature || '`.' ORDER BY fq_name) AS lines, list(fq_name ORDER BY fq_name) AS names FROM hit WHERE n <= 20 GROUP BY 1),
+ed AS (SELECT id, list('  - `' || source || '` calls `' || target || '`' ORDER BY hop, source, target) AS lines, list_sort(list_distinct(list_concat(list(source), list(target)))) AS near FROM near GROUP BY 1),
+x AS (SELECT a.id, a.question_type, coalesce(sy.lines, []) AS sl, coalesce(names, []) AS names, coalesce(ed.lines, []) AS el, coalesce(near, []) AS near, coalesce(su.lines, []) AS ml, coalesce(su.n, 0) AS mn FROM ask a LEFT JOIN sy USING (id) LEFT JOIN ed USING (id) LEFT JOIN su USING (id))
+"""
+
+
+def _summaries(spark: SparkSession, sf_dir: str, q: DataFrame) -> DataFrame:
+    """Files as summaries, and modules for questions of architecture."""
+    ref = lambda path: F.array(F.struct(path.alias("file_path"), F.lit("").alias("symbol"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line")))
+    texts = summary_texts(spark, sf_dir).select(F.col("path").alias("key"), F.lit("file").alias("scope_type"), "text", ref(F.col("path")).alias("refs"))
+    m = metrics.modules(starschema.graph(spark, sf_dir)).select(F.col("module").alias("name"), facts.said("module", "module", "symbol_count", "file_count").alias("text"), ref(F.lit("")).alias("refs"))
+    return facts.related_summaries(q, texts, m)
 
 
-@query("WITH " + ASKED + ", " + HOP + """, sy AS (SELECT id, list('**' || upper(kind[1]) || kind[2:] || ' `' || fq_name || '`**: declared in `' || file_path || '` (lines ' || start_line || '-' || end_line || '). Signature: `' || signature || '`.' ORDER BY fq_name) AS lines, list(fq_name ORDER BY fq_name) AS names FROM hit WHERE n <= 20 GROUP BY 1),
-ed AS (SELECT id, list('  - `' || source || '` calls `' || target || '`' ORDER BY source, target) AS lines, list_sort(list_distinct(list_concat(list(source), list(target)))) AS near FROM near WHERE n <= 30 GROUP BY 1),
-x AS (SELECT a.id, coalesce(sy.lines, []) AS sl, coalesce(names, []) AS names, coalesce(ed.lines, []) AS el, coalesce(near, []) AS near FROM ask a LEFT JOIN sy USING (id) LEFT JOIN ed USING (id))
-SELECT id, CASE WHEN len(sl) + len(el) = 0 THEN 'No relevant information found in the indexed codebase for this question. Try rephrasing, or ensure the target snapshot has been fully ingested and analysed.'
-ELSE array_to_string(list_concat(sl, CASE WHEN len(el) > 0 THEN list_concat([chr(10) || '**Call relationships** (' || len(el) || ' edges):'], el[1:10]) ELSE [] END), chr(10)) END AS answer_text,
-(len(sl) + least(len(el), 10))::INT AS evidence, array_to_string(list_sort(list_distinct(list_concat(names, near[1:10])))[1:20], ',') AS related,
-CASE WHEN len(sl) + len(el) = 0 THEN 'low' WHEN 2 * (len(sl) > 0)::INT + 2 * (len(el) > 0)::INT >= 4 THEN 'high' WHEN 2 * (len(sl) > 0)::INT + 2 * (len(el) > 0)::INT >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM x""")
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, g = _asked(spark, sf_dir), starschema.graph(spark, sf_dir)
+    return facts.answers(q, facts.matched_symbols(q, g), facts.call_context(q, g), _summaries(spark, sf_dir, q))
+
+
+@query(ANSWERED + """SELECT id, array_to_string(list_concat(sl, CASE WHEN len(el) > 0 THEN list_concat([chr(10) || '**Call relationships** (' || len(el) || ' edges):'], el[1:10]) ELSE [] END,
+  CASE WHEN mn > 0 THEN list_concat([chr(10) || '**Related summaries** (' || mn || ' found):'], ml) ELSE [] END), chr(10)) AS answer_text, array_to_string(list_sort(list_distinct(list_concat(names, near[1:10])))[1:20], ',') AS related,
+CASE WHEN 2 * (len(sl) > 0)::INT + 2 * (len(el) > 0)::INT + (mn > 0)::INT >= 4 THEN 'high' WHEN 2 * (len(sl) > 0)::INT + 2 * (len(el) > 0)::INT + (mn > 0)::INT >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM x""")
 def question_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic answers from symbols and one hop of calls."""
-    q, g = _asked(spark, sf_dir).withColumn("max_hops", F.lit(1)), starschema.graph(spark, sf_dir)
-    return facts.answers(q, facts.matched_symbols(q, g), facts.call_context(q, g)).withColumn("related", F.array_join("related", ","))
+    """Deterministic answers from symbols, up to three hops of calls, the nearest summaries, and modules."""
+    return _answered(spark, sf_dir).select("id", "answer_text", F.array_join("related", ",").alias("related"), "confidence")
+
+
+@query(ANSWERED + """, shown AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hop, source, target) AS k FROM near)
+SELECT id, file_path, fq_name AS symbol, start_line, end_line, 'Direct symbol match' AS relevance FROM hit WHERE n <= 20
+UNION ALL SELECT id, file_path, '', line, 0, 'Call from ' || source || ' to ' || target FROM shown WHERE k <= 10
+UNION ALL SELECT id, path, '', 0, 0, 'Vector search match' FROM (SELECT id, unnest(paths) AS path FROM su) WHERE path <> ''""")
+def answer_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each answer rests on, a row a piece."""
+    return _answered(spark, sf_dir).select("id", F.explode("evidence").alias("e")).select("id", "e.*")
+
+
+def _checks_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    cases = " ".join(f"WHEN '{k}' THEN [" + ", ".join(f"[{quoted(w)}, {quoted(h)}]" for w, h in items) + "]" for k, items in facts.VERIFICATION.items())
+    return f""", vl AS (SELECT id, list_concat(CASE question_type {cases} ELSE [] END,
+  coalesce((SELECT list(['Review `' || fq_name || '` in `' || file_path || '`', 'Open ' || file_path || ' at line ' || start_line] ORDER BY fq_name) FROM hit h WHERE h.id = ask.id AND n <= 3), []))[1:7] AS c FROM ask)
+SELECT id, place::INT AS place, v[1] AS description, v[2] AS how_to_verify FROM (SELECT id, unnest(generate_series(1, len(c))) AS place, unnest(c) AS v FROM vl)"""
+
+
+@query("WITH " + ASKED + _checks_sql())
+def answer_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left to check of each answer, in order; edges and summaries do not matter to it."""
+    q, g = _asked(spark, sf_dir), starschema.graph(spark, sf_dir)
+    said = facts.answers(q, facts.matched_symbols(q, g), facts.call_context(q.limit(0), g))
+    return said.select("id", F.posexplode("verification").alias("place", "v")).select("id", (F.col("place") + 1).alias("place"), "v.*")
