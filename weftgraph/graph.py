@@ -77,18 +77,20 @@ class CodeGraph:
         return self.edges.filter(self.edges.edge_type.isin(*kinds))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the session's shared checkpoint folder; loops cut their lineage here.
-
-    Where no folder is set, a local session gets a temporary one; a cluster must name one.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share. Where none is set, a local session gets a temporary one; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and re.fullmatch(r"local(\[.*\])?", sc.master) is None:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weft-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once into the session's shared checkpoint folder; loops cut their lineage here."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics, rules, traverse
+from ..operators import metrics, paging, rules, traverse
 from ..operators.blame import by_symbol
 from ..sources import starschema
 from .registry import QUERIES, query
@@ -40,6 +40,13 @@ def pagination_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.orderBy("namespace", "fq_name").offset(100).limit(50).select("fq_name").crossJoin(total).withColumn("has_more", F.lit(150) < F.col("total"))
 
 
+@query("SELECT source, target, edge_type, file_path, count(*) OVER () AS total, true AS has_more FROM edge ORDER BY edge_type, source, target, file_path LIMIT 50 OFFSET 1500")
+def late_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far from the start, read from the ranges of a rank index that hold it."""
+    e = starschema.edges(spark, sf_dir).select("source", "target", "edge_type", "file_path")
+    return paging.rank_index(e, ["edge_type", "source", "target", "file_path"], 16).page(50, 1500)
+
+
 @query("""SELECT 'kind:' || kind AS item, count(*) AS n FROM sym GROUP BY 1 UNION ALL SELECT 'symbols', count(*) FROM sym
 UNION ALL SELECT 'modules', count(DISTINCT namespace) FROM sym UNION ALL SELECT 'edges', count(*) FROM edge""")
 def overview_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

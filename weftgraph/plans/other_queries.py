@@ -345,6 +345,28 @@ def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.latencies(_samples(spark, sf_dir))
 
 
+_AT = lambda q: f"list_sort(list(value))[least(floor(count(*) * {q})::INT + 1, count(*)::INT)]"
+
+
+@query(" UNION ALL ".join(f"SELECT route, {q}::DOUBLE AS q, count(*) AS n, {_AT(q)} AS duration FROM (SELECT event_type AS route, value FROM events UNION ALL SELECT '*', value FROM events) WHERE value IS NOT NULL GROUP BY 1" for q in (0.0, 0.5, 0.99, 1.0)), prelude=False)
+def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least, median, 99th percentile and greatest of each route, and of all events as one group."""
+    s = _samples(spark, sf_dir).select("route", "duration")
+    return usage.exact_quantiles(s.unionByName(s.withColumn("route", F.lit("*"))), [0.0, 0.5, 0.99, 1.0])
+
+
+MASKED = "CASE WHEN len(s) >= 12 AND regexp_full_match(lower(s), '[0-9a-f-]+') THEN '{id}' ELSE s END"
+
+
+@query(f"""SELECT path, count(*) AS requests FROM (SELECT '/' || array_to_string(list_transform(string_split(trim('/repos/' || p || '/snapshots/' || substr(p, 1, 12) || '/files/' || k, '/'), '/'), lambda s: {MASKED}), '/') AS path
+FROM (SELECT md5(event_id::VARCHAR) AS p, event_type || CASE WHEN event_id % 3 = 0 THEN '/' ELSE '' END AS k FROM events)) GROUP BY 1""", prelude=False)
+def request_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by path with ids masked; an event stands for a request of a repository's snapshot."""
+    digest = F.md5(F.col("event_id").cast("string").cast("binary"))
+    path = F.concat(F.lit("/repos/"), digest, F.lit("/snapshots/"), F.substring(digest, 1, 12), F.lit("/files/"), "event_type", F.when(F.col("event_id") % 3 == 0, "/").otherwise(""))
+    return table(spark, sf_dir, "events").select(usage.masked_path(path).alias("path")).groupBy("path").agg(F.count("*").alias("requests"))
+
+
 @query()
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
