@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -70,3 +71,27 @@ def test_stages_keep_columns(spark, sf_dir):
         rows = out.collect()
         assert all(r.text is None or r.n_chars == len(r.text) for r in rows if r.n_chars != 9 and name in ("suffix-array dedup", "secret scans"))
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Etc/UTC", "America/New_York"])
+def test_stages_keep_columns_of_any_type(spark, sf_dir, tmp_path, zone):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 30")
+        odd = docs.selectExpr(
+            "*", "timestamp_seconds(doc_id) AS at", "timestamp_ntz '2024-01-01 00:00:00' AS ntz", "date '2024-02-03' AS day", "array(1, 2) AS whole", "array(timestamp_seconds(5), null) AS times",
+            "named_struct('a b', doc_id, 'c.d', timestamp_seconds(doc_id), 'e`f', array('x')) AS odd", "map('k', named_struct('t', timestamp_seconds(1))) AS m", "map('k', 1) AS `m 2`", "cast(1.5 AS decimal(9,2)) AS dec",
+            "X'00ff' AS raw", "interval '1' day AS span", "cast(null AS double) AS nothing", "true AS `yes.no`", "cast(3 AS tinyint) AS tiny",
+        )
+        odd.write.parquet(str(tmp_path / "odd"))
+        for frame in (odd, spark.read.parquet(str(tmp_path / "odd"))):
+            for name, stage in corpus_pipeline.STAGES[:-1]:
+                out = stage(spark, frame, sf_dir)
+                assert out.dtypes == frame.dtypes, name
+                extra = [f"`{c}`" for c in frame.columns if c not in ("text", "n_chars")]
+                want = {r.doc_id: r for r in frame.select(*extra).collect()}
+                got = out.select(*extra).collect()
+                assert got and all(r == want[r.doc_id] for r in got), name
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

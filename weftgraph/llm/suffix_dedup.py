@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .anchor_dedup import distinct_once, ordered, repeated, returned
 from .blocks import PACKED, SEED_A, SEED_B, SEED_C, U64, bucket_cuts, by_block, chunks_of, eight_bytes, in_blocks, isin_sorted, mix, packed_rows, packed_table, partitions
@@ -309,7 +311,17 @@ def _digest_only(table: pa.Table, back: pa.Table) -> pa.Table:
     return _remove(table, back).drop_columns("kept")
 
 
-def _remove_in_place(names: list[str]):
+def _as(column: pa.ChunkedArray, kind: pa.DataType) -> pa.ChunkedArray | pa.Array:
+    """A column in the form that the declared type has (time zones, and which nested values may be null, can differ)."""
+    if column.type == kind:
+        return column
+    try:
+        return column.cast(kind)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, pa.ArrowTypeError):
+        return pa.array(column.to_pylist(), kind)
+
+
+def _remove_in_place(names: list[str], schema: T.StructType):
     """Whole documents, their texts without what is lost; a null text stays null."""
 
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
@@ -318,19 +330,19 @@ def _remove_in_place(names: list[str]):
         order = sorted(range(len(keys)), key=lambda k: (keys[k], (old[k] or "").encode()))
         table = table.take(pa.array(order, pa.int64()))
         was = table.column("text")
-        text = [None if w is None else t for w, t in zip(was.to_pylist(), done.column("kept").to_pylist())]
-        cols = {f"c{k}": table.column(f"c{k}") for k in range(len(names))}
-        return pa.table([pa.array(text, pa.string()) if n == "text" else cols[f"c{k}"] for k, n in enumerate(names)], names=[f"c{k}" for k in range(len(names))])
+        text = pa.chunked_array([pa.array([None if w is None else t for w, t in zip(was.to_pylist(), done.column("kept").to_pylist())], pa.string())])
+        cols = [text if n == "text" else table.column(f"c{k}") for k, n in enumerate(names)]
+        return pa.table([_as(c, to_arrow_type(f.dataType)) for c, f in zip(cols, schema.fields)], names=schema.names)
 
     return run
 
 
 def documents(docs: DataFrame, blocks: int | None = None) -> DataFrame:
-    """docs with their own columns, lost bytes removed from `text`; `n_chars` follows if there is one."""
+    """docs with their own columns, of any type, lost bytes removed from `text`; `n_chars` follows if there is one."""
     names = docs.columns
     carried = [F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names)]
-    kinds = ", ".join(f"c{k} {docs.schema[n].dataType.simpleString()}" for k, n in enumerate(names))
-    out = _shared(docs, carried, blocks, _remove_in_place(names), kinds)
+    kinds = T.StructType([T.StructField(f"c{k}", docs.schema[n].dataType) for k, n in enumerate(names)])
+    out = _shared(docs, carried, blocks, _remove_in_place(names, kinds), kinds)
     back = out.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)])
     if "n_chars" in names:
         back = back.withColumn("n_chars", F.when(F.col("text").isNull() | F.col("n_chars").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
@@ -343,7 +355,7 @@ def deduplicated(docs: DataFrame, texts: bool = True, blocks: int | None = None)
     return _shared(docs, [], blocks, _remove if texts else _digest_only, schema + (", kept string" if texts else ""))
 
 
-def _shared(docs: DataFrame, carried: list, blocks: int | None, remove, schema: str) -> DataFrame:
+def _shared(docs: DataFrame, carried: list, blocks: int | None, remove, schema: str | T.StructType) -> DataFrame:
     buckets = partitions(docs.sparkSession)
     rows = in_blocks(docs, [F.col("text").cast("string").alias("text"), *carried], blocks or 4 * buckets).withColumn("doc_id", F.col("doc_id").cast("long"))
     twice = rows.groupBy("block").applyInArrow(_find_keys(buckets), PACKED).groupBy("bucket").applyInArrow(repeated, PACKED)
