@@ -1,6 +1,9 @@
 """Per-document operators against plain loops over whole texts, with the awkward cases."""
 
+import functools
 import hashlib
+import math
+import random
 import re
 from collections import Counter
 
@@ -165,6 +168,78 @@ def test_guesses_of_labelled_cases(spark):
     assert {got[k + len(clean)] for k in range(len(planted))} == {"the password is [SECRET] here"}
 
 
+SENTENCES = [
+    "The token is case-insensitive and must be sent.", "Your password is auto-generated by the server", "login: john.doe@example.com or ask", "The secret is well-known to everyone.", "auth: authentication-required for guests",
+    "The credentials: read-only, two-factor and base64-encoded", "login: https://example.com/login/reset or /usr/local/etc/settings", "The passcode is unauthenticated; api key is personal-use-only", "Token is required,optional or absent.",
+    "Das Token is erforderlich", "login: Benutzername vergessen", "Auth: unbekannt, token: zwischengespeichert", "Le token : obligatoire. login: n\u00e9cessaire", "auth: personnalis\u00e9 et r\u00e9initialis\u00e9", "El token: desconocido; login: obligatorio", "auth: caducado, credentials: administrador",
+]
+
+
+def test_clean_sentences_stay(spark):
+    rows = spark.createDataFrame(list(enumerate(SENTENCES)), "doc_id long, text string")
+    # the contract's assign pattern is not a judgement: eight letters after `token:` match it
+    kept = [t for t in SENTENCES if not secret_scan.ASSIGN.search(t)]
+    got = {r.text for r in secret_scan.redact(rows).collect()}
+    assert set(kept) <= got and len(kept) >= 12
+
+
+def test_parts_of_paths_are_judged():
+    assert secret_scan.judged("https://example.com/reset?t=kQ8xZ2vJw94tLp", 8.0)[1] and not secret_scan.judged("/etc/app/settings.json", 8.0)[1]
+
+
+def exhaustive(value):
+    """The least cost over all segmentations of a short value, each segment by its own rule."""
+    rank_of, longest = secret_scan.ranks()
+    next_letter, low = secret_scan.letters(), value.lower()
+    rest = "".join(c for c in value if c not in secret_scan.SEPARATORS) or value
+    char = math.log10(max(1, sum(n for kind, n in secret_scan.ALPHABETS if kind.search(rest))))
+
+    def segment(start, end):
+        part, small = value[start:end], low[start:end]
+        kinds = [char * len(part)]
+        bent = small.translate(secret_scan.LEET)
+        if bent in rank_of and len(part) <= longest:
+            kinds.append(math.log10(rank_of[bent] * (1 + 2 * ((part != small) + (small != bent)))))
+        for m in [secret_scan.DATE.match(value, start)]:
+            if m and end in (m.end(), min(m.end(), start + 4)):
+                kinds.append(math.log10(365 * 120 if len(part) > 4 else 120))
+        if len(part) >= 3 and len(set(small)) == 1 and (not start or low[start - 1] != small[0]):
+            kinds.append(math.log10(40 * len(part)))
+        if len(part) >= 3 and all(p in secret_scan._NEXT for p in zip(small, small[1:])) and (not start or (low[start - 1], small[0]) not in secret_scan._NEXT):
+            kinds.append(math.log10(50 * len(part)))
+        if all(c in secret_scan.LETTERS for c in small):
+            total = 0.0
+            for k in range(start, end):
+                two = ("^^" + low[:k])[-2:]
+                two = "".join(c if c in secret_scan.LETTERS else "^" for c in two)
+                two = two if two[1] != "^" else "^^"
+                total += next_letter[two + low[k]] + (secret_scan.CAPITAL if low[k] != value[k] else 0)
+            kinds.append(total)
+        return min(kinds)
+
+    def sign(start, end):
+        return end - start <= 3 and value[start] in secret_scan.SEPARATORS and len(set(value[start:end])) == 1
+
+    @functools.cache
+    def best(end):
+        if not end:
+            return 0.0
+        options = [best(s) + segment(s, end) + (secret_scan.SEGMENT if s else 0) for s in range(end)]
+        options += [best(s) + secret_scan.SEPARATOR for s in range(end) if sign(s, end)]
+        options += [best(end - u) + math.log10(2) for u in range(2, min(16, end // 2) + 1) if low[end - u : end] == low[end - 2 * u : end - u]]
+        return min(options)
+
+    return best(len(value))
+
+
+def test_guess_cost_is_the_least_over_all_segmentations():
+    draw = random.Random(4)
+    values = ["pass1999", "aaa-bbb", "qwe123", "abcabc", "a--b..", "Sun2day", "12-2001", "x", "", "--", "P@ssw0rd", "1q2w3e", "zzzz9999", "no_way"]
+    values += ["".join(draw.choice(al) for _ in range(draw.randint(1, 8))) for al in ("abcd", "ab1-", "Qwerty12", "password", "0123456789", "aA!-_.9z") for _ in range(40)]
+    for v in values:
+        assert abs(secret_scan.guess_cost(v) - exhaustive(v)) < 1e-9, v
+
+
 def test_codec_is_the_library(spark, docs):
     import sentencepiece
 

@@ -2,13 +2,18 @@
 
 The value that follows a credential word is cut into the segmentation that an attacker would
 guess soonest: words of a list (COMMON_WORDS, then the words of two public vocabularies), dates,
-repeats, keyboard walks and brute-force spans over the value's alphabets, by dynamic programming
-over log10 guesses. A value that still costs `min_cost` decades is a
+repeats, keyboard walks, separators, pronounceable letters and brute-force spans over the value's
+alphabets, by dynamic programming over log10 guesses. A value that still costs `min_cost` decades is a
 secret; a placeholder such as "password123" is not.
 
+What people write is told from what is drawn at random: words of one case, joined or not (`case-insensitive`),
+are a secret only if they cost PROSE decades a letter, more than the letters of any language cost that are guessed one after the other;
+an e-mail address is none; of a path or an address of the web each part is judged by itself.
+
 Defined cases: a null text is empty and has no spans; spans are code points, end exclusive;
-ties in cost keep the earlier segmentation and do not change the verdict; repeated rows are
-scanned each by itself; extra columns are not read.
+ties in cost keep the earlier segmentation and do not change the verdict; texts of any length are scanned whole, a
+value in time linear in its length; repeated rows are scanned each by itself; an empty table gives an empty
+result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ import hashlib
 import json
 import math
 import re
+import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,11 +57,21 @@ LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
 #: Alphabets of brute-force characters; a value is guessed over those that it holds. Others count as a hundred.
 ALPHABETS = ((re.compile(r"[0-9]"), 10), (re.compile(r"[a-z]"), 26), (re.compile(r"[A-Z]"), 26), (re.compile(r"[!-/:-@\[-`{-~]"), 33), (re.compile(r"[^!-~]"), 100))
-#: log10 guesses of one more segment.
-SEGMENT = 1.0
+#: log10 guesses of one more segment, of a run of equal separators, and of a capital among pronounceable letters.
+SEGMENT, SEPARATOR, CAPITAL = 1.0, 0.5, 1.0
+SEPARATORS = "-_./:,;+&'"
+#: Least decades a letter of a secret that looks like words.
+PROSE = 1.2
+#: Letters of one case (or capitalised), up to three digits after them, in one part or several joined by single signs; addresses; paths and addresses of the web.
+WORDS = re.compile(r"(?:[^\W\d_][^\W\d_A-Z]*|[A-Z]+)\d{0,3}(?:[-_./'\u2019&+:,;](?:(?:[^\W\d_][^\W\d_A-Z]*|[A-Z]+)\d{0,3}|\d{1,3}))*")
+MAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
+PATH = re.compile(r"(?:[a-z][a-z0-9+.-]*://|~?\.{0,2}/|[a-z]:[\\/])\S*", re.I)
+PARTS = re.compile(r"[/\\?&=#:@]+")
 #: The word list after COMMON_WORDS: pieces of LEAST_WORD ASCII letters or more of these files, those that stand alone as words before parts of words.
 WORD_FILES, LEAST_WORD = ("piece_bpe_32k.model", "word_bpe_49k.json"), 3
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_NO_SEPARATORS = dict.fromkeys(map(ord, SEPARATORS))
 _NEXT = {(a, b) for row in ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:])}
 
 
@@ -74,12 +91,33 @@ def ranks() -> tuple[dict[str, int], int]:
     return cache["secret words"]
 
 
+def letters() -> dict[str, float]:
+    """log10 guesses of a letter after the two before it (`^` where there are fewer): half by these two, half by the last, in the words of the list; learnt once by a worker."""
+    cache = worker_cache()
+    if "secret letters" not in cache:
+        seen: Counter = Counter()
+        for word in ranks()[0]:
+            text = f"^^{word}"
+            for k in range(2, len(text)):
+                seen.update((text[k - 2 : k + 1], text[k - 2 : k] + "*", text[k - 1 : k + 1], text[k - 1] + "*"))
+        share = lambda c, n: (c + 0.5) / (n + 13)
+        pairs = {a + b for a in "^" + LETTERS for b in "^" + LETTERS}
+        cache["secret letters"] = {p + c: -math.log10((share(seen[p + c], seen[p + "*"]) + share(seen[p[1] + c], seen[p[1] + "*"])) / 2) for p in pairs for c in LETTERS}
+    return cache["secret letters"]
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses of the cheapest segmentation. Linear in the value's length."""
     n = len(value)
     rank_of, longest = ranks()
-    char = math.log10(max(1, sum(size for kind, size in ALPHABETS if kind.search(value))))
+    next_letter = letters()
+    # separators are segments of their own, so they do not widen the alphabet of the rest
+    rest = value.translate(_NO_SEPARATORS) or value
+    char = math.log10(max(1, sum(size for kind, size in ALPHABETS if kind.search(rest))))
     low = value.lower()
+    # letters without their accents, one for one
+    bare = "".join(c if c in LETTERS else unicodedata.normalize("NFD", c)[0] for c in low) if not low.isascii() else low
+    bare = bare if len(bare) == n else low
     plain = low.translate(LEET)
     dates = {}
     for at in range(n):
@@ -88,12 +126,22 @@ def guess_cost(value: str) -> float:
                 dates.setdefault(end, []).append(at)
     best = [0.0] + [math.inf] * n  # cheapest cost of the first k characters
     brute = [math.inf] * (n + 1)  # the same, ending in a brute-force span
+    spoken = [math.inf] * (n + 1)  # the same, ending in pronounceable letters
     run = walk = 0  # where the repeat and the keyboard walk that end here began
     for end in range(1, n + 1):
         last = end - 1
         extra = lambda start: SEGMENT if start else 0.0
         brute[end] = min(best[last] + extra(last), brute[last]) + char
         cost = brute[end]
+        if bare[last] in LETTERS:
+            before = "".join(c if c in LETTERS else "^" for c in ("^^" + bare[max(0, last - 2) : last])[-2:])
+            spoken[end] = min(best[last] + extra(last), spoken[last]) + next_letter[("^" if before[1] == "^" else before[0]) + before[1] + bare[last]] + (CAPITAL if low[last] != value[last] else 0.0)
+            cost = min(cost, spoken[end])
+        if value[last] in SEPARATORS:
+            start = last
+            while start and end - start < 3 and value[start - 1] == value[last]:
+                start -= 1
+            cost = min(cost, *(best[k] + SEPARATOR for k in range(start, end)))
         for start in range(max(0, end - longest), end):
             word = plain[start:end]
             if (rank := rank_of.get(word)) and best[start] < cost:
@@ -116,6 +164,18 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def judged(value: str, min_cost: float) -> tuple[float, bool]:
+    """A value's guess cost, and whether it is a secret."""
+    if MAIL.fullmatch(value):
+        return 0.0, False
+    if PATH.fullmatch(value):
+        parts = [judged(p, min_cost) for p in PARTS.split(value) if p]
+        return max((c for c, _ in parts), default=0.0), any(hit for _, hit in parts)
+    cost = guess_cost(value)
+    least = PROSE * sum(map(str.isalpha, value)) + sum(map(str.isdigit, value)) if WORDS.fullmatch(value) else 0.0
+    return cost, len(value) >= 6 and cost >= max(min_cost, least)
+
+
 def base_spans(text: str, hinted: bool) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns."""
     out = []
@@ -136,9 +196,9 @@ def spans_of(text: str, min_cost: float) -> tuple[list[tuple[int, int, int]], li
     if hinted:
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:!?)]}>")
-            cost = guess_cost(value)
+            cost, secret = judged(value, min_cost)
             most = max(most, cost)
-            if len(value) >= 6 and cost >= min_cost:
+            if secret:
                 added.append((m.start(1), 3, m.start(1) + len(value)))
     return base, sorted(base + added), most
 
