@@ -1,13 +1,15 @@
 """Traversals as loops of joins: each round joins only the new frontier, and stops when it is empty.
 
-Rounds are bounded by the hops asked for, or end by themselves; the visited set is
-checkpointed each round, so plans stay small and a lost executor costs one round at most.
-Graphs of a checked, small number of edges are walked in one task instead, with the same result.
+Rounds are bounded by the hops asked for, or end by themselves. A round's nodes are checkpointed and
+never written again; what is visited is the union of the rounds. Long chains do not cost a round a step: where a walk
+goes on, nodes with one way in are contracted to the node above their chain by pointer doubling, and
+the walk continues over what is left. Depths are doubled likewise. No graph is walked in one task.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,55 +22,81 @@ CONTROLLER_BASES = ("Controller", "ControllerBase", "ApiController", "ODataContr
 WORKER_BASES = ("BackgroundService", "IHostedService")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def hops(links: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """(node, distance): nodes within `most` steps of seeds (node) over links (a, b). Least distance."""
     links = checkpointed(links.select("a", "b").distinct())
-    seen = checkpointed(seeds.select("node").distinct().withColumn("distance", F.lit(0)))
+    rounds = [checkpointed(seeds.select("node").distinct().withColumn("distance", F.lit(0)))]
     for step in range(1, most + 1):
-        frontier = seen.filter(F.col("distance") == step - 1).select(F.col("node").alias("a"))
-        new = links.join(frontier, "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = checkpointed(seen.unionByName(new.withColumn("distance", F.lit(step))))
-        if seen.filter(F.col("distance") == step).isEmpty():
+        new = links.join(rounds[-1].select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct().join(_union(rounds), "node", "left_anti")
+        rounds.append(checkpointed(new.withColumn("distance", F.lit(step))))
+        if rounds[-1].isEmpty():
             break
-    return seen
+    return _union(rounds)
+
+
+#: Rounds of a walk before the rest of the graph is contracted.
+STEPS = 12
+
 
+def climbed(up: DataFrame) -> DataFrame:
+    """(node, end, steps, final) of links (node, up), one a node: where each chain ends, and after how many steps; not final if it never does.
 
-#: Graphs of so few edges (some 100 MB of names) are walked in one task; larger ones in rounds of joins.
-IN_TASK = 1 << 20
+    Pointer doubling: a round squares the steps known, so rounds are the logarithm of the longest chain. After as many as could
+    end any chain, what is not final leads into a cycle, and its end is on it. Hot ends are split by the join.
+    """
+    up = checkpointed(up.select("node", F.col("up").alias("end")))
+    nodes = up.select(F.col("node").alias("end")).withColumn("goes_on", F.lit(True))
+    state = checkpointed(up.join(nodes, "end", "left").select("node", "end", F.lit(1).cast("long").alias("steps"), F.col("goes_on").isNull().alias("final")))
+    for _ in range(state.count().bit_length() + 1):
+        going = state.filter("NOT final")
+        if going.isEmpty():
+            break
+        step = state.select(F.col("node").alias("end"), F.col("end").alias("far"), F.col("steps").alias("more"), F.col("final").alias("last"))
+        moved = going.join(step, "end").select("node", F.col("far").alias("end"), (F.col("steps") + F.col("more")).alias("steps"), F.col("last").alias("final"))
+        state = checkpointed(state.filter("final").unionByName(moved))
+    return state
 
 
-def _walk(table: pa.Table) -> pa.Table:
-    """What rows (a, b) lead to from the nodes b of rows without an a, these included."""
-    after: dict[str, list[str]] = {}
-    seen: dict[str, None] = {}
-    for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
-        if a is None:
-            seen[b] = None
-        else:
-            after.setdefault(a, []).append(b)
-    frontier = list(seen)
-    while frontier:
-        frontier = [b for b in dict.fromkeys(b for a in frontier for b in after.get(a, ())) if b not in seen]
-        seen.update(dict.fromkeys(frontier))
-    return pa.table({"node": pa.array(list(seen), pa.string())})
+def circles(up: DataFrame) -> DataFrame:
+    """(node, least, size): the cycles that nodes (node, up), one a node, form; all nodes given are on one."""
+    state = checkpointed(up.select("node", F.col("up").alias("end"), F.least("node", "up").alias("least")))
+    for _ in range(state.count().bit_length()):
+        step = state.select(F.col("node").alias("end"), F.col("end").alias("far"), F.col("least").alias("other"))
+        state = checkpointed(state.join(step, "end").select("node", F.col("far").alias("end"), F.least("least", "other").alias("least")))
+    return state.join(state.groupBy("least").agg(F.count("*").alias("size")), "least").select("node", "least", "size")
 
 
 def reachable(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node): everything reachable from seeds over links (a, b), seeds included. Rounds as long as the longest shortest path."""
-    links = checkpointed(links.select("a", "b").filter("a is not null and b is not null").distinct())
-    seeds = seeds.select("node").filter("node is not null").distinct()
-    if links.count() <= IN_TASK:
-        # seeds that lead nowhere stay outside the task, so that it holds no more than the edges' ends
-        sources = seeds.join(links.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-        rows = links.unionByName(sources.select(F.lit(None).cast("string").alias("a"), F.col("node").alias("b")))
-        found = rows.groupBy(F.length("b") * 0).applyInArrow(_walk, "node string")
-        return seeds.unionByName(found).distinct()
-    seen = frontier = checkpointed(seeds)
-    while not frontier.isEmpty():
-        new = links.join(frontier.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        frontier = checkpointed(new)
-        seen = checkpointed(seen.unionByName(frontier))
-    return seen
+    """(node): everything reachable from seeds over links (a, b), seeds included.
+
+    Every STEPS rounds the part not yet seen is contracted: a node with one way in is reached with the node above
+    its chain, so only nodes with several ways in are walked on.
+    """
+    links = checkpointed(links.select("a", "b").filter("a is not null and b is not null and a <> b").distinct())
+    rounds = [checkpointed(seeds.select("node").filter("node is not null").distinct())]
+    while not rounds[-1].isEmpty():
+        if len(rounds) > STEPS:
+            return _contracted(links, checkpointed(_union(rounds)), rounds[-1])
+        new = links.join(rounds[-1].select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
+        rounds.append(checkpointed(new.join(_union(rounds), "node", "left_anti")))
+    return _union(rounds)
+
+
+def _contracted(links: DataFrame, seen: DataFrame, frontier: DataFrame) -> DataFrame:
+    """What is seen, and all that its frontier leads to, by way of a graph without chains."""
+    rest = checkpointed(links.join(seen.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"))
+    one = rest.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"), F.min("a").alias("up")).filter("n = 1")
+    # chains that end nowhere are cycles without a way in
+    heads = checkpointed(climbed(one.select("node", "up")).filter("final").select("node", F.col("end").alias("head")))
+    several = rest.join(one.select(F.col("node").alias("b")), "b", "left_anti")
+    lifted = several.join(heads.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("head", "a").alias("a"), "b")
+    reached_heads = checkpointed(reachable(lifted, frontier))
+    below = heads.join(reached_heads.select(F.col("node").alias("head")), "head", "left_semi").select("node")
+    return _union([seen, reached_heads, below]).distinct()
 
 
 def call_links(g: CodeGraph, direction: str = "out") -> DataFrame:
@@ -158,42 +186,24 @@ def dead_imports(g: CodeGraph, r: DataFrame) -> DataFrame:
     return g.of_type("imports").select("source", "target", "file_path").distinct().join(r.filter("not is_reached").select(F.col("fq_name").alias("target")), "target", "left_semi")
 
 
-def _climb(table: pa.Table) -> pa.Table:
-    """Steps up from every name, as inheritance_depth counts them."""
-    up = dict(zip(table.column("fq_name").to_pylist(), table.column("base").to_pylist()))
-    depths = []
-    for start in up:
-        seen, at = {start}, up[start]
-        while at is not None and at not in seen:
-            seen.add(at)
-            at = up.get(at)
-        depths.append(len(seen) - (at is None))
-    return pa.table({"fq_name": pa.array(list(up), pa.string()), "depth": pa.array(depths, pa.int32())})
-
-
 def inheritance_depth(g: CodeGraph) -> DataFrame:
     """(fq_name, depth) of names with a base: steps up until there is no base, or one repeats.
 
-    Of several bases the last by name counts. Pointer doubling: each round squares the steps
-    known, so the rounds are the logarithm of the deepest chain. A chain that enters a cycle is
-    as deep as the distinct names on it.
+    Of several bases the last by name counts. A chain that enters a cycle is as deep as the distinct names on it: its
+    steps to the cycle, and the cycle's size. All by doubling.
     """
-    up = checkpointed(g.of_type("inherits").groupBy(F.col("source").alias("fq_name")).agg(F.max("target").alias("base")))
-    if up.count() <= IN_TASK:
-        return up.groupBy(F.length("base") * 0).applyInArrow(_climb, "fq_name string, depth int")
-    chain = up.select("fq_name", F.array("base").alias("path"), F.col("base").alias("end"))
-    while True:
-        step = chain.select(F.col("fq_name").alias("end"), F.col("path").alias("more"), F.col("end").alias("next"))
-        joined = chain.join(step, "end", "left").select("fq_name", F.col("path").alias("old"), F.array_distinct(F.concat("path", F.coalesce("more", F.array().cast("array<string>")))).alias("path"), F.coalesce("next", "end").alias("end"))
-        joined = checkpointed(joined)
-        grew = joined.filter(F.size("path") > F.size("old")).isEmpty()
-        chain = joined.select("fq_name", "path", "end")
-        if grew:
-            break
-    # the start itself ends a cycle through it; every distinct name but a base-less end is one step
-    return chain.select("fq_name", F.size(F.array_distinct(F.concat(F.array("fq_name"), "path"))).alias("names"), F.array_contains("path", F.col("fq_name")).alias("cyclic"), "end").join(
-        up.select(F.col("fq_name").alias("end"), F.lit(True).alias("goes_on")), "end", "left"
-    ).select("fq_name", (F.col("names") - F.when(F.coalesce("goes_on", F.lit(False)) | F.col("cyclic"), 0).otherwise(1)).alias("depth"))
+    up = checkpointed(g.of_type("inherits").filter("source IS NOT NULL AND target IS NOT NULL").groupBy(F.col("source").alias("node")).agg(F.max("target").alias("up")))
+    state = climbed(up)
+    ends = state.filter("final").select("node", "steps")
+    endless = state.filter("NOT final")
+    if not endless.isEmpty():
+        # so many steps on, every chain is on its cycle, and every node of a cycle is some chain's end
+        on = checkpointed(endless.select(F.col("end").alias("node")).distinct())
+        ring = checkpointed(circles(up.join(on, "node", "left_semi")))
+        tails = climbed(up.join(endless.select("node"), "node", "left_semi").join(on, "node", "left_anti"))
+        entered = tails.join(ring.select(F.col("node").alias("end"), "size"), "end").select("node", (F.col("steps") + F.col("size")).alias("steps"))
+        ends = _union([ends, entered, ring.select("node", F.col("size").alias("steps"))])
+    return ends.select(F.col("node").alias("fq_name"), F.col("steps").cast("int").alias("depth"))
 
 
 def _spread(links: DataFrame, labels: DataFrame, inside: bool) -> DataFrame:
@@ -207,72 +217,79 @@ def _spread(links: DataFrame, labels: DataFrame, inside: bool) -> DataFrame:
             return labels
 
 
-def _strong(table: pa.Table) -> pa.Table:
-    """Strongly connected components of more than one node, by depth-first search; named by the least node."""
-    after: dict[str, list[str]] = {}
-    for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
-        after.setdefault(a, []).append(b)
-    index: dict[str, int] = {}
-    low: dict[str, int] = {}
-    open_: dict[str, None] = {}
-    out: list[tuple[str, str]] = []
-    for start in sorted(after):
-        path = [] if start in index else [(start, iter(after[start]))]
-        if path:
-            index[start] = low[start] = len(index)
-            open_[start] = None
-        while path:
-            node, rest = path[-1]
-            for nxt in rest:
-                if nxt not in index:
-                    index[nxt] = low[nxt] = len(index)
-                    open_[nxt] = None
-                    path.append((nxt, iter(after.get(nxt, ()))))
-                    break
-                if nxt in open_:
-                    low[node] = min(low[node], index[nxt])
-            else:
-                path.pop()
-                if path:
-                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
-                if low[node] == index[node]:
-                    members = []
-                    while True:
-                        member, _ = open_.popitem()
-                        members.append(member)
-                        if member == node:
-                            break
-                    if len(members) > 1:
-                        out += [(min(members), m) for m in members]
-    return pa.table({"component": pa.array([c for c, _ in out], pa.string()), "node": pa.array([m for _, m in out], pa.string())})
+#: Rounds of trimming before chains are contracted.
+TRIMS = 3
+
+
+def _trimmed(links: DataFrame) -> DataFrame:
+    """links without those that no cycle can hold: from nodes without a way in, or to nodes without a way out. At most TRIMS rounds."""
+    n = links.count()
+    for _ in range(TRIMS):
+        ins, outs = links.select(F.col("b").alias("a")).distinct(), links.select(F.col("a").alias("b")).distinct()
+        links = checkpointed(links.join(ins, "a", "left_semi").join(outs, "b", "left_semi").select("a", "b"))
+        before, n = n, links.count()
+        if n == before:
+            break
+    return links
+
+
+def _coloured(links: DataFrame) -> DataFrame:
+    """(component, node) of one round of forward-backward colouring.
+
+    A node's colour is the least node that leads to it; what leads back to the colour's node within
+    the colour is its component, perhaps of one node.
+    """
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    colour = _spread(links, checkpointed(nodes.withColumn("label", F.col("node"))), False)
+    for end in ("a", "b"):
+        links = links.join(colour.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end)
+    back = checkpointed(links.filter("of_a = of_b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    own = checkpointed(colour.select("node", F.when(F.col("node") == F.col("label"), F.col("node")).alias("label")))
+    return checkpointed(_spread(back, own, True).filter("label is not null").select(F.col("label").alias("component"), "node"))
 
 
 def cycles(pairs: DataFrame) -> DataFrame:
     """(component, size, members): strongly connected components of more than one node, named by the smallest member.
 
-    Forward-backward colouring: a node's colour is the least node that leads to it; what leads
-    back to the colour's node within the colour is its component. Found components and edges
-    between colours go, and the rest is coloured again until few edges are left; those are
-    searched depth first in one task.
+    Links that no cycle can hold are trimmed; nodes with one way in and one way out are contracted, chain by chain and by
+    pointer doubling, to a link from the node before them to the one after: they are in a component exactly if both its ends
+    are in the same. What cannot be contracted is coloured, and found components go. Then chains are put back, last ones first.
     """
     links = checkpointed(pairs.select("a", "b").filter("a <> b").distinct())
-    found = None
-    while links.count() > IN_TASK:
-        nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-        colour = _spread(links, checkpointed(nodes.withColumn("label", F.col("node"))), False)
-        for end in ("a", "b"):
-            links = links.join(colour.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end)
-        links = checkpointed(links.filter("of_a = of_b").select("a", "b"))
-        back = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        component = _spread(back, checkpointed(colour.select("node", F.when(F.col("node") == F.col("label"), F.col("node")).alias("label"))), True).filter("label is not null")
-        component = checkpointed(component.select(F.col("label").alias("component"), "node"))
-        found = component if found is None else found.unionByName(component)
+    found, chains = [], []
+    while True:
+        links = _trimmed(links)
+        if links.isEmpty():
+            break
+        down = links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"), F.min("b").alias("down")).filter("n = 1")
+        up = links.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("m"), F.min("a").alias("up")).filter("m = 1")
+        through = checkpointed(down.join(up, "node").select("node", "up", "down"))
+        if through.isEmpty():
+            component = _coloured(links)
+            found.append(component)
+            for end in ("a", "b"):
+                links = links.join(component.select(F.col("node").alias(end)), end, "left_anti")
+            links = checkpointed(links.select("a", "b"))
+            continue
+        first = climbed(through.select("node", "up"))
+        alone = checkpointed(through.join(first.filter("NOT final").select("node"), "node", "left_semi"))
+        found.append(checkpointed(circles(alone.select("node", "up")).select(F.col("least").alias("component"), "node")))
+        last = climbed(through.join(alone.select("node"), "node", "left_anti").select("node", F.col("down").alias("up")))
+        chain = checkpointed(first.filter("final").select("node", F.col("end").alias("first")).join(last.select("node", F.col("end").alias("last")), "node"))
+        chains.append(chain)
         for end in ("a", "b"):
-            links = links.join(component.select(F.col("node").alias(end)), end, "left_anti")
-        links = checkpointed(links)
-    last = links.groupBy(F.length("a") * 0).applyInArrow(_strong, "component string, node string")
-    rows = last if found is None else last.unionByName(found)
-    return rows.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members")).filter("size > 1")
+            links = links.join(through.select(F.col("node").alias(end)), end, "left_anti")
+        links = checkpointed(links.select("a", "b").unionByName(chain.select(F.col("first").alias("a"), F.col("last").alias("b")).filter("a <> b")).distinct())
+    known = checkpointed(_union(found)) if found else links.select(F.col("a").alias("component"), F.col("b").alias("node"))
+    for chain in reversed(chains):
+        of = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))  # noqa: B023, E731
+        ends = chain.join(of("first"), "first", "left").join(of("last"), "last", "left")
+        # a chain back to its own start is a cycle, whether or not its start is on another
+        held = ends.filter("first = last OR of_first = of_last").select(F.coalesce("of_first", "first").alias("component"), "node", "first")
+        starts = held.select("component", F.col("first").alias("node"))
+        known = checkpointed(_union([known, held.select("component", "node"), starts]).distinct())
+    rows = known.groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members")).filter("size > 1")
+    return rows.select(F.element_at("members", 1).alias("component"), "size", F.array_join("members", ",").alias("members"))
 
 
 def dead_code_summary(r: DataFrame) -> DataFrame:
