@@ -6,15 +6,27 @@ into one row. `markdown` writes them; `references` gives each document's citatio
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import CodeGraph
+from ..graph import CodeGraph, checkpointed
 from .metrics import fan, has_any, loc, module_of, modules
 
 #: Sections of a module's and of the code base's documents, words of settings, types, and documents expected.
 MODULE_SECTIONS = ("Overview", "Files", "Classes & Interfaces", "Public API", "Internal Details", "Dependencies")
 README_SECTIONS = ("Overview", "Tech Stack", "Modules", "Entry Points", "Metrics", "Configuration", "Known Risks & Hotspots", "Dependencies")
+FLOW_SECTIONS = ("Overview", "Execution Steps", "Entry Points / Callers", "Side Effects")
+#: Of the code base's document, what the others take, under which heading.
+TAKEN = {
+    "architecture": {"Overview": "Architecture Overview", "Modules": "Module Map", "Dependencies": "Module Dependencies", "Entry Points": "Entry Points", "Metrics": "Code Metrics", "Known Risks & Hotspots": "Hotspots"},
+    "runbook": {"Overview": "Overview", "Entry Points": "Entry Points", "Configuration": "Configuration", "Known Risks & Hotspots": "Known Risks & Hotspots"},
+}
+#: Sentences of documents, {} filled in order; words of names that write; steps of a flow.
+SENTENCES = {"flow": "Call flow starting from `{}`.", "effect": "- `{}` may perform I/O or mutations.", "overview": "Codebase contains {} symbols ({}), {} relationships, and {} modules.", "module": "Module `{}` contains {} symbols across {} files."}
+EFFECTS = ("write", "save", "delete", "send", "post", "log", "emit")
+STEPS = 30
 SETTINGS = ("config", "setting", "option", "startup")
 TYPE_KINDS = ("class", "interface", "struct", "enum", "record", "delegate")
 EXPECTED = ("readme", "architecture", "runbook")
@@ -56,6 +68,64 @@ def _code(c: str | Column) -> Column:
     return F.concat(F.lit("`"), c, F.lit("`"))
 
 
+def filled(name: str, *values: str | Column) -> Column:
+    """One of SENTENCES with its gaps filled."""
+    parts = SENTENCES[name].split("{}")
+    out = [F.lit(parts[0])]
+    for value, text in zip(values, parts[1:], strict=True):
+        out += [(F.col(value) if isinstance(value, str) else value).cast("string"), F.lit(text)]
+    return F.concat(*out)
+
+
+def flow_steps(g: CodeGraph, entries: DataFrame, steps: int = STEPS, most: int = 10) -> DataFrame:
+    """entries (fq_name): (entry, node, depth), what each calls, directly or not, nearest first and then by name; at most `steps` rows an entry.
+
+    All entries are walked at once. An entry that has its steps takes no part in further rounds, so what a
+    round holds is bounded by the entries, however often a hub is called.
+    """
+    calls = checkpointed(g.of_type("calls").select(F.col("source").alias("node"), F.col("target").alias("to")).distinct())
+    rounds = [checkpointed(entries.select(F.col("fq_name").alias("entry"), F.col("fq_name").alias("node"), F.lit(0).alias("depth")).distinct())]
+    for depth in range(1, most + 1):
+        so_far = reduce(DataFrame.unionByName, rounds)
+        room = so_far.groupBy("entry").agg((F.lit(steps) - F.count("*")).alias("room")).filter("room > 0")
+        new = rounds[-1].join(calls, "node").select("entry", F.col("to").alias("node")).distinct().join(so_far, ["entry", "node"], "left_anti").join(room, "entry")
+        rank = F.row_number().over(Window.partitionBy("entry").orderBy("node"))
+        rounds.append(checkpointed(new.withColumn("rank", rank).filter("rank <= room").select("entry", "node", F.lit(depth).alias("depth"))))
+        if rounds[-1].isEmpty():
+            break
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def flow_documents(g: CodeGraph, entries: DataFrame, steps: int = STEPS, most: int = 10) -> DataFrame:
+    """(doc_type, scope, section, heading, key, line): a document of the calls from every entry (fq_name). A section without lines is left out."""
+    walked = checkpointed(flow_steps(g, entries, steps, most))
+    scope = F.col("entry")
+    line = lambda heading, key, text: _line("flow", scope, FLOW_SECTIONS, heading, key, text)
+    s = g.symbols.select(F.col("fq_name").alias("node"), "kind", "file_path")
+    key = F.concat(F.lpad(F.col("depth").cast("string"), 4, "0"), F.lit(" "), "node")
+    step = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), _code("node"), F.lit(" ("), F.coalesce("kind", F.lit("?")), F.lit(") ["), F.coalesce("file_path", F.lit("")), F.lit("]"))
+    first = walked.filter("depth = 0").select("entry")
+    callers = g.of_type("calls").select(F.col("target").alias("entry"), F.col("source").alias("caller")).distinct().join(first, "entry", "left_semi")
+    effect = F.lit(False)
+    for w in EFFECTS:
+        effect = effect | F.contains(F.lower("node"), F.lit(w))
+    parts = [
+        first.select(*line("Overview", F.lit(""), filled("flow", "entry"))),
+        walked.join(s, "node", "left").select(*line("Execution Steps", key, step)),
+        callers.select(*line("Entry Points / Callers", F.col("caller"), F.concat(F.lit("- "), _code("caller")))),
+        walked.filter(effect).select(*line("Side Effects", key, filled("effect", "node"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def taken_from(readme_lines: DataFrame, doc_type: str) -> DataFrame:
+    """The architecture document or the runbook: sections of the code base's document under their own headings and in their own order."""
+    rows = []
+    for k, (old, new) in enumerate(TAKEN[doc_type].items()):
+        rows.append(readme_lines.filter(F.col("heading") == old).withColumns({"doc_type": F.lit(doc_type), "section": F.lit(k), "heading": F.lit(new)}))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def module_documents(g: CodeGraph) -> DataFrame:
     """(doc_type, scope, section, heading, key, line): a document of every module, in one plan for all of them.
 
@@ -66,7 +136,7 @@ def module_documents(g: CodeGraph) -> DataFrame:
     scope = F.col("module")
     line = lambda heading, key, text: _line("module", scope, MODULE_SECTIONS, heading, key, text)
     m = modules(g)
-    said = F.concat(F.lit("Module "), _code("module"), F.lit(" contains "), F.col("symbol_count").cast("string"), F.lit(" symbols across "), F.col("file_count").cast("string"), F.lit(" files."))
+    said = filled("module", "module", "symbol_count", "file_count")
     depends = m.select("module", F.explode(F.split("depends_on", ",")).alias("d")).filter("d <> ''")
     signature = F.coalesce(F.when(F.col("signature") != "", F.col("signature")), F.col("name"))
     public = has_any("public")
@@ -100,7 +170,7 @@ def readme(g: CodeGraph, roots: DataFrame) -> DataFrame:
     e, m = g.edges.agg(F.count("*").alias("edges")), modules(g)
     counts = kinds.crossJoin(e).crossJoin(m.agg(F.count("*").alias("modules")))  # one row each
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
-    overview = F.concat(F.lit("Codebase contains "), n("symbols"), F.lit(" symbols ("), F.coalesce("kinds", F.lit("")), F.lit("), "), n("edges"), F.lit(" relationships, and "), n("modules"), F.lit(" modules."))
+    overview = filled("overview", n("symbols"), F.coalesce("kinds", F.lit("")), n("edges"), n("modules"))
     first = F.array_join(F.slice(F.split("depends_on", ","), 1, 3), ", ")
     about = F.concat(F.lit("- **"), _code("module"), F.lit("** ("), n("symbol_count"), F.lit(" symbols, "), n("file_count"), F.lit(" files)"), F.when(F.col("depends_on") != "", F.concat(F.lit(" -> "), first)).otherwise(F.lit("")))
     measures = F.concat(F.lit("- "), _code("fq_name"), F.lit(": LOC="), n("lines"), F.lit(", fan-in="), n("fan_in"), F.lit(", fan-out="), n("fan_out"))

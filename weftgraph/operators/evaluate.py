@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .guard import RATIO_CHECKS, ratio_check
 from .search import BACKTICK
+from .substring import holders, name_index
 
 #: Types of documents that a snapshot should have.
 DOC_TYPES = ("readme", "architecture", "runbook")
@@ -30,27 +31,8 @@ def judged(counts: DataFrame, name: str) -> DataFrame:
 
 
 def contained(refs: DataFrame, names: DataFrame) -> DataFrame:
-    """The refs (ref) that are, or lie inside, some name (name). Each once.
-
-    A ref is looked up by that of its trigrams which the fewest names have, so a common trigram
-    multiplies only where a ref has no rarer one.
-    """
-    refs, names = refs.select("ref").filter("ref <> ''").distinct(), names.select("name").filter("name <> ''").distinct()
-    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
-    out = refs.join(names, refs.ref == names.name, "left_semi")
-    rest = refs.join(names, refs.ref == names.name, "left_anti")
-    for n in (1, 2, 3):
-        own = rest.filter(F.length("ref") >= 3 if n == 3 else F.length("ref") == n)
-        held = names.select("name", F.explode(grams(F.col("name"), n)).alias("gram")).filter(F.length("gram") == n)
-        if n < 3:
-            found = own.join(held.select(F.col("gram").alias("ref")).distinct(), "ref", "left_semi")
-        else:
-            counts = held.groupBy("gram").agg(F.count("*").alias("n"))
-            keyed = own.select("ref", F.explode(grams(F.col("ref"), 3)).alias("gram")).join(counts, "gram", "left").na.fill(0, ["n"])
-            rarest = keyed.groupBy("ref").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-            found = rarest.join(held, "gram").filter(F.contains(F.col("name"), F.col("ref"))).select("ref").distinct()
-        out = out.unionByName(found)
-    return out
+    """The refs (ref) that are, or lie inside, some name (name). Each once."""
+    return holders(refs, name_index(names)).select("ref").distinct()
 
 
 def backticks(text: Column) -> Column:

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..graph import checkpointed
 from .search import BACKTICK, DOTTED
+from .substring import holders, name_index
 
 #: Patterns of prompt injection and of personal data, in order of replacement, and words that are no references.
 INJECTION = {
@@ -61,22 +63,15 @@ def references(text: Column) -> Column:
 def unknown_references(texts: DataFrame, known: DataFrame) -> DataFrame:
     """texts (id, text) against known (name): (id, refs, unknown, score, severity).
 
-    Equal names are joined; only what is left is compared as a substring, either way, through
-    the trigrams that one must share with the other. Names below three characters can only be
-    inside a reference, and are few.
+    A reference is known if it is a name, lies inside one, or holds one.
     """
     refs = texts.select("id", F.explode(references(F.col("text"))).alias("ref"))
     names = known.select("name").filter("name <> ''").distinct()
     distinct = refs.select("ref").distinct()
-    missing = distinct.join(names, distinct.ref == names.name, "left_anti")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    # a ref inside a name has its first trigram there; a name inside a ref has its own first one in the ref
-    inside = missing.select("ref", F.substring("ref", 1, 3).alias("g")).join(names.filter("length(name) >= 3").select("name", F.explode(grams(F.col("name"))).alias("g")), "g").filter(F.contains(F.col("name"), F.col("ref")))
-    around = missing.select("ref", F.explode(grams(F.col("ref"))).alias("g")).join(names.filter("length(name) >= 3").select("name", F.substring("name", 1, 3).alias("g")), "g").filter(F.contains(F.col("ref"), F.col("name")))
-    pieces = F.transform(F.sequence(F.lit(1), F.length("ref")), lambda i: F.array(F.substring(F.col("ref"), i, F.lit(1)), F.substring(F.col("ref"), i, F.lit(2))))
-    short = missing.select("ref", F.explode(F.array_distinct(F.flatten(pieces))).alias("name")).join(names.filter("length(name) < 3"), "name")
-    partly = inside.select("ref").unionByName(around.select("ref")).unionByName(short.select("ref")).distinct()
-    unknown = missing.join(partly, "ref", "left_anti").withColumn("bad", F.lit(1))
+    missing = checkpointed(distinct.join(names, distinct.ref == names.name, "left_anti"))
+    inside = holders(missing, name_index(names)).select("ref")
+    around = holders(names.select(F.col("name").alias("ref")), name_index(missing.select(F.col("ref").alias("name")))).select(F.col("name").alias("ref"))
+    unknown = missing.join(inside.unionByName(around).distinct(), "ref", "left_anti").withColumn("bad", F.lit(1))
     counted = refs.join(unknown, "ref", "left").groupBy("id").agg(F.count("*").alias("refs"), F.coalesce(F.sum("bad"), F.lit(0)).alias("unknown"))
     all_ = texts.select("id").join(counted, "id", "left").na.fill(0, ["refs", "unknown"])
     ratio = F.when(F.col("refs") > 0, F.col("unknown") / F.col("refs")).otherwise(0.0)

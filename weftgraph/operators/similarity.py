@@ -16,10 +16,17 @@ WINDOW, NEAR = 5, 0.6
 
 def line_windows(text: Column, size: int = WINDOW) -> Column:
     """Hashes of every `size` consecutive lines; of all lines if there are fewer. JVM expressions only."""
-    lines = F.split(text, "\n")
-    n = F.size(lines)
-    starts = F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.substring(F.md5(F.array_join(F.slice(lines, i, F.lit(size)), "\n").cast("binary")), 1, 16))
+    return windows_of(F.split(text, "\n"), size)
+
+
+def windows_of(lines: Column, size: int = WINDOW) -> Column:
+    """The same of an array of statements, which is computed once a row."""
+
+    def windows(held: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(held) - size + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(F.md5(F.array_join(F.slice(held, i, F.lit(size)), "\n").cast("binary")), 1, 16))
+
+    return _let(lines, windows)
 
 
 def exact_groups(units: DataFrame) -> DataFrame:
@@ -32,16 +39,20 @@ def near_pairs(units: DataFrame, least: float = NEAR) -> DataFrame:
 
     Units with equal window sets are one class, whose first unit stands for it; classes(units)
     gives the members. Sets are joined on their prefix: with windows in order of frequency, two
-    similar sets share one of their first |x| - ceil(least * |x|) + 1, the rarest ones.
+    similar sets share one of their first |x| - ceil(least * |x|) + 1, the rarest ones. The first window that
+    two sets share bounds what they can share by what follows it in each, so most pairs of a common window go in
+    the join itself, before their sets are fetched; the join splits a window that very many sets begin with.
     """
     w = classes(units).filter("unit = class").select(F.col("class").alias("unit"), "windows")
     each = w.select("unit", F.size("windows").alias("n"), F.explode("windows").alias("w"))
     df = each.groupBy("w").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = each.join(df, "w", "left").groupBy("unit").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "w"))).alias("s"))
     cut = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1).cast("int")
-    prefix = ranked.select("unit", "n", F.explode(F.slice("s", F.lit(1), cut)).alias("x")).filter("x.df > 1").select("unit", "n", F.col("x.w").alias("w"))
-    other = prefix.select(F.col("unit").alias("b"), F.col("n").alias("nb"), "w")
-    candidates = prefix.withColumnsRenamed({"unit": "a", "n": "na"}).join(other, "w").filter((F.col("a") < F.col("b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).select("a", "b").distinct()
+    prefix = ranked.select("unit", "n", F.posexplode(F.slice("s", F.lit(1), cut)).alias("at", "x")).filter("x.df > 1").select("unit", "n", (F.col("n") - F.col("at")).alias("left"), F.col("x.w").alias("w"))
+    other = prefix.withColumnsRenamed({"unit": "b", "n": "nb", "left": "left_b"})
+    possible = F.least("left_a", "left_b") >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - F.lit(1e-9)
+    sizes = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
+    candidates = prefix.withColumnsRenamed({"unit": "a", "n": "na", "left": "left_a"}).join(other, "w").filter((F.col("a") < F.col("b")) & sizes & possible).select("a", "b").distinct()
     sets = w.select("unit", "windows")
     pairs = candidates.join(sets.withColumnsRenamed({"unit": "a", "windows": "wa"}), "a").join(sets.withColumnsRenamed({"unit": "b", "windows": "wb"}), "b")
     both = F.size(F.array_intersect("wa", "wb"))

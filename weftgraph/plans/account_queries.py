@@ -245,3 +245,22 @@ def readme_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interfaces stand for the entry points; no name of the tables is one of settings."""
     g = starschema.graph(spark, sf_dir)
     return documents.readme(g, g.symbols.filter("kind = 'interface'").select("fq_name", "kind"))
+
+
+FLOW_EFFECTS = "|".join(documents.EFFECTS)
+
+
+@query(f"""WITH cal AS (SELECT DISTINCT source AS a, target AS b FROM edge WHERE edge_type = 'calls'), ent AS (SELECT DISTINCT a AS entry FROM cal WHERE a NOT IN (SELECT b FROM cal) UNION SELECT fq_name FROM sym WHERE kind = 'constructor'),
+walk AS (SELECT entry, entry AS node, 0 AS depth FROM ent UNION SELECT entry, b, depth + 1 FROM walk JOIN cal ON a = node WHERE depth < 10),
+near AS (SELECT entry, node, min(depth) AS depth FROM walk GROUP BY 1, 2), st AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY depth, node) AS n FROM near QUALIFY n <= {documents.STEPS}),
+l AS (SELECT entry AS scope, 0 AS section, '' AS key, 'Call flow starting from `' || entry || '`.' AS line FROM ent
+  UNION ALL SELECT entry, 1, lpad(depth::VARCHAR, 4, '0') || ' ' || node, repeat('  ', depth) || '- `' || node || '` (' || coalesce(kind, '?') || ') [' || coalesce(file_path, '') || ']' FROM st LEFT JOIN sym ON fq_name = node
+  UNION ALL SELECT b, 2, a, '- `' || a || '`' FROM cal WHERE b IN (SELECT entry FROM ent)
+  UNION ALL SELECT entry, 3, lpad(depth::VARCHAR, 4, '0') || ' ' || node, '- `' || node || '` may perform I/O or mutations.' FROM st WHERE regexp_matches(lower(node), '{FLOW_EFFECTS}'))
+SELECT 'flow' AS doc_type, scope, section, ({_list(documents.FLOW_SECTIONS)})[section + 1] AS heading, key, line FROM l""", recursive=True)
+def flow_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of the calls from every symbol that calls but is not called, and of every constructor."""
+    g = starschema.graph(spark, sf_dir)
+    calls = g.of_type("calls")
+    first = calls.select(F.col("source").alias("fq_name")).distinct().join(calls.select(F.col("target").alias("fq_name")), "fq_name", "left_anti")
+    return documents.flow_documents(g, first.unionByName(g.symbols.filter("kind = 'constructor'").select("fq_name")))

@@ -107,6 +107,17 @@ def near_clone_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.near_pairs(_units(spark, sf_dir).select("unit", "windows"))
 
 
+SENTENCES = UNITS.replace("string_split(text, chr(10))", "regexp_split_to_array(text, '[.][ \n]+')")
+
+
+@query("WITH " + SENTENCES + """SELECT a, b, round(shared::DOUBLE / (na + nb - shared), 6) AS similarity FROM (SELECT a.u AS a, b.u AS b, len(a.windows) AS na, len(b.windows) AS nb, len(list_intersect(a.windows, b.windows)) AS shared
+FROM cls a JOIN cls b ON a.u < b.u AND list_has_any(a.windows, b.windows)) WHERE shared::DOUBLE / (na + nb - shared) >= 0.6""", prelude=False)
+def near_clone_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near clones with sentences as statements: of invented prose, copies with few changes."""
+    d = _documents(spark, sf_dir)
+    return similarity.near_pairs(d.select(F.col("doc_id").alias("unit"), similarity.windows_of(F.split("text", r"[.][ \n]+")).alias("windows")))
+
+
 @query("WITH " + UNITS + "SELECT unit, u AS class FROM units JOIN cls USING (windows)", prelude=False)
 def near_clone_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.classes(_units(spark, sf_dir).select("unit", "windows")).select("unit", "class")
@@ -367,7 +378,10 @@ def request_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(usage.masked_path(path).alias("path")).groupBy("path").agg(F.count("*").alias("requests"))
 
 
-@query()
+@query("""WITH RECURSIVE ev AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+b AS (SELECT key, n, id, s, 5.0::DOUBLE AS t FROM ev WHERE n = 1
+  UNION ALL SELECT e.key, e.n, e.id, e.s, least(5.0, b.t - (b.t >= 1)::INT + greatest(0.0, e.s - b.s) * 0.0005)::DOUBLE FROM b JOIN ev e ON e.key = b.key AND e.n = b.n + 1)
+SELECT key, id, t >= 1 AS allowed FROM b""", prelude=False)
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
     return usage.token_bucket(r, rate=0.0005, burst=5)

@@ -134,6 +134,12 @@ def check_docs_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.docs_exist(scopes, docs)
 
 
+@query("WITH n AS (SELECT namespace AS scope, count(*) AS n FROM sym GROUP BY 1) SELECT scope, 'symbol_coverage' AS name, 1::BIGINT AS total, (n > 0)::BIGINT AS good, (n > 0)::DOUBLE AS score, n > 0 AS passed, CASE WHEN n > 0 THEN 'pass' ELSE 'warning' END AS severity FROM n")
+def check_symbol_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules as snapshots."""
+    return evaluate.symbol_coverage(starschema.symbols(spark, sf_dir).select(F.col("namespace").alias("scope"), "fq_name"))
+
+
 _PARTS = {
     "citation_coverage": "SELECT scope, len(cites) AS total, (SELECT count(*) FROM (SELECT unnest(cites) AS c) u WHERE c IN (SELECT DISTINCT file_path FROM sym)) AS good FROM ans",
     "factual_grounding": "SELECT * FROM grounded",
