@@ -17,7 +17,8 @@ block finds the places itself from its texts, whose one exchange all three steps
 
 Defined cases: a null or empty text has no words; documents without an id come before all
 others; rows that share an id are read in the order of their texts, as one document after the
-other, so of repeated rows the first keeps its words; extra columns are not read.
+other, so of repeated rows, which tie, any one keeps its words and all others lose theirs; texts of any length are
+one sequence of words, whose windows are never cut; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -1,9 +1,9 @@
-"""Best-fit packing of tokenized documents into sequences, in bulk-synchronous rounds.
+"""Best-fit packing of tokenized documents into sequences, planned over run-length-coded lists.
 
 A document is its token ids and an end id. Only documents longer than a sequence are cut, into
 full sequences and a rest; these pieces are packed whole.
 
-*Rounds.* Pieces are range-sorted by length, open sequences by gap. A round takes the longest
+*Rounds.* They run on the driver, over counts and not over rows: pieces sorted by length, open sequences by gap. A round takes the longest
 length that is left; the successor of that length among the gaps is the tightest fit. All
 pieces of the length are matched at once: by rank they fill the gaps of the successor class
 in order (as many to a gap as best fit would put there), then those of the next class, then
@@ -18,7 +18,7 @@ counts of the smaller salts, so no task holds all pieces of one length.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each by
 itself; ties in rank follow the salt, then id, piece and checksum; an empty table has no
-sequences; extra columns are not read.
+sequences; a text of any length is tokenized whole, and its pieces are rows of their own; extra columns are not read.
 """
 
 from __future__ import annotations

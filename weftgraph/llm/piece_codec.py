@@ -7,7 +7,8 @@ on its own, and its ids and their offsets within it are kept for later texts. A
 ends; the byte pieces of one character all get that character's span.
 
 Defined cases: a null or empty text has no tokens and decodes to ""; a mark U+2581 in the text
-is a space, as in the library; repeated rows are encoded each by itself; extra columns are not
+is a space, as in the library; of merges with equal scores the leftmost is first, as there; texts of any length are
+encoded whole, part by part; repeated rows are encoded each by itself; an empty table gives an empty result; extra columns are not
 read. A model whose pieces cross spaces, or that squeezes spaces, is encoded text by text.
 """
 

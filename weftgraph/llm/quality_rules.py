@@ -7,7 +7,8 @@ again.
 
 Defined cases: a null or empty text has no words, so all its measurements are 0 and it fails
 `few_words`; repeated rows are judged each by itself; a null id stays null; an empty table
-gives an empty ledger; extra columns are not read. Lines are split at \\n only, and a line
+gives an empty ledger; texts of any length are measured whole; a measurement that ties with its limit passes where
+the rule says `<` or `>`; extra columns are not read. Lines are split at \\n only, and a line
 counts if it holds a word. Hashes of 64 bits stand for lines and windows, within one text.
 """
 

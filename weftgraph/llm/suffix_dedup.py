@@ -17,9 +17,10 @@ block as a range of starts, and the block removes the bytes that lost windows co
 
 Defined cases: a null or empty text has no bytes; documents without an id come before all
 others; rows that share an id are read in the order of their texts, as one document after the
-other, so of repeated rows the first keeps its bytes; matches never cross rows; a window that
+other, so of repeated rows, which tie, any one keeps its bytes; texts of any length are read whole, and a block
+holds its own in memory; an empty table gives an empty result; matches never cross rows; a window that
 equals the one a byte before it (one byte repeated) is lost without being sorted; where the
-kept bytes are wanted as text, cut characters are dropped; extra columns are not read.
+kept bytes are wanted as text, cut characters are dropped; extra columns are not read, or kept as they are, of any type (`documents`).
 """
 
 from __future__ import annotations

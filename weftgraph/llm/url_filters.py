@@ -13,7 +13,9 @@ starts with the rule's. The longest fitting rule decides, whatever the reputatio
 Defined cases: a null url, or one without `://`, has empty host and path, fits no rule, and is
 judged by the group of empty hosts; pages without a label count as unlabelled; a null label
 field makes that label no outcome; repeated rows are judged each by itself, and a repeated
-label counts each time; without any labels all pages are allowed; extra columns are not read.
+label counts each time; without any labels all pages are allowed; an empty table gives an empty result; urls of
+any length are read whole; of fitting rules of equal length the one whose text, then whose action, sorts last
+decides; a lower bound equal to `max_bad` allows; extra columns are not read.
 
 Plan: pages are aggregated by host on the map side, so a host with a third of all rows is one
 row before the shuffle. All levels above are aggregates of that host table. The only join on
