@@ -2,6 +2,10 @@
 
 Every stage works on all documents that its predecessor kept. `run` writes each result as
 Parquet to the folder that all executors share, and reads it again, which also cuts lineage.
+
+Defined cases: null and empty texts fail the quality rules and go; of documents that link, the one with the
+smallest id stays (none counts as the smallest), and of its repeated rows one; of strings that repeat, the one that starts in the smallest id, and there first, stays; texts of any length pass whole;
+extra columns of any name and type are kept by all stages but the last; an empty table gives empty results.
 """
 
 from __future__ import annotations
