@@ -3,6 +3,7 @@
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def test_rules(spark, pages):
     for r in rows:
         host, path, rule, action = plain(urls[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert r.verdict == (action or ("block" if r.lower_bound > url_filters.MAX_BAD else "allow"))
+        assert r.verdict == (action or ("block" if r.p_above > url_filters.LEVEL else "allow"))
 
 
 def test_bad_hosts_are_blocked_and_shrunk(spark):
@@ -77,3 +78,16 @@ def test_sql(spark, size):
     got = queries.op1_url_filters(spark, d)
     assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in got.select(*names).collect())
     assert set(names) == set(got.columns)
+
+
+def test_share_above_is_the_beta_distribution_s(spark):
+    draw = np.random.default_rng(8)
+    cases = [(0.5, 2.0), (0.9, 1.0), (0.001, 1.0), (0.999, 1001.0), (0.02, 50000.0), (0.49, 5000.0), (0.51, 5000.0), (0.3, 12.0), (0.7, 3.5), (0.5, 1e7)]
+    rows = spark.createDataFrame([(float(r), float(n)) for r, n in cases], "bad_rate double, bad_rate_size double")
+    for max_bad in (0.5, 0.2):
+        got = rows
+        for step in url_filters.above_steps(max_bad):
+            got = got.selectExpr("bad_rate", "bad_rate_size", *[f"{e} AS {c}" for c, e in step.items()])
+        for r in got.collect():
+            sample = (draw.beta(r.bad_rate * r.bad_rate_size, (1 - r.bad_rate) * r.bad_rate_size, 400_000) > max_bad).mean()
+            assert abs(r.p_above - sample) < 0.004, r

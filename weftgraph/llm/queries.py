@@ -102,6 +102,15 @@ def _level(rate: str, source: str, mean: str, n: str, k: str) -> str:
         FROM {source} WHERE {n} > 0) w)"""
 
 
+def _above() -> str:
+    """SQL of each host's share above the limit, in steps."""
+    out, last = [], "by_host"
+    for k, step in enumerate(url_filters.above_steps(url_filters.MAX_BAD, "list_sum(list_transform(range(0, {n} + 1), lambda i: {f}))")):
+        out.append(f"share{k} AS (SELECT host, bad_rate, bad_rate_size, {', '.join(f'{e} AS {c}' for c, e in step.items())} FROM {last})")
+        last = f"share{k}"
+    return ", ".join(out) + f", shares AS (SELECT host, bad_rate, p_above FROM {last})"
+
+
 SECOND = "|".join(url_filters.SECOND_LEVEL)
 OP1_SQL = f"""
 WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -120,10 +129,10 @@ by_suffix AS (SELECT * FROM {_level("suffix_rate", "top", "top", "sn", "sk")}),
 domain_in AS (SELECT d.*, suffix_rate FROM domains d JOIN by_suffix USING (suffix)),
 by_domain AS (SELECT * FROM {_level("domain_rate", "domain_in", "suffix_rate", "dn", "dk")}),
 host_in AS (SELECT h.*, domain_rate FROM hosts h JOIN by_domain USING (domain)),
-by_host AS (SELECT *, sqrt(bad_rate * (1 - bad_rate) / (bad_rate_size + 1)) AS sd FROM {_level("bad_rate", "host_in", "domain_rate", "n", "k")})
-SELECT page_id, host, path, {_rule_case(1)} AS rule, coalesce({_rule_case(0)}, CASE WHEN round(bad_rate - {url_filters.Z} * sd, 9) > {url_filters.MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict,
-    round(bad_rate, 9) AS bad_rate, round(bad_rate - {url_filters.Z} * sd, 9) AS lower_bound
-FROM seen JOIN by_host USING (host)
+by_host AS (SELECT host, bad_rate, bad_rate_size FROM {_level("bad_rate", "host_in", "domain_rate", "n", "k")}),
+{_above()}
+SELECT page_id, host, path, {_rule_case(1)} AS rule, coalesce({_rule_case(0)}, CASE WHEN p_above > {url_filters.LEVEL} THEN 'block' ELSE 'allow' END) AS verdict, round(bad_rate, 9) AS bad_rate, p_above
+FROM seen JOIN shares USING (host)
 """
 
 

@@ -4,8 +4,10 @@
 beta-binomial posterior whose prior is the posterior of its registered domain, whose prior is
 that of the public suffix, whose prior is the rate over all labelled pages. The weight of each
 prior is estimated from the data (method of moments over the groups of that level). A host is
-blocked if even the lower bound of its posterior exceeds `max_bad`; an unseen host inherits the
-level above.
+blocked if even the lower bound of its posterior (the quantile 1 - LEVEL of the beta distribution) exceeds `max_bad`: if
+more than LEVEL of the distribution lies above it. That share is integrated by Simpson's rule over the
+log-odds, stretched about the mode so that narrow and wide posteriors take the same nodes; no constant of the beta function is
+needed, as it cancels. An unseen host inherits the level above.
 
 *Rules* are (action, host, path prefix); a rule fits its host and all subdomains, if the path
 starts with the rule's. The longest fitting rule decides, whatever the reputation says.
@@ -15,7 +17,7 @@ judged by the group of empty hosts; pages without a label count as unlabelled; a
 field makes that label no outcome; repeated rows are judged each by itself, and a repeated
 label counts each time; without any labels all pages are allowed; an empty table gives an empty result; urls of
 any length are read whole; of fitting rules of equal length the one whose text, then whose action, sorts last
-decides; a lower bound equal to `max_bad` allows; extra columns are not read.
+decides; a share equal to LEVEL allows; extra columns are not read.
 
 Plan: pages are aggregated by host on the map side, so a host with a third of all rows is one
 row before the shuffle. All levels above are aggregates of that host table. The only join on
@@ -27,11 +29,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import checkpointed
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Second-level names under which domains are registered.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
-#: Production parameters: a host is blocked if P(bad) exceeds MAX_BAD by Z standard deviations.
-MAX_BAD, Z = 0.5, 1.0
+#: Production parameters: a host is blocked if its rate is above MAX_BAD with a probability of more than LEVEL, that is, if the lower bound of that level is.
+MAX_BAD, LEVEL = 0.5, 0.84
+#: Half the range of the integral in its own scale, and its steps.
+REACH, NODES = 8, 320
 #: Up to so many rules of a list are literals of the plan; more, and rules in a table, are joined. The result is the same.
 LITERALS = 500
 
@@ -109,10 +115,26 @@ def _weight(groups: DataFrame, mean: str, count: str, bad: str) -> DataFrame:
     return sums.select((1 / rho - 1).alias("weight"))
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """One row a host: (host, domain, suffix, labelled, bad, bad_rate, bad_sd, lower_bound).
+def above_steps(max_bad: float, total: str = "aggregate(sequence(0, {n}), 0D, (z, i) -> z + {f})") -> list[dict[str, str]]:
+    """SQL projections over bad_rate and bad_rate_size; the last gives `p_above`, the share of Beta(rate * size, (1 - rate) * size) above max_bad. `total` adds f over i = 0 .. n."""
+    log_odds = f"ln({max_bad!r} / (1 - {max_bad!r}))"
+    share = lambda x: f"(least({x}, 0) - ln(1 + exp(-abs({x}))))"
+    area = lambda low: total.format(n=NODES, f=f"(CASE WHEN i = 0 OR i = {NODES} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * cosh({low} + i * ({REACH} - ({low})) / {NODES}) * exp(a * {share(at(low))} + b * {share('-' + at(low))} - peak)") + f" * ({REACH} - ({low}))"
+    at = lambda low: f"(mode + spread * sinh({low} + i * ({REACH} - ({low})) / {NODES}))"
+    keep = {c: c for c in ("a", "b", "mode", "spread")}
+    return [
+        {"a": "bad_rate * bad_rate_size", "b": "(1 - bad_rate) * bad_rate_size"},
+        {"a": "a", "b": "b", "mode": "ln(a / b)", "spread": "sqrt((a + b) / (a * b))"},
+        {**keep, "peak": f"a * {share('mode')} + b * {share('-mode')}", "low": f"greatest(-{REACH}, least({REACH}, asinh(({log_odds} - mode) / spread)))"},
+        {"every": area(f"(-{REACH})"), "beyond": area("low")},
+        {"p_above": "round(beyond / every, 6)"},
+    ]
+
+
+def reputation(pages: DataFrame, outcomes: DataFrame, max_bad: float = MAX_BAD) -> DataFrame:
+    """One row a host: (host, domain, suffix, labelled, bad, bad_rate, p_above).
 
-    `pages` has page_id and url, `outcomes` page_id and bad (0 or 1).
+    `pages` has page_id and url, `outcomes` page_id and bad (0 or 1). The hosts' own counts are computed once; all levels are made of them.
     """
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"))
     bad = outcomes.filter(F.col("bad").isNotNull() & F.col("page_id").isNotNull()).groupBy("page_id").agg(F.count("*").alias("labels"), F.sum(F.col("bad").cast("long")).alias("bad"))
@@ -120,6 +142,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     hosts = seen.select("host").distinct().join(labelled, "host", "left").select(
         "host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), F.coalesce("n0", F.lit(0)).alias("n"), F.coalesce("k0", F.lit(0)).alias("k")
     )
+    hosts = checkpointed(hosts)
     domains = hosts.groupBy("domain").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
     # the prior of all has one good and one bad page, so that it is never 0 or 1
@@ -134,23 +157,23 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     by_suffix = shrunk(top, "top", "sn", "sk", "suffix_rate")
     by_domain = shrunk(domains.join(by_suffix.select("suffix", "suffix_rate"), "suffix"), "suffix_rate", "dn", "dk", "domain_rate")
     by_host = shrunk(hosts.join(by_domain.select("domain", "domain_rate"), "domain"), "domain_rate", "n", "k", "bad_rate")
-    sd = F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (F.col("bad_rate_size") + 1))
-    return by_host.select(
-        "host", "domain", "suffix", F.col("n").alias("labelled"), F.col("k").alias("bad"), F.round("bad_rate", 9).alias("bad_rate"), F.round(sd, 9).alias("bad_sd"),
-        F.round(F.col("bad_rate") - Z * sd, 9).alias("lower_bound"),
-    )
+    out = by_host
+    for step in above_steps(max_bad):
+        own = ("host", "domain", "suffix", "n", "k", "bad_rate", "bad_rate_size")
+        out = out.selectExpr(*own, *[f"{e} AS {c}" for c, e in step.items()])
+    return out.select("host", "domain", "suffix", F.col("n").alias("labelled"), F.col("k").alias("bad"), F.round("bad_rate", 9).alias("bad_rate"), "p_above")
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, max_bad: float = MAX_BAD) -> DataFrame:
-    """(page_id, host, path, rule, verdict, bad_rate, lower_bound) of every page; rules as a list or a table (action, host, path)."""
+    """(page_id, host, path, rule, verdict, bad_rate, p_above) of every page; rules as a list or a table (action, host, path)."""
     urls = pages.select("page_id", "url")
-    hosts = reputation(urls, outcomes).select("host", "bad_rate", "lower_bound")
+    hosts = reputation(urls, outcomes, max_bad).select("host", "bad_rate", "p_above")
     seen = urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    by_method = F.when(F.col("lower_bound") > max_bad, "block").otherwise("allow")
+    by_method = F.when(F.col("p_above") > LEVEL, "block").otherwise("allow")
     if isinstance(rules, list) and len(rules) > LITERALS:
         rules = pages.sparkSession.createDataFrame(rules, "action string, host string, path string")
     if isinstance(rules, list):
         ruled = seen.withColumns({"rule": rule_for(F.col("host"), F.col("path"), rules, 1), "action": rule_for(F.col("host"), F.col("path"), rules, 0)})
     else:
         ruled = seen.join(rules_by_join(seen, rules), ["host", "path"], "left")
-    return ruled.join(hosts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("action", by_method).alias("verdict"), "bad_rate", "lower_bound")
+    return ruled.join(hosts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("action", by_method).alias("verdict"), "bad_rate", "p_above")
