@@ -390,18 +390,18 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sinks and sources --------------------------------------------------------------------------
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.findings(starschema.graph(spark, sf_dir, blame=True), LIMITS, ["security", "naming", "solid"], as_of=AS_OF)
+    return rules.findings(starschema.graph(spark, sf_dir, blame=True), LIMITS, as_of=AS_OF)
 
 
-_SOME = _findings_sql([i for i in RULE_SQL if rules.RULES[i].category in ("security", "naming", "solid")])
+_EVERY = _findings_sql(list(RULE_SQL))
 
 
-@query(_SOME + "SELECT rule_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'error' THEN 'error' WHEN 'info' THEN 'note' ELSE 'warning' END AS level, rule_name || ': ' || symbol_fq_name AS text, file_path AS uri, greatest(line, 1)::INT AS start_line FROM found", recursive=True)
+@query(_EVERY + "SELECT rule_id, CASE severity WHEN 'critical' THEN 'error' WHEN 'error' THEN 'error' WHEN 'info' THEN 'note' ELSE 'warning' END AS level, rule_name || ': ' || symbol_fq_name AS text, file_path AS uri, greatest(line, 1)::INT AS start_line FROM found", recursive=True)
 def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.sarif_results(_found(spark, sf_dir))
 
 
-@query(_SOME + "SELECT '| ' || severity || ' | ' || count(*) || ' |' AS line FROM found GROUP BY severity", recursive=True)
+@query(_EVERY + "SELECT '| ' || severity || ' | ' || count(*) || ' |' AS line FROM found GROUP BY severity", recursive=True)
 def markdown_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.markdown_summary(_found(spark, sf_dir))
 
