@@ -35,7 +35,7 @@ from .blocks import NO_ID, SEED_A, U64, checkpointed, chunks_of, mix, slice_hash
 
 K, WINDOW = 20, 4096
 #: Bounds of memory: text that a task indexes at once, postings of a window, bits of the term bitmap, entries of a block of items.
-TEXT, POSTINGS, BITS, BLOCK = 1 << 25, 1 << 22, 1 << 24, 1 << 20
+TEXT, POSTINGS, BITS, BLOCK = 1 << 25, 1 << 22, 1 << 24, 1 << 18
 #: Parts of the first round of merging.
 MERGE = 64
 
