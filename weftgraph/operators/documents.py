@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import CodeGraph, checkpointed
+from ..helpers import filled
 from .metrics import fan, has_any, loc, module_of, modules
 
 #: Sections of a module's and of the code base's documents, words of settings, types, and documents expected.
@@ -68,15 +69,6 @@ def _code(c: str | Column) -> Column:
     return F.concat(F.lit("`"), c, F.lit("`"))
 
 
-def filled(name: str, *values: str | Column) -> Column:
-    """One of SENTENCES with its gaps filled."""
-    parts = SENTENCES[name].split("{}")
-    out = [F.lit(parts[0])]
-    for value, text in zip(values, parts[1:], strict=True):
-        out += [(F.col(value) if isinstance(value, str) else value).cast("string"), F.lit(text)]
-    return F.concat(*out)
-
-
 def flow_steps(g: CodeGraph, entries: DataFrame, steps: int = STEPS, most: int = 10) -> DataFrame:
     """entries (fq_name): (entry, node, depth), what each calls, directly or not, nearest first and then by name; at most `steps` rows an entry.
 
@@ -110,10 +102,10 @@ def flow_documents(g: CodeGraph, entries: DataFrame, steps: int = STEPS, most: i
     for w in EFFECTS:
         effect = effect | F.contains(F.lower("node"), F.lit(w))
     parts = [
-        first.select(*line("Overview", F.lit(""), filled("flow", "entry"))),
+        first.select(*line("Overview", F.lit(""), filled(SENTENCES["flow"], "entry"))),
         walked.join(s, "node", "left").select(*line("Execution Steps", key, step)),
         callers.select(*line("Entry Points / Callers", F.col("caller"), F.concat(F.lit("- "), _code("caller")))),
-        walked.filter(effect).select(*line("Side Effects", key, filled("effect", "node"))),
+        walked.filter(effect).select(*line("Side Effects", key, filled(SENTENCES["effect"], "node"))),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -136,7 +128,7 @@ def module_documents(g: CodeGraph) -> DataFrame:
     scope = F.col("module")
     line = lambda heading, key, text: _line("module", scope, MODULE_SECTIONS, heading, key, text)
     m = modules(g)
-    said = filled("module", "module", "symbol_count", "file_count")
+    said = filled(SENTENCES["module"], "module", "symbol_count", "file_count")
     depends = m.select("module", F.explode(F.split("depends_on", ",")).alias("d")).filter("d <> ''")
     signature = F.coalesce(F.when(F.col("signature") != "", F.col("signature")), F.col("name"))
     public = has_any("public")
@@ -170,7 +162,7 @@ def readme(g: CodeGraph, roots: DataFrame) -> DataFrame:
     e, m = g.edges.agg(F.count("*").alias("edges")), modules(g)
     counts = kinds.crossJoin(e).crossJoin(m.agg(F.count("*").alias("modules")))  # one row each
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
-    overview = filled("overview", n("symbols"), F.coalesce("kinds", F.lit("")), n("edges"), n("modules"))
+    overview = filled(SENTENCES["overview"], n("symbols"), F.coalesce("kinds", F.lit("")), n("edges"), n("modules"))
     first = F.array_join(F.slice(F.split("depends_on", ","), 1, 3), ", ")
     about = F.concat(F.lit("- **"), _code("module"), F.lit("** ("), n("symbol_count"), F.lit(" symbols, "), n("file_count"), F.lit(" files)"), F.when(F.col("depends_on") != "", F.concat(F.lit(" -> "), first)).otherwise(F.lit("")))
     measures = F.concat(F.lit("- "), _code("fq_name"), F.lit(": LOC="), n("lines"), F.lit(", fan-in="), n("fan_in"), F.lit(", fan-out="), n("fan_out"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import CodeGraph, checkpointed
+from ..helpers import filled
 from . import similarity
 from .metrics import module_of
 from .substring import holders, name_index
@@ -39,13 +40,9 @@ VERIFICATION = {
 }
 
 
-def said(name: str, *values) -> Column:
-    """A sentence with its gaps filled; null if any value is."""
-    parts = SENTENCES[name].split("{}")
-    out = [F.lit(parts[0])]
-    for value, text in zip(values, parts[1:], strict=True):
-        out += [(F.col(value) if isinstance(value, str) else value).cast("string"), F.lit(text)]
-    return F.concat(*out)
+def said(name: str, *values: str | Column) -> Column:
+    """One of SENTENCES with its gaps filled; null if any value is."""
+    return filled(SENTENCES[name], *values)
 
 
 def module_facts(modules: DataFrame, g: CodeGraph) -> DataFrame:

@@ -7,6 +7,8 @@ in one partition, as the state of a line depends on all before it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,10 @@ SECURITY = {
 CONDITION, RETURN = r"\b(if|else\s+if|while|switch)\s*\(", r"\breturn\b"
 
 
+#: A review's summary.
+SUMMARY, NO_CHANGES = "%d file(s) changed, +%d additions, -%d deletions, %d symbol(s) affected.", "Empty diff -- no changes detected."
+
+
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """diffs (diff_id, diff) to lines: file, flags of the file, hunk, numbers in the new and old file, content, side.
 
@@ -109,19 +115,28 @@ def report(diffs: DataFrame, g: CodeGraph, hops: int = 3) -> DataFrame:
     for df in (some, symbols, impacted, counted):
         out = out.join(df, "diff_id", "left")
     out = out.na.fill(0).withColumnRenamed("diff_id", "id")
-    said = F.concat(F.col("files").cast("string"), F.lit(" file(s) changed, +"), F.col("plus").cast("string"), F.lit(" additions, -"), F.col("minus").cast("string"), F.lit(" deletions, "), F.col("changed").cast("string"), F.lit(" symbol(s) affected."))
-    rows = risk(out.withColumn("summary", F.when(F.col("files") == 0, "Empty diff -- no changes detected.").otherwise(said)))
+    said = F.format_string(SUMMARY, "files", "plus", "minus", "changed")
+    rows = risk(out.withColumn("summary", F.when(F.col("files") == 0, NO_CHANGES).otherwise(said)))
     return rows.select(F.col("id").alias("diff_id"), "summary", "changed", "impacted", "findings", "high", "risk_score", "risk_level")
 
 
 def _impacted(changed: DataFrame, g: CodeGraph, hops: int) -> DataFrame:
-    """(diff_id, fq_name): known symbols from which calls lead to a changed one within some hops, for all diffs at once."""
+    """(diff_id, fq_name): known symbols from which calls lead to a changed one within some hops, for all diffs at once.
+
+    Each set of changed symbols is walked once, however many diffs have it, and each round is written once.
+    """
     calls = checkpointed(g.of_type("calls").select(F.col("target").alias("fq_name"), F.col("source").alias("caller")).distinct())
-    seen = frontier = checkpointed(changed.select("diff_id", "fq_name").distinct())
+    sets = changed.groupBy("diff_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("fq_name")), "\n"), 256).alias("set"))
+    sets = checkpointed(sets)
+    own = changed.join(sets, "diff_id").select("set", "fq_name").distinct()
+    rounds = [checkpointed(own)]
     for _ in range(hops):
-        frontier = checkpointed(frontier.join(calls, "fq_name").select("diff_id", F.col("caller").alias("fq_name")).distinct().join(seen, ["diff_id", "fq_name"], "left_anti"))
-        seen = checkpointed(seen.unionByName(frontier))
-    return seen.join(changed, ["diff_id", "fq_name"], "left_anti").join(g.symbols.select("fq_name"), "fq_name", "left_semi")
+        new = rounds[-1].join(calls, "fq_name").select("set", F.col("caller").alias("fq_name")).distinct()
+        rounds.append(checkpointed(new.join(reduce(DataFrame.unionByName, rounds), ["set", "fq_name"], "left_anti")))
+        if rounds[-1].isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, rounds[1:], rounds[0].limit(0)).join(g.symbols.select("fq_name"), "fq_name", "left_semi")
+    return sets.join(found, "set").select("diff_id", "fq_name")
 
 
 def _label(patterns: dict[str, str]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import CodeGraph
+from ..helpers import filled
 from .metrics import has_any, loc, with_fan
 
 #: Patterns of each kind of question, in the order in which ties are decided.
@@ -20,6 +21,11 @@ BACKTICK, DOTTED, PASCAL = r"`([A-Za-z_][\w.]*)`", r"\b([A-Z][a-zA-Z0-9]*(?:\.[A
 WRITE_WORDS = ("write", "save", "delete", "remove", "send", "post", "update", "insert")
 LOG_WORDS = ("log", "print", "trace", "console")
 HOPS = {"impact": 3, "architecture": 1}
+#: Sentences of a symbol's purpose; {} are filled in order.
+FACTS = {
+    "class": "Class '{}' with {} members.", "bases": " Implements/extends: {}.", "interface": "Interface '{}' defining a contract.", "constructor": "Constructor for '{}'.", "property": "Property '{}' of type {}.", "other": "{} '{}'.",
+    "method": "Method '{}'", "returns": "returns {}", "takes": "takes {} parameter(s)", "calls": "calls {} other symbol(s)", "called": "called by {} symbol(s)",
+}
 
 
 def _like(column: str, q: str) -> Column:
@@ -124,22 +130,22 @@ def symbol_facts(g: CodeGraph) -> DataFrame:
     into = calls.groupBy(F.col("target").alias("fq_name")).agg(F.count("*").alias("callers"))
     kids = g.of_type("contains").groupBy(F.col("source").alias("fq_name")).agg(F.count("*").alias("children"))
     s = with_fan(g).join(out, "fq_name", "left").join(into, "fq_name", "left").join(kids, "fq_name", "left").na.fill(0, ["callees", "effects", "callers", "children"])
-    kind, name = F.col("kind"), F.concat(F.lit("'"), "name", F.lit("'"))
+    kind = F.col("kind")
     params = F.size(F.coalesce("parameters", F.array().cast("array<string>")))
-    bases = F.array_join("base_types", ", ") if "base_types" in g.symbols.columns else F.lit("")
-    said = lambda when, *parts: F.when(when, F.concat(*parts))
+    bases = F.coalesce(F.array_join("base_types", ", ") if "base_types" in g.symbols.columns else F.lit(""), F.lit(""))
+    fact = lambda part, *values: filled(FACTS[part], *values)
     method = F.concat_ws(
-        ", ", F.concat(F.lit("Method "), name), said(F.col("return_type") != "", F.lit("returns "), "return_type"), said(params > 0, F.lit("takes "), params.cast("string"), F.lit(" parameter(s)")),
-        said(F.col("callees") > 0, F.lit("calls "), F.col("callees").cast("string"), F.lit(" other symbol(s)")), said(F.col("callers") > 0, F.lit("called by "), F.col("callers").cast("string"), F.lit(" symbol(s)")),
+        ", ", fact("method", "name"), F.when(F.col("return_type") != "", fact("returns", "return_type")), F.when(params > 0, fact("takes", params)),
+        F.when(F.col("callees") > 0, fact("calls", "callees")), F.when(F.col("callers") > 0, fact("called", "callers")),
     )
     purpose = (
-        F.when(kind == "class", F.concat(F.lit("Class "), name, F.lit(" with "), F.col("children").cast("string"), F.lit(" members."), F.when(F.coalesce(bases, F.lit("")) != "", F.concat(F.lit(" Implements/extends: "), bases, F.lit("."))).otherwise("")))
-        .when(kind == "interface", F.concat(F.lit("Interface "), name, F.lit(" defining a contract.")))
+        F.when(kind == "class", F.concat(fact("class", "name", "children"), F.when(bases != "", fact("bases", bases)).otherwise("")))
+        .when(kind == "interface", fact("interface", "name"))
         .when(kind == "method", F.concat(method, F.lit(".")))
-        .when(kind == "constructor", F.concat(F.lit("Constructor for '"), F.when(F.coalesce("parent_fq_name", F.lit("")) != "", F.col("parent_fq_name")).otherwise(F.col("name")), F.lit("'.")))
-        .when(kind == "property", F.concat(F.lit("Property "), name, F.lit(" of type "), F.when(F.col("return_type") != "", F.col("return_type")).otherwise("unknown"), F.lit(".")))
-        .otherwise(F.concat(F.initcap("kind"), F.lit(" "), name, F.lit(".")))
-    )
+        .when(kind == "constructor", fact("constructor", F.when(F.coalesce("parent_fq_name", F.lit("")) != "", F.col("parent_fq_name")).otherwise(F.col("name"))))
+        .when(kind == "property", fact("property", "name", F.when(F.col("return_type") != "", F.col("return_type")).otherwise("unknown")))
+        .otherwise(fact("other", F.initcap("kind"), "name"))
+    )
     yes = lambda c: F.when(c, 1).otherwise(0)
     points = yes(F.coalesce("signature", F.lit("")) != "") + yes((params > 0) | (F.col("return_type") != "")) + yes(F.coalesce("doc_comment", F.lit("")) != "") + yes(F.col("callees") + F.col("callers") > 0)
     effects = F.when(kind.isin("method", "constructor"), F.col("effects")).otherwise(0)
