@@ -13,6 +13,7 @@ carries one block's share of one bucket as bytes, so the JVM moves few large row
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
@@ -38,6 +39,36 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_weft_worker_cache", {})
 
 
+def give_back() -> None:
+    """Hand back to the system what nothing holds any more: Arrow's pool and the C library keep it otherwise, and a worker lives through many stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
+def frugal(run):
+    """A function of one group's table that gives memory back when the group is done."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+
+    return one
+
+
+def frugal_pair(run):
+    """The same of two cogrouped tables."""
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        give_back()
+        return out
+
+    return both
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words (splitmix64)."""
     x = x ^ (x >> U64(30))

@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PACKED_EDGES, PAIR, SEED_C, U64, Words, bucket_cuts, checkpointed, chunks_of, components, forest, free_name, mix, pack_edges, packed_edge_table, packed_edges, partitions, sliced, texts_of, window_hashes
+from .blocks import PACKED_EDGES, PAIR, SEED_C, U64, Words, bucket_cuts, checkpointed, chunks_of, components, forest, free_name, frugal, mix, pack_edges, packed_edge_table, packed_edges, partitions, sliced, texts_of, window_hashes
 
 #: Thresholds from here on use parts, lower ones rare prefixes; and how often a set is dealt anew.
 PARTS_FROM, LEVELS = 88, 8
@@ -455,9 +455,9 @@ def candidates(rows: DataFrame, n: int, percent: int) -> DataFrame:
     parts = partitions(rows.sparkSession)
     spread = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("payload"), F.lit(parts))).alias("spread")
     if percent >= PARTS_FROM:
-        return rows.mapInArrow(_emit_parts(n, percent, parts), ROWS).groupBy("bucket", spread).applyInArrow(_link_stars(parts), PACKED_EDGES)
+        return rows.mapInArrow(_emit_parts(n, percent, parts), ROWS).groupBy("bucket", spread).applyInArrow(frugal(_link_stars(parts)), PACKED_EDGES)
     low = rows.mapInArrow(_emit_low(n, percent, parts), ROWS).groupBy("bucket", spread)
-    facts = checkpointed(low.applyInArrow(_multiply_rare(RARE), FACTS))
+    facts = checkpointed(low.applyInArrow(frugal(_multiply_rare(RARE)), FACTS))
     of = lambda kind, value: F.when(F.col("kind") == kind, value)
     later = F.coalesce(F.sum(of(COMMON, F.col("b"))), F.lit(0))
     known = facts.filter(F.col("kind") != SHARED).groupBy(F.col("a").alias("doc_id")).agg(
@@ -472,7 +472,7 @@ def candidates(rows: DataFrame, n: int, percent: int) -> DataFrame:
     pairs = pairs.filter(most * (100 + percent) >= (F.col("size_a") + F.col("size_b")) * percent)
     short = known.filter("spare < 0").select("doc_id", (-F.col("spare")).alias("lack"))
     more = rows.join(short, "doc_id").select("doc_id", "text", "lack").mapInArrow(_emit_more(n, percent, parts), ROWS).groupBy("bucket", spread)
-    return pack_edges(pairs.select("a", "b")).unionByName(more.applyInArrow(_link_stars(parts), PACKED_EDGES))
+    return pack_edges(pairs.select("a", "b")).unionByName(more.applyInArrow(frugal(_link_stars(parts)), PACKED_EDGES))
 
 
 def _profile(n: int):
@@ -521,7 +521,7 @@ def links(docs: DataFrame, n: int, percent: int, chunk: int = CHUNK, known: Data
 
     def product(where: DataFrame) -> DataFrame:
         texts = rows.join(where, "doc_id").select("doc_id", "text", "cluster", "side", "task_key")
-        return texts.groupBy("task_key").applyInArrow(_multiply(n, percent), EDGES)
+        return texts.groupBy("task_key").applyInArrow(frugal(_multiply(n, percent)), EDGES)
 
     edges = product(placed.withColumn("task_key", group).select("doc_id", "cluster", "side", "task_key"))
     if not many:
