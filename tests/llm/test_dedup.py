@@ -152,3 +152,19 @@ def test_unlike_strings_and_long_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("block"), F.lit(1).alias("key"))
     assert Counter(tuple(r) for r in anchor_dedup.deduplicated(df, texts=False).collect()) == plain_words(rows, 20)
     assert Counter(tuple(r) for r in suffix_dedup.deduplicated(df, texts=False).collect()) == plain_bytes(rows, 100)
+
+
+@pytest.mark.parametrize("operator", [anchor_dedup, suffix_dedup])
+def test_small_tables_are_dealt_to_few_blocks(spark, monkeypatch, operator):
+    """Buckets answer every block, so the blocks of a small table must not follow the partitions."""
+    seen, deal = [], operator.in_blocks
+    monkeypatch.setattr(operator, "in_blocks", lambda docs, columns, blocks: seen.append(blocks) or deal(docs, columns, blocks))
+    rows, old = corpus(5), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    try:
+        got = Counter(tuple(r)[:4] for r in operator.deduplicated(frame(spark, rows), texts=False).drop("n_spans").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    plain = plain_words(rows, 20) if operator is anchor_dedup else Counter((a, b, c, e) for (a, b, c, _, e), n in plain_bytes(rows, 100).items() for _ in range(n))
+    assert got == plain
+    assert seen == [1]

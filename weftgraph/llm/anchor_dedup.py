@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PACKED, SEED_B, SEED_C, Words, by_block, chunks_of, in_blocks, isin_sorted, packed_rows, packed_table, partitions, starts_within, texts_of, unpacked, window_hashes
+from .blocks import PACKED, SEED_B, SEED_C, Words, block_count, by_block, chunks_of, in_blocks, isin_sorted, packed_rows, packed_table, partitions, starts_within, texts_of, unpacked, window_hashes
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
@@ -195,7 +195,7 @@ def _digest_only(table: pa.Table, back: pa.Table) -> pa.Table:
 def deduplicated(docs: DataFrame, texts: bool = True, blocks: int | None = None) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256, and with `texts` what is kept."""
     buckets = partitions(docs.sparkSession)
-    rows = in_blocks(docs, [F.col("text").cast("string").alias("text")], blocks or 4 * buckets).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = in_blocks(docs, [F.col("text").cast("string").alias("text")], blocks or block_count(docs)).withColumn("doc_id", F.col("doc_id").cast("long"))
     twice = rows.groupBy("block").applyInArrow(_find_anchors(buckets), PACKED).groupBy("bucket").applyInArrow(repeated, PACKED)
     placed = rows.groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(_extend(buckets), PACKED)
     lost = placed.groupBy("bucket").applyInArrow(_earlier, PACKED)

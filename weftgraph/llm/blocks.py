@@ -183,6 +183,20 @@ def in_blocks(docs: DataFrame, columns: list[str], blocks: int) -> DataFrame:
     return docs.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), key.alias("key"), F.col("doc_id"), *columns)
 
 
+#: Least text of a block, unless one holds the whole table.
+BLOCK_BYTES = 1 << 19
+
+
+def block_count(docs: DataFrame) -> int:
+    """Blocks to deal docs to: four a partition, but none of less text than BLOCK_BYTES.
+
+    A bucket sends a row back to each block, so without this their number would be the square of the
+    partitions however small the table is.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0
+    return max(1, min(4 * partitions(docs.sparkSession), -(-size // BLOCK_BYTES)))
+
+
 def bucket_cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's range begins and ends in sorted hashes."""
     edges = [(k << 64) // buckets for k in range(1, buckets)]

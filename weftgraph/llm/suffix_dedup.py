@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .anchor_dedup import distinct_once, ordered, repeated, returned
-from .blocks import PACKED, SEED_A, SEED_B, SEED_C, U64, bucket_cuts, by_block, chunks_of, eight_bytes, frugal, frugal_pair, in_blocks, isin_sorted, mix, packed_rows, packed_table, partitions
+from .blocks import PACKED, SEED_A, SEED_B, SEED_C, U64, block_count, bucket_cuts, by_block, chunks_of, eight_bytes, frugal, frugal_pair, in_blocks, isin_sorted, mix, packed_rows, packed_table, partitions
 from .induced import BREAK, SENTINEL, SHIFT, equal_windows
 
 LENGTH, GRAM = 100, 16
@@ -358,7 +358,7 @@ def deduplicated(docs: DataFrame, texts: bool = True, blocks: int | None = None)
 
 def _shared(docs: DataFrame, carried: list, blocks: int | None, remove, schema: str | T.StructType) -> DataFrame:
     buckets = partitions(docs.sparkSession)
-    rows = in_blocks(docs, [F.col("text").cast("string").alias("text"), *carried], blocks or 4 * buckets).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = in_blocks(docs, [F.col("text").cast("string").alias("text"), *carried], blocks or block_count(docs)).withColumn("doc_id", F.col("doc_id").cast("long"))
     twice = rows.groupBy("block").applyInArrow(frugal(_find_keys(buckets)), PACKED).groupBy("bucket").applyInArrow(frugal(repeated), PACKED)
     sent = rows.groupBy("block").cogroup(twice.groupBy("block")).applyInArrow(frugal_pair(_send(buckets)), PACKED)
     lost = sent.groupBy("bucket").applyInArrow(frugal(_sort_shard), PACKED)
