@@ -122,3 +122,23 @@ def test_search_of_several_dimensions(spark):
     want = sum((plain_search(rows[n]) for n in (6, 4)), Counter())
     want += Counter((500, k + 1, 501 + k, 0) for k in range(10))  # vectors of no component: ties
     assert Counter(tuple(r) for r in pivot_search.top_k(df, lambda v: v % 100 == 0).collect()) == want
+
+
+def test_tasks_of_a_worker_share_words():
+    """The next task of a worker splits only words that the last one did not, and all ids stay the library's."""
+    tokenizer = packing.WordTokenizer(queries.tokenizer("word_bpe_49k.json"))
+    split, merges = [], tokenizer.merges
+
+    class Counting:
+        def encode(self, text, **more):
+            split.append(text.split(" "))
+            return merges.encode(text, **more)
+
+    tokenizer.merges = Counting()
+    texts = ["It's they'll 'tis x'd 'Ve 12 3.5 n\u01b5o \u0130stanbul caf\xe9 -- don't_stop", "plain words again", "'s'st're 'm"]
+    expected = [np.array(tokenizer.library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert tokenizer.ids([t.encode() for t in texts]) == expected
+    tokenizer.rest()
+    split.clear()
+    assert tokenizer.ids([(t + " newword").encode() for t in texts[1:2]] + [texts[0].encode()])[1] == expected[0]
+    assert [sorted(w) for w in split] == [["newword"]]

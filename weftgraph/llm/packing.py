@@ -48,6 +48,7 @@ _BLANKS = str.maketrans("\t\n\r", "   ")
 _PLAIN_BELOW, _NOT_PLAIN = "\u0250", "\u0130"
 #: The vocabulary's cuts of a text, and below _PLAIN_BELOW its classes of letters, numbers and white space.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ODD = re.compile(f"[^\x00-{chr(ord(_PLAIN_BELOW) - 1)}]|{_NOT_PLAIN}").search
 _LETTERS, _NUMBERS, _SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 
 
@@ -82,7 +83,9 @@ class WordTokenizer:
             self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
             self.letters = _byte_letters()
-            cuts = CUTS.replace("\\p{L}", _LETTERS).replace("\\p{N}", _NUMBERS).replace("\\s", _SPACES)
+            # most words are letters, which no other cut begins with: they are tried first
+            contractions, letters, others = CUTS.partition("|[\\p{L}]+")
+            cuts = f"{letters[1:]}|{contractions}{others}".replace("\\p{L}", _LETTERS).replace("\\p{N}", _NUMBERS).replace("\\s", _SPACES)
             self.cut = re.compile(cuts).findall
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -95,7 +98,7 @@ class WordTokenizer:
         return cache[k]
 
     def _plain(self, text: str) -> bool:
-        if self.merges is None or not (text.isascii() or (max(text) < _PLAIN_BELOW and _NOT_PLAIN not in text)):
+        if self.merges is None or not (text.isascii() or _ODD(text) is None):
             return False
         return not any(t in text for t in self.special)
 
@@ -141,14 +144,16 @@ class WordTokenizer:
             self.known, self.old = {}, self.known
         odd: set[str] = set()
         words = [self._words(t, odd) for t in texts]
-        held = set().union(*words)
-        self._learn(held.difference(self.known), odd)
-        get = dict(zip(held, map(self.known.__getitem__, held))).__getitem__  # small enough for the processor's cache
-        return [b"".join(map(get, w)) for w in words]
+        held = list(set().union(*words))
+        ids = dict(zip(held, map(self.known.get, held)))  # small enough for the processor's cache
+        new = [w for w, have in ids.items() if have is None]
+        self._learn(set(new), odd)
+        ids.update(zip(new, map(self.known.__getitem__, new)))
+        return [b"".join(map(ids.__getitem__, w)) for w in words]
 
-    def forget(self) -> None:
-        """Free what is kept: the worker goes on to tasks of other operators."""
-        self.known, self.old = {}, {}
+    def rest(self) -> None:
+        """Between tasks one generation is kept: the next task meets half of its words again, and a worker that goes on to other operators holds no more."""
+        self.known, self.old = {}, self.known
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
@@ -203,7 +208,7 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 keep = 6 if with_ids else 5
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols[:keep], kinds)], names=names[:keep])
-        tokenizer.forget()
+        tokenizer.rest()
 
     return run
 
