@@ -351,3 +351,9 @@ def test_fingerprints(spark):
     s = {r.name: r for r in code.symbols(spark.createDataFrame([("m.py", "python", bytearray(text.encode()))], "path string, language string, content binary")).collect()}
     assert s["a"].structural_fingerprint == s["b"].structural_fingerprint != s["c"].structural_fingerprint
     assert len(s["a"].statement_windows) == 1
+
+
+def test_diff_lines_are_sorted_twice(spark):
+    """All windows over a diff's lines share two sorts, each of which holds a task's lines."""
+    plan = review.diff_lines(spark.createDataFrame([(1, "")], "diff_id int, diff string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2

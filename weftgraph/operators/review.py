@@ -52,8 +52,17 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
     is_file = F.col("raw").rlike(header)
     x = lines.withColumn("file_no", F.sum(is_file.cast("int")).over(so_far)).filter("file_no > 0")
     x = x.withColumn("skip", F.col("raw").rlike(r"^(index |---|\+\+\+|new file mode|deleted file mode|rename from |rename to |similarity index )"))
-    in_file = Window.partitionBy("diff_id", "file_no").orderBy("pos")
-    x = x.withColumn("is_hunk", ~F.col("skip") & F.col("raw").rlike(hunk)).withColumn("hunk_no", F.sum(F.col("is_hunk").cast("int")).over(in_file))
+    # hunks are counted in the diff's order too, so that all later windows share one sort: by file, hunk and place
+    x = x.withColumn("is_hunk", ~F.col("skip") & F.col("raw").rlike(hunk)).withColumn("hunks", F.sum(F.col("is_hunk").cast("int")).over(so_far))
+    x = x.withColumn("hunk_no", F.col("hunks") - F.last(F.when(is_file, F.col("hunks")), True).over(so_far)).drop("hunks")
+    in_hunk = Window.partitionBy("diff_id", "file_no", "hunk_no")
+    mark, counted = F.substring("raw", 1, 1), F.expr("hunk_no > 0 and not is_hunk and not skip")
+    x = x.withColumn("side", F.when(counted, F.when(mark == "+", "added").when(mark == "-", "removed").when(mark == " ", "context")))
+    before = in_hunk.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    count = lambda side: F.coalesce(F.sum((F.col("side") != side).cast("int")).over(before), F.lit(0))
+    x = x.withColumns({"new_before": count("removed"), "old_before": count("added")})
+    first = lambda g: F.max(F.when(F.col("is_hunk"), F.regexp_extract("raw", hunk, g).cast("int"))).over(in_hunk)
+    x = x.withColumns({"old_start": first(1), "new_start": first(3)})
     whole = Window.partitionBy("diff_id", "file_no")
     pick = lambda p, g=1: F.max(F.when(F.col("raw").rlike(p), F.regexp_extract("raw", p, g))).over(whole)
     has = lambda p: F.max(F.col("raw").rlike(p)).over(whole)
@@ -61,14 +70,8 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
         "path": F.coalesce(pick(r"^rename to (.+)$"), pick(header, 2)), "old_path": F.coalesce(pick(r"^rename from (.+)$"), pick(header, 1)),
         "is_new": has("^new file mode"), "is_deleted": has("^deleted file mode"), "is_renamed": has("^rename (from|to) "),
     })
-    in_hunk = Window.partitionBy("diff_id", "file_no", "hunk_no")
-    first = lambda g: F.max(F.when(F.col("is_hunk"), F.regexp_extract("raw", hunk, g).cast("int"))).over(in_hunk)
-    x = x.withColumns({"old_start": first(1), "new_start": first(3)}).filter("hunk_no > 0 and not is_hunk and not skip")
-    mark = F.substring("raw", 1, 1)
-    x = x.withColumn("side", F.when(mark == "+", "added").when(mark == "-", "removed").when(mark == " ", "context")).filter("side is not null")
-    before = in_hunk.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda side: F.coalesce(F.sum((F.col("side") != side).cast("int")).over(before), F.lit(0))
-    return x.withColumns({"number": F.when(F.col("side") == "removed", 0).otherwise(F.col("new_start") + count("removed")), "old_number": F.when(F.col("side") == "added", 0).otherwise(F.col("old_start") + count("added"))}).select(
+    x = x.filter("side is not null")
+    return x.withColumns({"number": F.when(F.col("side") == "removed", 0).otherwise(F.col("new_start") + F.col("new_before")), "old_number": F.when(F.col("side") == "added", 0).otherwise(F.col("old_start") + F.col("old_before"))}).select(
         "diff_id", "path", "old_path", "is_new", "is_deleted", "is_renamed", "hunk_no", "pos", "side", F.col("number").cast("int").alias("number"), F.col("old_number").cast("int").alias("old_number"), F.expr("substring(raw, 2)").alias("content")
     )
 
