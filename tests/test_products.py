@@ -1,6 +1,7 @@
 """Joins by blocks and by trigrams against plain loops; answers' evidence and verification."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +30,28 @@ def test_nearest_many(spark, monkeypatch, cell):
     assert similarity.nearest_many(vectors.limit(0), queries, 5).count() == similarity.nearest_many(vectors, queries.limit(0), 5).count() == 0
 
 
+def test_copies_of_the_product_grow_with_its_rows_only(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CELL", 4)
+    monkeypatch.setattr(similarity, "_product", lambda k: lambda v, q: pa.table([q.column("id").slice(0, 1), v.column("other").slice(0, 1), pa.array([float(v.num_rows + q.num_rows)])], names=["id", "other", "score"]) if v.num_rows and q.num_rows else pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}))
+    moved = {}
+    for n in (100, 400):
+        rows = spark.range(n).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+        moved[n] = similarity.nearest_many(rows, rows, 10**6).agg(F.sum("score")).first()[0]
+    assert moved[400] <= 4.5 * moved[100] and moved[400] <= 16 * 400
+
+
+def test_best_of_parts_equals_the_whole_product(monkeypatch):
+    monkeypatch.setattr(similarity, "CELL", 7)
+    monkeypatch.setattr(similarity, "STEP", 3)
+    draw = np.random.default_rng(2)
+    for x, q in ((draw.normal(size=(40, 3)), draw.normal(size=(8, 3))), (draw.integers(-1, 2, (40, 2)).astype(float), np.ones((8, 2))), (np.ones((40, 2)), np.ones((2, 2))), (np.ones((3, 2)), np.ones((2, 2)))):
+        names = draw.permutation(len(x))
+        table = lambda name, ids, m: pa.table({name: pa.array(ids), "unit": pa.array([r.tobytes() for r in m], pa.binary()), "width": pa.array([m.shape[1]] * len(m), pa.int32())})
+        got = [tuple(r.values()) for r in similarity._product(5)(table("other", names, x), table("id", range(len(q)), q)).to_pylist()]
+        scores = np.round(q @ x.T, 6) + 0.0
+        assert sorted(got) == sorted((i, int(names[j]), scores[i, j]) for i in range(len(q)) for j in np.lexsort((names, -scores[i]))[:5])
+
+
 def test_holders(spark):
     names = ["app.User", "app.UserService", "a", "ab", "xabx", "user", "", None, "aaaaab", "app.Üser"]
     refs = ["User", "a", "ab", "", None, "app", "aab", "zzz", "app.UserService", "Üs", "s", "aaaa", "serv"]

@@ -86,8 +86,12 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
     return vectors.crossJoin(q).select("id", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-#: Vectors, and queries, of a cell of the product.
-CELL = 4096
+#: Vectors, and queries, up to which a side of the product is one block; blocks that a larger side is cut into, and most rows of a block.
+CELL, SIDE, MOST = 4096, 6, 65536
+#: Queries that are multiplied at once with CELL vectors.
+STEP = 1024
+#: Two scores that are equal when rounded to six places differ by less.
+SLACK = 2e-6
 
 
 def _unit(batches, name: str):
@@ -104,44 +108,75 @@ def _unit(batches, name: str):
         yield pa.record_batch({name: pa.array(ids, batch.schema.field(0).type), "unit": pa.array([x.tobytes() for x in rows], pa.binary()), "width": pa.array([len(x) for x in rows], pa.int32())})
 
 
+def _matrix(table: pa.Table) -> np.ndarray:
+    """The unit vectors of a block, a row each."""
+    parts, width = [], table.column("width")[0].as_py()
+    offset = np.int64 if pa.types.is_large_binary(table.schema.field("unit").type) else np.int32
+    for chunk in table.column("unit").chunks:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], dtype=offset)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]])
+    return np.concatenate(parts).view(np.float64).reshape(table.num_rows, width)
+
+
 def _product(k: int):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         schema = pa.schema([("id", queries.schema.field("id").type), ("other", vectors.schema.field("other").type), ("score", pa.float64())])
         if not vectors.num_rows or not queries.num_rows:
             return schema.empty_table()
-        x, q = (np.frombuffer(b"".join(t.column("unit").to_pylist()), dtype=np.float64).reshape(t.num_rows, -1) for t in (vectors, queries))
-        scores = np.round(q @ x.T, 6) + 0.0
+        x, q = _matrix(vectors), _matrix(queries)
         # ties go by id, whose order is Arrow's
         rank = np.empty(vectors.num_rows, dtype=np.int64)
         rank[pa.compute.sort_indices(vectors.column("other")).to_numpy()] = np.arange(vectors.num_rows)
-        best = [np.lexsort((rank, -row))[:k] if len(row) <= 4 * k else _few(row, rank, k) for row in scores]
-        at = np.concatenate(best)
-        who = np.repeat(np.arange(len(q)), [len(b) for b in best])
-        return pa.table([queries.column("id").take(pa.array(who)), vectors.column("other").take(pa.array(at)), pa.array(scores[who, at])], schema=schema)
+        found = [(who + first, at, score) for first in range(0, len(q), STEP) for who, at, score in [_best(q[first : first + STEP], x, rank, k)]]
+        who, at, score = (np.concatenate(c) for c in zip(*found))
+        return pa.table([queries.column("id").take(pa.array(who)), vectors.column("other").take(pa.array(at)), pa.array(score)], schema=schema)
 
     return run
 
 
-def _few(row: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k greatest, ties by rank, without sorting all."""
-    floor = np.partition(row, len(row) - k)[len(row) - k]
-    good = np.flatnonzero(row >= floor)
-    return good[np.lexsort((rank[good], -row[good]))[:k]]
+def _best(q: np.ndarray, x: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place, score) of the k greatest rounded scores of each query, ties by rank; a part of the vectors at a time."""
+    who, at, score = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+    floor = np.full(len(q), -np.inf)
+    for first in range(0, len(x), CELL):
+        raw = q @ x[first : first + CELL].T
+        n = raw.shape[1]
+        if first == 0 and n > k:
+            floor = np.partition(raw, n - k, axis=1)[:, n - k] - SLACK
+        row, column = np.nonzero(raw >= floor[:, None])
+        who, at, score = np.concatenate([who, row]), np.concatenate([at, column + first]), np.concatenate([score, np.round(raw[row, column], 6) + 0.0])
+        order = np.lexsort((rank[at], -score, who))
+        who, at, score = who[order], at[order], score[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        who, at, score, place = (c[place < k] for c in (who, at, score, place))
+        last = place == k - 1
+        floor[who[last]] = score[last] - SLACK
+    return who, at, score
+
+
+def _blocks(vectors: int, queries: int) -> tuple[int, int]:
+    """Into how many blocks each side is cut. Where both are large, each is copied SIDE times until its blocks hold MOST rows."""
+    if min(vectors, queries) <= CELL:
+        # the small side is one block, or none is needed: its copies are no more than the rows of the other
+        return max(1, -(-vectors // CELL)), max(1, -(-queries // CELL))
+    return max(SIDE, -(-vectors // MOST)), max(SIDE, -(-queries // MOST))
 
 
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(id, other, score, rank): of each query (id, vector) the k most alike of vectors (id, vector), by cosine to six places, ties by id.
 
-    A blocked product: both sides are made unit vectors once and dealt to a grid of cells of about
-    CELL vectors by CELL queries of one length; a cell is one matrix product, which keeps k rows a query. So each
-    task holds two bounded blocks, and what is merged is k rows a query and block. Null ids and
+    A blocked product: both sides are made unit vectors once and dealt to a grid of cells of at most about
+    MOST vectors by MOST queries of one length; a cell multiplies parts of its blocks and keeps k rows a query. So each
+    task holds two bounded blocks, a row moves SIDE times up to SIDE * MOST rows a side (and once for each MOST rows of the
+    other side beyond), and what is merged is k rows a query and block. Null ids and
     vectors, and vectors that hold a null, take no part; vectors of another length than the
     query's are not compared with it; of equal rows each counts.
     """
     kind = lambda df: df.schema["id"].dataType.simpleString()
     columns = {"other": vectors, "id": queries}
     made = {name: checkpointed(df.select(F.col("id").alias(name), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(lambda b, name=name: _unit(b, name), f"{name} {kind(df)}, unit binary, width int")) for name, df in columns.items()}
-    cells = {name: max(1, -(-df.count() // CELL)) for name, df in made.items()}
+    cells = dict(zip(made, _blocks(*(df.count() for df in made.values()))))
     # a block of one side meets every block of the other
     dealt = lambda name: F.pmod(F.xxhash64(name, "unit"), F.lit(cells[name])).cast("int")
     every = lambda name: F.explode(F.sequence(F.lit(0), F.lit(cells[name] - 1)))
