@@ -417,7 +417,7 @@ for _name in rules.CATEGORIES:
 
 @query(_findings_sql(list(RULE_SQL)) + "SELECT severity, rule_id, count(*) AS findings FROM found GROUP BY 1, 2", recursive=True)
 def health_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.findings(starschema.graph(spark, sf_dir, blame=True), LIMITS, as_of=AS_OF).groupBy("severity", "rule_id").agg(F.count("*").alias("findings"))
+    return rules.findings(starschema.graph(spark, sf_dir, blame=True), LIMITS, as_of=AS_OF, per=("severity", "rule_id")).withColumnRenamed("n", "findings")
 
 
 @query(
@@ -429,7 +429,7 @@ UNION ALL SELECT 'overall', count(*), round(greatest(0.0, 100 - 10 * sum(CASE se
 )
 def health_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = starschema.graph(spark, sf_dir, blame=True)
-    return rules.scores(rules.findings(g, LIMITS, as_of=AS_OF), g.symbols)
+    return rules.counted_scores(rules.findings(g, LIMITS, as_of=AS_OF, per=("category", "severity")), g.symbols)
 
 
 __all__ = ["QUERIES"]

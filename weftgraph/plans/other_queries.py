@@ -403,7 +403,7 @@ def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_EVERY + "SELECT '| ' || severity || ' | ' || count(*) || ' |' AS line FROM found GROUP BY severity", recursive=True)
 def markdown_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.markdown_summary(_found(spark, sf_dir))
+    return sinks.severity_table(rules.findings(starschema.graph(spark, sf_dir, blame=True), LIMITS, as_of=AS_OF, per=("severity",)))
 
 
 @query("WITH " + NS + """, n AS (SELECT namespace, count(*) AS n FROM sym GROUP BY 1 ORDER BY 1 LIMIT 80) SELECT 1 AS part, '    ' || regexp_replace(namespace, '[.\\- ]', '_', 'g') || '["' || namespace || '<br/>' || n || ' symbols"]' AS line FROM n

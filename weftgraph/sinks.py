@@ -87,8 +87,12 @@ def prometheus_lines(counts: DataFrame, durations: DataFrame, prefix: str = "wef
 
 def markdown_summary(findings: DataFrame) -> DataFrame:
     """(line) of a table of findings by severity."""
-    n = findings.groupBy("severity").agg(F.count("*").alias("n"))
-    return n.select(F.concat(F.lit("| "), "severity", F.lit(" | "), F.col("n").cast("string"), F.lit(" |")).alias("line"))
+    return severity_table(findings.groupBy("severity").agg(F.count("*").alias("n")))
+
+
+def severity_table(counts: DataFrame) -> DataFrame:
+    """The same from the numbers of findings (severity, n)."""
+    return counts.select(F.concat(F.lit("| "), "severity", F.lit(" | "), F.col("n").cast("string"), F.lit(" |")).alias("line"))
 
 
 def markdown_report(findings: DataFrame, complexity: DataFrame, title: str = "Code health", top: int = 30, complex_top: int = 15) -> str:
