@@ -102,20 +102,33 @@ def modules(g: CodeGraph) -> DataFrame:
     return counts.join(deps, "module", "left").withColumn("depends_on", F.coalesce("depends_on", F.lit("")))
 
 
+def ends(g: CodeGraph, *columns: str, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Edges (of some kinds) with both ends' kind, parent, namespace or module, null where an end is no symbol: (source, target, edge_type, source_kind, target_kind, ...)."""
+    values = {"kind": F.col("kind"), "parent": F.col("parent_fq_name"), "namespace": F.col("namespace"), "module": module_of()}
+    e = (g.of_type(*kinds) if kinds else g.edges).select("source", "target", "edge_type")
+    for end in ("source", "target"):
+        e = e.join(g.symbols.select(F.col("fq_name").alias(end), *[values[c].alias(f"{end}_{c}") for c in columns]), end, "left")
+    return e
+
+
+def module_edges(e: DataFrame) -> DataFrame:
+    """(a, b, n) of edges with their ends' modules: edges between modules with both ends known, counted; a and b may be equal."""
+    known = e.select(F.col("source_module").alias("a"), F.col("target_module").alias("b")).filter("a <> '' and b <> ''")
+    return known.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
 def _module_edges(g: CodeGraph) -> DataFrame:
-    """(a, b, n): edges between modules with both ends known, counted; a and b may be equal."""
-    s = g.symbols.select("fq_name", module_of().alias("module")).filter("module <> ''")
-    a, b = s.select(F.col("fq_name").alias("source"), F.col("module").alias("a")), s.select(F.col("fq_name").alias("target"), F.col("module").alias("b"))
-    return g.edges.select("source", "target").join(a, "source").join(b, "target").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return module_edges(ends(g, "module"))
 
 
 def module_dependencies(g: CodeGraph) -> DataFrame:
     return _module_edges(g).filter("a <> b").select("a", "b")
 
 
-def module_metrics(g: CodeGraph) -> DataFrame:
+def module_metrics(g: CodeGraph, edges: DataFrame | None = None) -> DataFrame:
     """Coupling, instability, abstractness, distance and cohesion of each module; shares are 0 where there is nothing to share.
 
+    `edges` are the counted edges between modules, if they are at hand.
     An interface counts as a class and as abstract; any symbol with an abstract modifier adds
     to the abstract ones, so abstractness can exceed 1; an edge between modules counts in both.
     """
@@ -125,7 +138,7 @@ def module_metrics(g: CodeGraph) -> DataFrame:
         F.count("*").alias("symbol_count"), F.count_distinct("file_path").alias("file_count"), F.count_if(F.col("kind").isin(*FUNCTIONS)).alias("method_count"),
         F.count_if(F.col("kind").isin("class", "struct", "enum", "record", "interface")).alias("class_count"), F.sum(interface + F.col("abstract").cast("int")).alias("abstract_count"),
     )
-    sides = _module_edges(g).select(F.explode(F.expr("if(a = b, array(struct(a as module, 'intra' as side, a as other, n)), array(struct(a as module, 'out' as side, b as other, n), struct(b as module, 'in' as side, a as other, n)))")).alias("x")).select("x.*")
+    sides = (_module_edges(g) if edges is None else edges).select(F.explode(F.expr("if(a = b, array(struct(a as module, 'intra' as side, a as other, n)), array(struct(a as module, 'out' as side, b as other, n), struct(b as module, 'in' as side, a as other, n)))")).alias("x")).select("x.*")
     links = sides.groupBy("module").agg(
         F.count_if(F.col("side") == "in").alias("afferent"), F.count_if(F.col("side") == "out").alias("efferent"),
         F.sum(F.when(F.col("side") == "intra", F.col("n")).otherwise(0)).alias("intra_edges"), F.sum(F.when(F.col("side") != "intra", F.col("n")).otherwise(0)).alias("inter_edges"),
@@ -145,10 +158,13 @@ def coupling_summary(metrics: DataFrame) -> DataFrame:
 
 def namespace_dependencies(g: CodeGraph) -> DataFrame:
     """Distinct pairs of namespaces that call, use or import each other's symbols."""
-    s = g.symbols.filter("namespace <> ''").select("fq_name", "namespace")
-    e = g.of_type("calls", "uses", "imports").select("source", "target")
-    pairs = e.join(s.select(F.col("fq_name").alias("source"), F.col("namespace").alias("a")), "source").join(s.select(F.col("fq_name").alias("target"), F.col("namespace").alias("b")), "target")
-    return pairs.filter("a <> b").select("a", "b").distinct()
+    return namespace_pairs(ends(g, "namespace", kinds=("calls", "uses", "imports")))
+
+
+def namespace_pairs(e: DataFrame) -> DataFrame:
+    """The same of edges with their ends' namespaces."""
+    pairs = e.filter(F.col("edge_type").isin("calls", "uses", "imports")).select(F.col("source_namespace").alias("a"), F.col("target_namespace").alias("b"))
+    return pairs.filter("a <> '' and b <> '' and a <> b").distinct()
 
 
 def two_cycles(pairs: DataFrame) -> DataFrame:
@@ -159,13 +175,15 @@ def two_cycles(pairs: DataFrame) -> DataFrame:
 
 def class_dependencies(g: CodeGraph) -> DataFrame:
     """Distinct pairs of parent classes joined by calls or uses; without a symbol, a name's parent is all but its last part."""
-    parent = g.symbols.select("fq_name", "parent_fq_name")
+    return class_pairs(ends(g, "parent", kinds=("calls", "uses")))
+
+
+def class_pairs(e: DataFrame) -> DataFrame:
+    """The same of edges with their ends' parents."""
     cut = lambda c: F.when(F.instr(c, ".") > 0, F.regexp_extract(c, r"^(.*)\.[^.]*$", 1)).otherwise(F.lit(""))
-    e = g.of_type("calls", "uses").select("source", "target").distinct()
-    for end, out in (("source", "a"), ("target", "b")):
-        own = parent.select(F.col("fq_name").alias(end), F.col("parent_fq_name").alias("p"))
-        e = e.join(own, end, "left").withColumn(out, F.when(F.coalesce("p", F.lit("")) != "", F.col("p")).otherwise(cut(F.col(end)))).drop("p")
-    return e.filter("a <> '' and b <> '' and a <> b").select("a", "b").distinct()
+    of = lambda end: F.when(F.coalesce(f"{end}_parent", F.lit("")) != "", F.col(f"{end}_parent")).otherwise(cut(F.col(end)))
+    pairs = e.filter(F.col("edge_type").isin("calls", "uses")).select(of("source").alias("a"), of("target").alias("b"))
+    return pairs.filter("a <> '' and b <> '' and a <> b").distinct()
 
 
 def children_of(g: CodeGraph) -> DataFrame:

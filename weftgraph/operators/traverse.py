@@ -73,26 +73,27 @@ def circles(up: DataFrame) -> DataFrame:
 def reachable(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node): everything reachable from seeds over links (a, b), seeds included.
 
+    Links to what is seen lead to nothing new and go before each round, which so joins only the rest of the graph.
     Every STEPS rounds the part not yet seen is contracted: a node with one way in is reached with the node above
     its chain, so only nodes with several ways in are walked on.
     """
-    links = checkpointed(links.select("a", "b").filter("a is not null and b is not null and a <> b").distinct())
     rounds = [checkpointed(seeds.select("node").filter("node is not null").distinct())]
+    links = links.select("a", "b").filter("a is not null and b is not null and a <> b")
+    links = checkpointed(links.join(rounds[0].select(F.col("node").alias("b")), "b", "left_anti").select("a", "b").distinct())
     while not rounds[-1].isEmpty():
         if len(rounds) > STEPS:
             return _contracted(links, checkpointed(_union(rounds)), rounds[-1])
-        new = links.join(rounds[-1].select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
-        rounds.append(checkpointed(new.join(_union(rounds), "node", "left_anti")))
+        rounds.append(checkpointed(links.join(rounds[-1].select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()))
+        links = checkpointed(links.join(rounds[-1].select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"))
     return _union(rounds)
 
 
 def _contracted(links: DataFrame, seen: DataFrame, frontier: DataFrame) -> DataFrame:
-    """What is seen, and all that its frontier leads to, by way of a graph without chains."""
-    rest = checkpointed(links.join(seen.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"))
-    one = rest.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"), F.min("a").alias("up")).filter("n = 1")
+    """What is seen, and all that its frontier leads to over links to what is not seen, by way of a graph without chains."""
+    one = links.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"), F.min("a").alias("up")).filter("n = 1")
     # chains that end nowhere are cycles without a way in
     heads = checkpointed(climbed(one.select("node", "up")).filter("final").select("node", F.col("end").alias("head")))
-    several = rest.join(one.select(F.col("node").alias("b")), "b", "left_anti")
+    several = links.join(one.select(F.col("node").alias("b")), "b", "left_anti")
     lifted = several.join(heads.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("head", "a").alias("a"), "b")
     reached_heads = checkpointed(reachable(lifted, frontier))
     below = heads.join(reached_heads.select(F.col("node").alias("head")), "head", "left_semi").select("node")
@@ -167,11 +168,16 @@ def roots(g: CodeGraph) -> DataFrame:
     return chosen.select(F.col("fq_name").alias("node")).unionByName(entry_points(g).select(F.col("fq_name").alias("node"))).distinct()
 
 
-def reached(g: CodeGraph) -> DataFrame:
-    """Symbols with `is_reached`: whether any edge but an import leads there from a root, over known symbols."""
+def reached_names(g: CodeGraph) -> DataFrame:
+    """(node): where any edge but an import leads from a root, over known symbols."""
     known = g.symbols.select(F.col("fq_name").alias("b"))
     links = g.edges.filter("edge_type <> 'imports'").select(F.col("source").alias("a"), F.col("target").alias("b")).join(known, "b", "left_semi")
-    found = reachable(links, roots(g)).withColumn("is_reached", F.lit(True)).withColumnRenamed("node", "fq_name")
+    return reachable(links, roots(g))
+
+
+def reached(g: CodeGraph, names: DataFrame | None = None) -> DataFrame:
+    """Symbols with `is_reached`: whether they are among the names that are reached (or those given)."""
+    found = (reached_names(g) if names is None else names).select(F.col("node").alias("fq_name"), F.lit(True).alias("is_reached"))
     return g.symbols.join(found, "fq_name", "left").withColumn("is_reached", F.coalesce("is_reached", F.lit(False)))
 
 
